@@ -8,6 +8,7 @@ from gridweather.plans.registry import ORACLES, QUERIES
 
 MODULES = [
     "scalar_queries",
+    "lookup_queries",
 ]
 
 
