@@ -37,3 +37,263 @@ def basic(error: Column) -> list[Column]:
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.max(F.abs(error)).alias("max_abs"),
     ]
+
+
+QUANTILES = {"median_abs": 0.5, "p90_abs": 0.9, "p95_abs": 0.95, "p99_abs": 0.99}
+
+
+def error_of(truth: str = "y_true", guess: str = "y_pred") -> Column:
+    return F.col(guess) - F.col(truth)
+
+
+def basic_by(df: DataFrame, keys: list[str], error: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(*basic(error))
+
+
+def detailed_by(df: DataFrame, keys: list[str], truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
+    """Basic metrics, absolute-error quantiles, bias, spread and R2 = 1 - SSE / SST per key."""
+    e = error_of(truth, guess)
+    sst = F.var_pop(F.col(truth)) * F.count(F.lit(1))
+    plain = df.groupBy(*keys).agg(
+        *basic(e),
+        F.avg(e).alias("bias"),
+        F.stddev_pop(e).alias("std_error"),
+        (1.0 - F.sum(e * e) / F.greatest(F.lit(1e-12), sst)).alias("r2"),
+    )
+    quantiles = exact_quantiles(df, keys, F.abs(e), QUANTILES)
+    return plain.join(quantiles, keys)
+
+
+def by_band(df: DataFrame, keys: list[str], altitude: str, error: Column) -> DataFrame:
+    """Basic metrics per key and altitude band, every band present; rows above the bands are left out."""
+    found = df.withColumn("band", band_of(F.col(altitude))).where("band is not null").groupBy(*keys, "band").agg(*basic(error))
+    frame = df.select(*keys).distinct().withColumn("band", F.explode(F.array(*[F.lit(name) for name, _, _ in BANDS])))
+    return frame.join(found, [*keys, "band"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def overall_and_bands(df: DataFrame, key: str, altitude: str, error: Column) -> DataFrame:
+    """Both levels in one pass over the rows."""
+    banded = df.withColumn("band", band_of(F.col(altitude))).withColumn("_e", error)
+    sets = banded.groupingSets([[key], [key, "band"]], key, "band").agg(F.grouping("band").alias("_all"), *basic(F.col("_e")))
+    level = F.when(F.col("_all") == 1, "overall").otherwise("band").alias("level")
+    return sets.where("_all = 1 or band is not null").select(key, level, "band", "n", "mae", "rmse", "max_abs")
+
+
+def error_profile(
+    df: DataFrame, key: str, axis: str, error: Column, bins: int, low: float | None = None, high: float | None = None
+) -> DataFrame:
+    """Mean absolute error in equal-width bins of an axis; the last bin is closed and empty bins stay with a NULL mean.
+
+    Without given ends the axis runs from its own least to its largest value.
+    """
+    ends = df.agg(
+        (F.lit(low) if low is not None else F.min(axis)).alias("_low"), (F.lit(high) if high is not None else F.max(axis)).alias("_high")
+    )
+    width = (F.col("_high") - F.col("_low")) / bins
+    rows = df.select(key, F.col(axis).alias("_x"), error.alias("_e")).join(F.broadcast(ends))
+    guess = F.floor((F.col("_x") - F.col("_low")) / F.when(width > 0, width).otherwise(1.0))
+    inside = rows.withColumn("bin", F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1))).cast("int")).where("_x between _low and _high")
+    counted = inside.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(F.abs("_e")).alias("mean_abs_error"))
+    frame = df.select(key).distinct().join(F.broadcast(ends)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = frame.join(counted, [key, "bin"], "left")
+    start = F.col("_low") + F.col("bin") * width
+    end = F.col("_low") + (F.col("bin") + 1) * width
+    return out.select(
+        F.lit(axis).alias("axis"), key, "bin", start.alias("bin_start"), end.alias("bin_end"), ((start + end) / 2.0).alias("bin_center"),
+        F.coalesce("count", F.lit(0)).alias("count"), "mean_abs_error",
+    )
+
+
+def quantile_edges(df: DataFrame, keys: list[str], x: Column, bins: int) -> DataFrame:
+    """Edges e0..e<bins> at equal shares, pushed up by 1e-6 where one does not exceed the edge before."""
+    raw = exact_quantiles(df, keys, x, {f"e{i}": i / bins for i in range(bins + 1)})
+    for i in range(1, bins + 1):
+        here, before = F.col(f"e{i}"), F.col(f"e{i - 1}")
+        raw = raw.withColumn(f"e{i}", F.when(here <= before, before + 1e-6).otherwise(here))
+    return raw
+
+
+CLASS_NAMES = ("low", "mid", "high")
+
+
+def class_confusion(df: DataFrame, key: str, truth: str, guess: str) -> DataFrame:
+    """Counts of true against predicted class, classes cut at the truth's thirds; all nine cells per key."""
+    edges = quantile_edges(df, [key], F.col(truth), 3)
+
+    def cut(x: str) -> Column:
+        return (F.col(x) >= F.col("e1")).cast("int") + (F.col(x) >= F.col("e2")).cast("int")
+
+    counted = df.join(edges, key).groupBy(key, cut(truth).alias("t"), cut(guess).alias("p")).agg(F.count(F.lit(1)).alias("count"))
+    cell = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(j).alias("p")) for i in range(3) for j in range(3)])
+    frame = edges.withColumn("_c", F.explode(cell)).select("*", "_c.*")
+    names = F.array(*[F.lit(n) for n in CLASS_NAMES])
+    low, high = F.array("e0", "e1", "e2"), F.array("e1", "e2", "e3")
+    return frame.join(counted, [key, "t", "p"], "left").select(
+        key, F.get(names, "t").alias("true_bin"), F.get(names, "p").alias("predicted_bin"), F.coalesce("count", F.lit(0)).alias("count"),
+        F.get(low, "t").alias("bin_edge_low"), F.get(high, "t").alias("bin_edge_high"),
+    )
+
+
+def event_scores(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """Confusion of a yes/no event and its scores; empty denominators count as one."""
+    counts = df.agg(
+        F.count_if(~truth & ~guess).alias("tn"), F.count_if(~truth & guess).alias("fp"), F.count_if(truth & ~guess).alias("fn"),
+        F.count_if(truth & guess).alias("tp"), F.avg(truth.cast("double")).alias("positive_rate"),
+    )
+    tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
+    one = F.lit(1)
+    precision, recall = tp / F.greatest(one, tp + fp), tp / F.greatest(one, tp + fn)
+    return counts.withColumns(
+        {
+            "accuracy": (tp + tn) / F.greatest(one, tp + tn + fp + fn),
+            "precision": precision,
+            "recall": recall,
+            "specificity": tn / F.greatest(one, tn + fp),
+        }
+    ).withColumn("f1", 2.0 * F.col("precision") * F.col("recall") / F.greatest(F.lit(1e-12), F.col("precision") + F.col("recall")))
+
+
+def threshold_curve(df: DataFrame, event: Column, score: Column, rows_per_block: int | None = None) -> DataFrame:
+    """Running true and false positives down the distinct scores, with the rates at and before each score.
+
+    Equal scores count together, so the curve does not depend on the order of ties.
+    """
+    per_score = df.select(event.alias("_y"), (-score).alias("_s")).groupBy("_s").agg(
+        F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q")
+    )
+    run = ordered_scan(
+        per_score, [], ["_s"], "_s", sums={"tp": F.col("_p"), "fp": F.col("_q")}, rows_per_block=rows_per_block
+    )
+    totals = per_score.agg(F.greatest(F.lit(1), F.sum("_p")).alias("_np"), F.greatest(F.lit(1), F.sum("_q")).alias("_nq"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return run.join(F.broadcast(totals)).select(
+        (-F.col("_s")).alias("threshold"), "tp", "fp", (tp / F.col("_np")).alias("tpr"), (fp / F.col("_nq")).alias("fpr"),
+        ((tp - F.col("_p")) / F.col("_np")).alias("tpr_before"), ((fp - F.col("_q")) / F.col("_nq")).alias("fpr_before"),
+        (tp / F.greatest(F.lit(1), tp + fp)).alias("precision"),
+    )
+
+
+def area_under_roc(curve: DataFrame) -> DataFrame:
+    step = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2.0
+    return curve.agg(F.sum(step).alias("auc"))
+
+
+def average_precision(curve: DataFrame) -> DataFrame:
+    return curve.agg(F.sum((F.col("tpr") - F.col("tpr_before")) * F.col("precision")).alias("average_precision"))
+
+
+def permutation_importance(df: DataFrame, ident: str, features: list[str], targets: list[str], score, seed: int) -> DataFrame:
+    """MAE per target with one feature at a time shuffled, against the unshuffled baseline.
+
+    ``score`` maps a DataFrame with the feature columns to one with ``pred_<target>`` columns; truth columns carry the target
+    names. All copies (none shuffled, then each feature) are scored in one pass. The shuffle pairs the row at place k by id
+    with the row at place k by hash, so it is a true permutation and needs no single sort.
+    """
+    from gridweather.functions.hashing import h
+
+    ordered = ordered_scan(df.select(ident, *features, *targets), [], [ident], ident, rank="_place")
+    seeds = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(seed + j).alias("_seed"), F.col(f).cast("double").alias("_x")) for j, f in enumerate(features)])
+    mixed = df.withColumn("_f", F.explode(seeds)).select(ident, "_f.*")
+    mixed = mixed.withColumn("_h", h(F.col("_seed"), F.col(ident)))
+    mixed = ordered_scan(mixed, ["feature"], ["_h", ident], "_h", rank="_place").select("feature", "_place", F.col("_x").alias("_swap"))
+    copies = ordered.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    shuffled = copies.join(mixed, ["feature", "_place"])
+    shuffled = shuffled.withColumns({f: F.when(F.col("feature") == f, F.col("_swap")).otherwise(F.col(f)) for f in features})
+    both = ordered.withColumns({"feature": F.lit("").cast("string"), "_swap": F.lit(None).cast("double")}).unionByName(shuffled)
+    errors = score(both).select(
+        "feature", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.abs(F.col(f"pred_{t}") - F.col(t)).alias("e")) for t in targets])).alias("_r")
+    )
+    mae = errors.groupBy("feature", F.col("_r.target").alias("target")).agg(F.avg("_r.e").alias("mae"))
+    base = mae.where("feature = ''").select("target", F.col("mae").alias("baseline_mae"))
+    delta = F.col("permuted_mae") - F.col("baseline_mae")
+    return (
+        mae.where("feature <> ''")
+        .withColumnRenamed("mae", "permuted_mae")
+        .join(base, "target")
+        .withColumn("delta_mae", delta)
+        .withColumn("relative_delta", F.col("delta_mae") / F.greatest(F.lit(1e-12), F.col("baseline_mae")))
+    )
+
+
+def feature_group(name: Column) -> Column:
+    """Group of a feature by its name; the first rule that fits counts."""
+    return (
+        F.when(name.contains("altitude"), "altitude")
+        .when(name.startswith("utc") | name.startswith("solar") | name.contains("hour"), "time_of_day")
+        .when(name.startswith("doy") | name.contains("day_of_year"), "day_of_year")
+        .when(name.contains("lat") | name.contains("lon") | name.startswith("sphere"), "location")
+        .otherwise("other")
+    )
+
+
+def importance_by_group(importance: DataFrame) -> DataFrame:
+    return (
+        importance.withColumn("feature_group", feature_group(F.col("feature")))
+        .groupBy("target", "feature_group")
+        .agg(F.sum("delta_mae").alias("sum_delta_mae"), F.avg("delta_mae").alias("mean_delta_mae"))
+    )
+
+
+def distribution_summary(long: DataFrame, name: str = "name", x: str = "x") -> DataFrame:
+    """Count, moments, 1/50/99 % quantiles and shares of small, large and non-positive values per name."""
+    v = F.col(x)
+    plain = long.groupBy(name).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg((F.abs(v) < 1e-3).cast("double")).alias("share_small"), F.avg((F.abs(v) > 1.0).cast("double")).alias("share_above_1"),
+        F.avg((v <= 0.0).cast("double")).alias("share_not_positive"),
+    )
+    return plain.join(exact_quantiles(long, [name], v, {"p01": 0.01, "p50": 0.5, "p99": 0.99}), name)
+
+
+def compare_models(df: DataFrame, target: str, model: str, models: list[str], error: Column) -> DataFrame:
+    """One row per metric and target, one column per model, and the difference where there are exactly two."""
+    per = df.groupBy(target, model).agg(*basic(error))
+    long = per.unpivot([target, model], ["mae", "rmse", "max_abs"], "metric", "value")
+    wide = long.groupBy("metric", target).pivot(model, models).agg(F.max("value"))
+    if len(models) == 2:
+        wide = wide.withColumn("delta", F.col(models[1]) - F.col(models[0]))
+    return wide
+
+
+def training_summary(log: DataFrame, patience: int = 8) -> DataFrame:
+    """One row on a training log (epoch, train_loss, val_loss): counts, best, last and the overfit onset."""
+    from gridweather.operators.series import overfit_onset
+
+    best = F.struct("val_loss", "epoch")
+    last = F.max_by(F.struct("train_loss", "val_loss"), "epoch")
+    summary = log.agg(
+        F.count(F.lit(1)).alias("epochs"), F.min_by("epoch", best).alias("best_epoch"), F.min("val_loss").alias("best_val_loss"), last.alias("_l")
+    )
+    out = summary.select("epochs", "best_epoch", "best_val_loss", F.col("_l.train_loss").alias("final_train_loss"), F.col("_l.val_loss").alias("final_val_loss"))
+    return out.join(F.broadcast(overfit_onset(log, patience)))
+
+
+def point_check(df: DataFrame, deltas: list[str]) -> DataFrame:
+    """Valid and skipped points, and basic metrics of each delta over the valid ones."""
+    valid = F.lit(True)
+    for name in deltas:
+        valid = valid & F.col(name).isNotNull()
+    per = []
+    for name in deltas:
+        e = F.when(valid, F.col(name))
+        per += [m.alias(f"{name}_{k}") for m, k in zip(basic(e)[1:], ("mae", "rmse", "max_abs"))]
+    return df.agg(F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_skipped"), *per)
+
+
+ACCESS_LINE = r"^(\S+) /(\S+) (\d{3}) ([0-9.]+)ms$"
+
+
+def access_summary(lines: DataFrame, ts: str, line: str) -> DataFrame:
+    """Requests, status classes and latency quantiles per route and minute from access lines."""
+    parsed = lines.select(
+        F.date_trunc("minute", ts).alias("minute"),
+        F.regexp_extract(line, ACCESS_LINE, 2).alias("route"),
+        F.regexp_extract(line, ACCESS_LINE, 3).cast("int").alias("status"),
+        F.regexp_extract(line, ACCESS_LINE, 4).cast("double").alias("ms"),
+    )
+    keys = ["minute", "route"]
+    counts = parsed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") < 300).alias("ok"),
+        F.count_if(F.col("status").between(400, 499)).alias("refused"), F.count_if(F.col("status") >= 500).alias("failed"),
+    )
+    return counts.join(exact_quantiles(parsed, keys, F.col("ms"), {"p50_ms": 0.5, "p95_ms": 0.95}), keys)

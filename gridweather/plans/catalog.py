@@ -9,6 +9,10 @@ from gridweather.plans.registry import ORACLES, QUERIES
 MODULES = [
     "scalar_queries",
     "lookup_queries",
+    "metric_queries",
+    "series_queries",
+    "table_queries",
+    "sample_queries",
 ]
 
 
