@@ -13,6 +13,8 @@ MODULES = [
     "series_queries",
     "table_queries",
     "sample_queries",
+    "model_queries",
+    "stream_queries",
 ]
 
 
