@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather import session
 from gridweather.functions.scalars import log_target, unlog_target
 
 # Settings per variable. Leaf-count limits become depth limits (2^7 = 128 leaves, 2^8 = 256).
@@ -51,6 +52,7 @@ def fit_trees(
 
     ``held_out`` names a boolean column; its true rows stop the boosting early instead of being trained on.
     """
+    session.checkpoint_folder(df.sparkSession)
     made = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
     for name in targets:
         label = log_target(F.col(name), LOG_EPS) if name in LOG_TARGETS else F.col(name)

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from gridweather import session
 from gridweather.functions.hashing import h
 
 DISTANCE_FLOOR = 1e-6
@@ -87,72 +88,135 @@ def nearest_neighbours(
     chosen = train.select("train_id", "vec").orderBy(h(seed, F.col("train_id")), "train_id").limit(count).collect()
     pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
     ringed, stats = _regions(_assign(train, "vec", pivots), block_rows)
-    region = np.array([row["_region"] for row in stats])
-    size = np.array([row["n"] for row in stats])
-    near, far = np.array([row["near"] for row in stats]), np.array([row["far"] for row in stats])
-    cell = region // (MOST_RINGS + 1)
+    facts = _RegionFacts(pivots, stats, k)
+    qtype, vtype = (queries.schema[c].dataType.simpleString() for c in ("query_id", "vec"))
+    visit_schema = f"query_id {qtype}, vec {vtype}, reach double, _regions array<int>"
+    meeting = _Meeting(train, ringed.drop("_cell", "_r"), facts, k, list(carry), qtype, block_rows, seed)
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Regions a query must look at."""
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            if not len(part):
-                continue
-            d = _pivot_distances(_stack(part["vec"]), pivots)[:, cell]
-            slack = 1e-9 * (1.0 + d.max(1, keepdims=True) + far.max())
-            upper = d + far[None, :]
-            order = np.argsort(upper, axis=1)
-            held = np.cumsum(size[order], axis=1) >= k
-            reach = np.take_along_axis(upper, order, 1)[np.arange(len(part)), held.argmax(1)][:, None]
-            lower = np.maximum(np.maximum(d - far[None, :], near[None, :] - d), 0.0)
-            wanted = lower <= reach + slack
-            yield pd.DataFrame({"query_id": part["query_id"], "vec": part["vec"], "_regions": [region[w].tolist() for w in wanted]})
-
-    qtype = queries.schema["query_id"].dataType.simpleString()
-    vtype = queries.schema["vec"].dataType.simpleString()
-    visiting = queries.mapInPandas(visits, f"query_id {qtype}, vec {vtype}, _regions array<int>").withColumn("_region", F.explode("_regions")).drop("_regions")
-    callers = {row["_region"]: row["n"] for row in visiting.groupBy("_region").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Each region becomes a table of (training slice, query slice) blocks with at most block_rows rows a side.
-    slices = [(int(g), ceil(int(n) / block_rows), ceil(callers[int(g)] / block_rows)) for g, n in zip(region, size) if int(g) in callers]
-    t_parts = F.create_map(*[F.lit(x) for g, a, _ in slices for x in (g, a)])
-    q_parts = F.create_map(*[F.lit(x) for g, _, b in slices for x in (g, b)])
-
-    def sliced(df: DataFrame, ident: str, own: str, other: str, own_parts, other_parts) -> DataFrame:
+            if len(part):
+                reach, first, _ = facts.look(_stack(part["vec"]))
+                yield pd.DataFrame({"query_id": part["query_id"], "vec": part["vec"], "reach": reach, "_regions": first})
+
+    # First the regions around the query: their k-th distance is a far better bound than the regions' radii.
+    near = meeting.run(queries.mapInPandas(home, visit_schema))
+    folder = session.new_folder(train.sparkSession, "neighbours")
+    near.write.parquet(folder)
+    near = train.sparkSession.read.parquet(folder)
+    bound = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("sq_distance")).alias("_kth"))
+    bounded = queries.join(bound, "query_id").select("query_id", "vec", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth"))
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                reach, _, others = facts.look(_stack(part["vec"]), part["_kth"].to_numpy(dtype=np.float64))
+                yield pd.DataFrame({"query_id": part["query_id"], "vec": part["vec"], "reach": reach, "_regions": others})
+
+    far = meeting.run(bounded.mapInPandas(rest, visit_schema))
+    return _first_k(near.unionByName(far), k)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("sq_distance", "train_id")
+    return found.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class _RegionFacts:
+    """Row counts and radii of all regions, and what they say about a query."""
+
+    def __init__(self, pivots: np.ndarray, stats: list, k: int):
+        self.pivots, self.k = pivots, k
+        self.region = np.array([row["_region"] for row in stats])
+        self.size = np.array([row["n"] for row in stats])
+        self.near, self.far = (np.array([row[c] for row in stats]) for c in ("near", "far"))
+        self.cell = self.region // (MOST_RINGS + 1)
+
+    def look(self, vectors: np.ndarray, kth: np.ndarray | None = None):
+        """Distance sure to hold k rows, the regions that give it, and the other regions that reach within it."""
+        d = _pivot_distances(vectors, self.pivots)[:, self.cell]
+        upper = d + self.far[None, :]
+        order = np.argsort(upper, axis=1, kind="stable")
+        last = (np.cumsum(self.size[order], axis=1) >= self.k).argmax(1)
+        reach = np.take_along_axis(upper, order, 1)[np.arange(len(d)), last]
+        first = [self.region[o[: n + 1]].tolist() for o, n in zip(order, last)]
+        if kth is not None:
+            reach = np.fmin(reach, kth)
+        slack = 1e-7 * (1.0 + d.max(1) + self.far.max())
+        lower = np.maximum(np.maximum(d - self.far[None, :], self.near[None, :] - d), 0.0)
+        wanted = lower <= (reach + slack)[:, None]
+        for i, (o, n) in enumerate(zip(order, last)):
+            wanted[i, o[: n + 1]] = False
+        return reach + slack, first, [self.region[w].tolist() for w in wanted]
+
+
+class _Meeting:
+    """Compares queries with the rows of the regions they visit, in blocks of bounded size on both sides."""
+
+    def __init__(self, train, ringed, facts, k, carry, qtype, block_rows, seed):
+        self.ringed, self.facts, self.k, self.carry, self.block_rows, self.seed = ringed, facts, k, carry, block_rows, seed
+        ttype = train.schema["train_id"].dataType.simpleString()
+        extra = "".join(f", {c} {train.schema[c].dataType.simpleString()}" for c in carry)
+        self.schema = f"query_id {qtype}, train_id {ttype}, sq_distance double{extra}"
+
+    def run(self, visits: DataFrame) -> DataFrame:
+        visiting = visits.withColumn("_region", F.explode("_regions")).drop("_regions")
+        callers = {row["_region"]: row["n"] for row in visiting.groupBy("_region").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = zip(self.facts.region.tolist(), self.facts.size.tolist())
+        slices = [(g, ceil(n / self.block_rows), ceil(callers[g] / self.block_rows)) for g, n in sizes if g in callers]
+        if not slices:
+            return visits.sparkSession.createDataFrame([], self.schema)
+        t_parts = F.create_map(*[F.lit(x) for g, a, _ in slices for x in (g, a)])
+        q_parts = F.create_map(*[F.lit(x) for g, _, b in slices for x in (g, b)])
+        keys = ["_region", "_ts", "_qs"]
+        # A fixed number of partitions: the blocks are small in bytes but not in work, so they must not be merged.
+        tasks = min(20_000, sum(a * b for _, a, b in slices))
+        left = self._sliced(visiting, "query_id", "_qs", "_ts", q_parts, t_parts).repartition(tasks, *keys)
+        right = self._sliced(self.ringed, "train_id", "_ts", "_qs", t_parts, q_parts).repartition(tasks, *keys)
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(self.k, self.carry), self.schema)
+        return _first_k(met, self.k)
+
+    def _sliced(self, df: DataFrame, ident: str, own: str, other: str, own_parts, other_parts) -> DataFrame:
         wide = df.withColumns({"_mine": F.element_at(own_parts, F.col("_region")), "_theirs": F.element_at(other_parts, F.col("_region"))})
-        wide = wide.where("_mine is not null").withColumn(own, (h(seed, F.col(ident)) % F.col("_mine")).cast("int"))
+        wide = wide.where("_mine is not null").withColumn(own, (h(self.seed, F.col(ident)) % F.col("_mine")).cast("int"))
         return wide.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_mine", "_theirs")
 
-    left = sliced(visiting, "query_id", "_qs", "_ts", q_parts, t_parts)
-    right = sliced(ringed.drop("_cell", "_r"), "train_id", "_ts", "_qs", t_parts, q_parts)
-    kept = list(carry)
 
+def _meet(k: int, carry: list[str]):
     def meet(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asking) and len(rows):
-            rows = rows.sort_values("train_id", ignore_index=True)
-            points = _stack(rows["vec"])
-            norms = (points**2).sum(1)
-            for qid, q in zip(asking["query_id"], asking["vec"]):
-                q = np.asarray(q, dtype=np.float64)
-                rough = norms - 2.0 * (points @ q)
-                best = np.arange(len(rough))
-                if len(best) > k:
-                    # A cheap form of the distance picks candidates with a safe margin; the exact form decides.
-                    edge = np.partition(rough, k - 1)[k - 1] + 1e-9 * (1.0 + norms.max() + q @ q)
-                    best = np.flatnonzero(rough <= edge)
-                diff = points[best] - q
-                exact = np.einsum("ij,ij->i", diff, diff)
-                first = np.argsort(exact, kind="stable")[:k]
-                hit = rows.iloc[best[first]]
-                out.append(hit[["train_id", *kept]].assign(query_id=qid, sq_distance=exact[first]))
-        columns = ["query_id", "train_id", "sq_distance", *kept]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
-
-    ttype = train.schema["train_id"].dataType.simpleString()
-    extra = "".join(f", {c} {train.schema[c].dataType.simpleString()}" for c in kept)
-    keys = ["_region", "_ts", "_qs"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {qtype}, train_id {ttype}, sq_distance double{extra}")
-    w = Window.partitionBy("query_id").orderBy("sq_distance", "train_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        columns = ["query_id", "train_id", "sq_distance", *carry]
+        if not len(asking) or not len(rows):
+            return pd.DataFrame(columns=columns)
+        rows = rows.sort_values("train_id", ignore_index=True)
+        points, places = _stack(rows["vec"]), _stack(asking["vec"])
+        reach = asking["reach"].to_numpy(dtype=np.float64)
+        norms = (points**2).sum(1)
+        who, what, how_far = [], [], []
+        step = max(1, 4_000_000 // len(points))
+        for start in range(0, len(places), step):
+            q = places[start : start + step]
+            own = (q**2).sum(1)
+            # A cheap form of the distance picks candidates with a safe margin; the exact form decides.
+            rough = norms[None, :] + own[:, None] - 2.0 * q @ points.T
+            margin = 1e-9 * (1.0 + norms.max() + own)
+            edge = reach[start : start + step] ** 2
+            if len(points) > k:
+                edge = np.minimum(edge, np.partition(rough, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(rough <= (edge + margin)[:, None])
+            diff = points[j] - q[i]
+            exact = np.einsum("ij,ij->i", diff, diff)
+            order = np.lexsort((j, exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            who.append(i[keep] + start), what.append(j[keep]), how_far.append(exact[keep])
+        who, what = np.concatenate(who), np.concatenate(what)
+        out = rows.iloc[what][["train_id", *carry]].reset_index(drop=True)
+        out.insert(0, "query_id", asking["query_id"].to_numpy()[who])
+        out.insert(2, "sq_distance", np.concatenate(how_far))
+        return out[columns]
+
+    return meet
 
 
 def inverse_distance_mean(neighbours: DataFrame, targets: list[str]) -> DataFrame:

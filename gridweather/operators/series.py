@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridweather.operators.ordered import ordered_scan
@@ -142,3 +144,104 @@ def clean_curve(log: DataFrame, value: str) -> DataFrame:
 def gap_curve(log: DataFrame) -> DataFrame:
     """Validation minus training loss where both exist."""
     return log.where("train_loss is not null and val_loss is not null").select("epoch", (F.col("val_loss") - F.col("train_loss")).alias("gap"))
+
+
+# Thinning by distance depends on the last kept row, so it runs row by row inside blocks of bounded size.
+
+THIN_BLOCK_ROWS = 100_000
+
+
+def _next_kept(x: list[float], dx: float) -> list[int]:
+    """For each row the first later one at least ``dx`` beyond it, the length where there is none."""
+    out, stack, values = [len(x)] * len(x), [], []
+    for i in range(len(x) - 1, -1, -1):
+        # ``values`` are the negated heights a walker from i+1 on would meet as new maxima, the nearest last.
+        at = bisect_right(values, -(x[i] + dx))
+        out[i] = stack[at - 1] if at else len(x)
+        while values and -values[-1] <= x[i]:
+            values.pop(), stack.pop()
+        values.append(-x[i]), stack.append(i)
+    return out
+
+
+def _block_moves(dx: float, key: str, x: str, seq: str):
+    """Where a walk that enters a block ends in it, for every way of entering that the rows before allow."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(seq, ignore_index=True)
+        xs, last, most = rows[x].tolist(), rows["_last"].iloc[0], rows["_most"].iloc[0]
+        after = _next_kept(xs, dx)
+        end: dict[int, float] = {}
+        for i in range(len(xs) - 1, -1, -1):
+            end[i] = xs[i] if after[i] == len(xs) else end[after[i]]
+        low, moves, first = -math.inf, [], pd.isna(last)
+        for i, value in enumerate(xs):
+            if value > low:
+                if first:
+                    moves.append((-math.inf, math.inf, end[i]))
+                    break
+                # Entered here by a walk whose next goal lies in (low, value]; goals outside (last, most + dx] cannot be.
+                if value > last and low <= most + dx:
+                    moves.append((low, value, end[i]))
+                low = value
+        out = pd.DataFrame(moves, columns=["low", "high", "tail"])
+        return out.assign(**{key: rows[key].iloc[0], "_b": rows["_b"].iloc[0]})
+
+    return run
+
+
+def _walk(dx: float, key: str):
+    """Last kept position before each block of one series, from the blocks' moves."""
+
+    def run(moves: pd.DataFrame) -> pd.DataFrame:
+        moves = moves.sort_values(["_b", "high"], ignore_index=True)
+        at, out = None, []
+        for block, part in moves.groupby("_b", sort=True):
+            out.append((block, at))
+            goal = math.inf if at is None else at + dx
+            hit = part[part["high"] == math.inf] if at is None else part[(part["low"] < goal) & (goal <= part["high"])]
+            at = float(hit["tail"].iloc[0]) if len(hit) else at
+        return pd.DataFrame(out, columns=["_b", "_enter"]).assign(**{key: moves[key].iloc[0]}).astype({"_enter": "float64"})
+
+    return run
+
+
+def _thin(dx: float, x: str, seq: str):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(seq, ignore_index=True)
+        xs, enter = rows[x].tolist(), rows["_enter"].iloc[0]
+        after, kept = _next_kept(xs, dx), []
+        i = 0 if pd.isna(enter) else next((j for j, value in enumerate(xs) if value - enter >= dx), len(xs))
+        while i < len(xs):
+            kept.append(i)
+            i = after[i]
+        return rows.iloc[kept]
+
+    return run
+
+
+def thin_by_distance(track: DataFrame, key: str, seq: str, x: str, dx: float, rows_per_block: int = THIN_BLOCK_ROWS) -> DataFrame:
+    """Rows that moved at least ``dx`` since the last kept one; the first and the last row of a track stay.
+
+    ``seq`` counts from 0 without gaps. A track longer than a block is thinned in three steps: per block the possible entries and
+    where they lead, per track one walk over those, per block the thinning from its own entry. Only the rows within ``dx`` of a
+    block's start can be entries, so the walk sees a small part of the track.
+    """
+    if dx <= 0:
+        raise ValueError("the distance must be positive")
+    rows = track.select(key, seq, F.col(x).cast("double").alias(x)).withColumn("_b", F.floor(F.col(seq) / rows_per_block).cast("bigint"))
+    ktype, stype = (rows.schema[c].dataType.simpleString() for c in (key, seq))
+    blocks = rows.groupBy(key, "_b").agg(F.max_by(x, seq).alias("_end"), F.max(x).alias("_top"), F.max(seq).alias("_s"))
+    along = Window.partitionBy(key).orderBy("_b")
+    blocks = blocks.withColumns(
+        {"_last": F.lag("_end").over(along), "_most": F.max("_top").over(along.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.max("_b").over(Window.partitionBy(key))}
+    ).where("_n > 0")
+    long = rows.join(blocks.select(key, "_b", "_last", "_most"), [key, "_b"])
+    moves = long.groupBy(key, "_b").applyInPandas(_block_moves(dx, key, x, seq), f"low double, high double, tail double, {key} {ktype}, _b bigint")
+    enter = moves.groupBy(key).applyInPandas(_walk(dx, key), f"_b bigint, _enter double, {key} {ktype}")
+    # A block that no walk can enter has no moves and keeps nothing; the first block always has one.
+    staged = rows.join(blocks.select(key, "_b", F.lit(True).alias("_long")), [key, "_b"], "left").join(enter.withColumn("_reached", F.lit(True)), [key, "_b"], "left")
+    work = staged.where("_long is null or _reached").select(key, "_b", seq, x, "_enter")
+    kept = work.groupBy(key, "_b").applyInPandas(_thin(dx, x, seq), f"{key} {ktype}, _b bigint, {seq} {stype}, {x} double, _enter double")
+    last = rows.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(x, seq).alias(x))
+    return kept.select(key, seq, x).unionByName(last.select(key, seq, x)).distinct()

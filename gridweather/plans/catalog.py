@@ -13,6 +13,7 @@ MODULES = [
     "series_queries",
     "table_queries",
     "sample_queries",
+    "source_queries",
     "model_queries",
     "stream_queries",
 ]

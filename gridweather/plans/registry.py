@@ -43,6 +43,8 @@ def with_views(body: str) -> str:
     if not needed:
         return body
     head = ",\n".join(f"{v} as ({VIEW_SQL[v]})" for v in needed)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"

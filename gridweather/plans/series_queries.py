@@ -117,3 +117,11 @@ def as_of(spark, d):
     q = t.select("track_id", "seq", (F.col("x_m") + 50.0 * (F.col("seq") % 2)).alias("x_m"))
     out = series.as_of(q, t.where("seq % 3 = 1"), "track_id", "x_m", "seq", ["z_m"])
     return out.select("track_id", "seq", "x_m", "record_x_m", rounded("record_z_m").alias("record_z_m"))
+
+
+@query("win6_thin_by_distance", f"""with recursive t as (select track_id, seq, x_m + z_m/1e1 as x from v_track), k(track_id, seq, x) as (select track_id, seq, x from t where seq = 0
+      union all select k.track_id, min(t.seq), arg_min(t.x, t.seq) from k join t on t.track_id = k.track_id and t.seq > k.seq and t.x - k.x >= 25e1 group by k.track_id, k.seq),
+    e as (select track_id, max(seq) as seq, arg_max(x, seq) as x from t group by track_id) select track_id, seq, {r("x")} as x from (select * from k union select * from e)""")
+def thin_by_distance(spark, d):
+    t = v.track(spark, d).select("track_id", "seq", (F.col("x_m") + F.col("z_m") / 10.0).alias("x"))
+    return series.thin_by_distance(t, "track_id", "seq", "x", 250.0).select("track_id", "seq", rounded("x").alias("x"))

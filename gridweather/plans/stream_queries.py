@@ -1,10 +1,9 @@
-"""Streams over copies of the event and order tables, split into several files so that there are several batches."""
+"""Streams over copies of the event table that arrive in parts, one batch each."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweather.functions import scalars as s
 from gridweather.functions.hashing import rounded
 from gridweather.operators import stats
 from gridweather.plans.metric_queries import COLS, long_sql
@@ -12,31 +11,25 @@ from gridweather.plans.registry import query, r
 from gridweather.plans.series_queries import CHANGES, COARSE_KEY, keyed
 from gridweather.sources import views as v
 from gridweather.streaming import jobs
-from gridweather.streaming.state import new_folder
+from gridweather.session import new_folder
 
-CHUNKS = 4
+ARRIVALS = [(1, 10), (11, 20), (21, 31)]
 
 
-def as_stream(df, by: str, folder: str):
-    """Write a table as a few files in the order of ``by`` and read them back as a stream, one file per batch."""
-    source = f"{folder}/source"
-    for number in range(CHUNKS):
-        # Rank by share of the range, not by a sort of everything.
-        df.where(F.col("_chunk") == number).drop("_chunk").coalesce(1).write.mode("append").parquet(source)
+def arriving(df, at: str, source: str):
+    """Append the table in parts, as days would come in, and hand out the stream over the folder after each part."""
     spark = df.sparkSession
-    plain = spark.read.parquet(source).schema
-    return spark.readStream.schema(plain).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
-
-
-def chunk_by_day(df, at: str):
-    return df.withColumn("_chunk", F.least(F.floor((F.dayofmonth(at) - 1) / 8), F.lit(CHUNKS - 1)).cast("int"))
+    for low, high in ARRIVALS:
+        df.where(F.dayofmonth(at).between(low, high)).write.mode("append").parquet(source)
+        yield spark.readStream.schema(df.schema).parquet(source)
 
 
 @query("str1_running_moments", f"with l as ({long_sql(COLS)}) select name, count(*) as n, {r('avg(x)')} as mean, {r('stddev_samp(x)')} as std from l group by name")
 def running_moments(spark, d):
     folder = new_folder(spark, "moments")
-    stream = as_stream(chunk_by_day(v.obs(spark, d), "valid_time"), "valid_time", folder)
-    out = stats.std_from_moments(jobs.running_moments(stream, COLS, folder))
+    for stream in arriving(v.obs(spark, d), "valid_time", f"{folder}/source"):
+        seen = jobs.running_moments(stream, COLS, folder)
+    out = stats.std_from_moments(seen)
     return out.select("name", "n", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
@@ -45,16 +38,16 @@ def running_moments(spark, d):
 def rate_windows(spark, d):
     folder = new_folder(spark, "rates")
     q = v.requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = as_stream(chunk_by_day(q, "ts"), "ts", folder)
-    out = jobs.rate_stream(stream, folder, at="ts", client="client_id", window="1 hour", limit=1)
+    for stream in arriving(q, "ts", f"{folder}/source"):
+        out = jobs.rate_stream(stream, folder, at="ts", client="client_id", window="1 hour", limit=1)
     return out.select(F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "client_id", "requests", "over_limit")
 
 
 @query("str3_change_stream", f"with {CHANGES.format(key=COARSE_KEY)} select obs_id, user_id, state_key from c where changed")
 def change_stream(spark, d):
     folder = new_folder(spark, "changes")
-    stream = as_stream(chunk_by_day(keyed(spark, d), "valid_time"), "valid_time", folder)
-    out = jobs.change_stream(stream, "user_id", "valid_time", "obs_id", "state_key", folder)
+    for stream in arriving(keyed(spark, d), "valid_time", f"{folder}/source"):
+        out = jobs.change_stream(stream, "user_id", "valid_time", "obs_id", "state_key", folder)
     return out.select("obs_id", "user_id", "state_key")
 
 
@@ -62,7 +55,8 @@ def change_stream(spark, d):
 def live_registry(spark, d):
     folder = new_folder(spark, "registry")
     e = v.table(spark, d, "events").select("user_id", "event_id", "ts", "value")
-    out = jobs.registry_stream(as_stream(chunk_by_day(e, "ts"), "ts", folder), "user_id", "ts", folder)
+    for stream in arriving(e, "ts", f"{folder}/source"):
+        out = jobs.registry_stream(stream, "user_id", "ts", folder)
     return out.select("user_id", "event_id", rounded("value").alias("value"))
 
 

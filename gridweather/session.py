@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,15 @@ def work_folder(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="gridweather-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder nobody else uses, below the shared one."""
+    return f"{work_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(spark))

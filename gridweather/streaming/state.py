@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
-
-from gridweather import session
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{session.work_folder(spark)}/{name}-{uuid4().hex}"
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def run_available(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None]) -> None:
     """Work through everything that has arrived, then stop; a later call goes on where this one ended."""
-    query = (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -26,15 +17,11 @@ def version(folder: str, batch: int) -> str:
     return f"{folder}/state/version={batch}"
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest state, None before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = [int(p.getName().split("=")[1]) for p in done]
-    return spark.read.parquet(version(folder, max(numbers))) if numbers else None
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest state."""
+    every = spark.read.parquet(f"{folder}/state")
+    newest = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == newest).drop("version")
 
 
 def before(spark: SparkSession, folder: str, batch: int, schema) -> DataFrame:
