@@ -19,6 +19,3 @@ def u01(seed: Column | int | str, ident: Column | str) -> Column:
     """Uniform double in [0, 1)."""
     return h(seed, ident).cast("double") / F.lit(HASH_RANGE)
 
-
-def rounded(col: Column | str, digits: int = 6) -> Column:
-    return F.round(col if isinstance(col, Column) else F.col(col), digits)

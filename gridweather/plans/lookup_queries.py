@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweather.functions import scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators import lookup as lk, metrics as mt
-from gridweather.plans.registry import query, r
+from gridweather.plans.registry import query, r, rounded
 from gridweather.sources import views as v
 
 SECONDS = "(cast(extract(hour from valid_time)*3600 + extract(minute from valid_time)*60 + floor(extract(second from valid_time)) as double))"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweather.functions import features as ft, scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators import metrics as mt, series, stats
-from gridweather.plans.registry import h, query, r
+from gridweather.plans.registry import h, query, r, rounded
 from gridweather.plans.scalar_queries import HOUR, LON180
 from gridweather.sources import views as v
 

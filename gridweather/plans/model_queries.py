@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweather.functions import features as ft, scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators import metrics as mt, models as ml, neighbours as nn, sampling as sm, stats
 from gridweather.plans.lookup_queries import exact_values
-from gridweather.plans.registry import query, r
+from gridweather.plans.registry import query, r, rounded
 from gridweather.plans.scalar_queries import HOUR, PI2
 from gridweather.sources import views as v
 

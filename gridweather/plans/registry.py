@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridweather import session
 from gridweather.sources.views import VIEW_SQL
@@ -50,9 +50,20 @@ def with_views(body: str) -> str:
     return f"with {head}\n{body}"
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding, so that a decimal tie goes the same way in both engines whatever the order of a sum."""
+    return float(f"3e-{digits + 4}")
+
+
 def r(expr: str, digits: int = 6) -> str:
     """Rounded double in SQL without a negative zero."""
-    return f"(case when abs({expr}) < 5e-{digits + 1} then 0e0 else round({expr}, {digits}) end)"
+    x = f"({expr} + {nudge(digits)!r})"
+    return f"(case when abs({x}) < 5e-{digits + 1} then 0e0 else round({x}, {digits}) end)"
+
+
+def rounded(col: Column | str, digits: int = 6) -> Column:
+    """Twin of ``r``."""
+    return F.round((col if isinstance(col, Column) else F.col(col)) + nudge(digits), digits)
 
 
 def h(seed: str, ident: str) -> str:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweather.functions.hashing import h as hash60, rounded, u01 as unit
+from gridweather.functions.hashing import u01 as unit
 from gridweather.operators import lookup as lk, sampling as sm
-from gridweather.plans.registry import h, query, r, u01
+from gridweather.plans.registry import h, query, r, rounded, u01
 from gridweather.sources import views as v
 
 DAY = "cast(valid_time as date)"

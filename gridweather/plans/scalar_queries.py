@@ -7,9 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from gridweather.functions import features as ft, scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators.stats import month_coverage
-from gridweather.plans.registry import query, r
+from gridweather.plans.registry import query, r, rounded
 from gridweather.sources import views as v
 
 PI2 = repr(2.0 * math.pi)

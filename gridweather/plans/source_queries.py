@@ -7,12 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from gridweather.functions import scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators import metrics as mt, stats
 from gridweather.plans.lookup_queries import NEAR, AXES, fold_sql, queries_at
 from gridweather.operators import lookup as lk
 from gridweather.plans.metric_queries import BAND, ERR, tidy
-from gridweather.plans.registry import query, r, u01
+from gridweather.plans.registry import query, r, rounded, u01
 from gridweather.session import new_folder
 from gridweather.sources import readers as rd, sinks as sk, views as v
 

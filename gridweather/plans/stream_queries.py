@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridweather.functions.hashing import rounded
 from gridweather.operators import stats
 from gridweather.plans.metric_queries import COLS, long_sql
-from gridweather.plans.registry import query, r
+from gridweather.plans.registry import query, r, rounded
 from gridweather.plans.series_queries import CHANGES, COARSE_KEY, keyed
 from gridweather.sources import views as v
 from gridweather.streaming import jobs

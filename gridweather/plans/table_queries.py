@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridweather.functions import scalars as s
-from gridweather.functions.hashing import rounded
 from gridweather.operators import stats, tables as tb, validate as vd
-from gridweather.plans.registry import query, r
+from gridweather.plans.registry import query, r, rounded
 from gridweather.plans.scalar_queries import HOUR, LON180
 from gridweather.sources import views as v
 
