@@ -1,7 +1,9 @@
 """Grid lookups: position on an axis by arithmetic, then an equi-join on the cell.
 
 Axis values are few (a day's hours, a grid's rows and columns), so they are read once and placed in the plan as constants; no
-range join is ever needed. Cells are matched on integer keys, where a crowded cell is split by the skew-join rule.
+range join is ever needed. A grid is first folded to one wide row per column of air, so a lookup meets one row per column and
+not one per level. Columns are matched on integer keys, where a crowded one is split by the skew-join rule. What follows the
+match is arithmetic inside the row.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from gridweather.functions.scalars import G0, c, clip, fold_lon_360, is_finite
 
 AXIS_LIMIT = 100_000
 VALUES = ["t_k", "u_mps", "v_mps"]
+CELL = ["time_i", "lat_i", "lon_i"]
 
 
 @dataclass(frozen=True)
@@ -113,10 +116,12 @@ class GridAxes:
     time: Axis
     lat: Axis
     lon: Axis
+    levels: dict[int, float]
+    """Pressure in hPa by level index."""
 
 
 def grid_axes(grid: DataFrame) -> GridAxes:
-    """The three axes of a long grid in one pass; the time axis is that of a day."""
+    """The axes of a long grid in one pass; the time axis is that of a day."""
     pairs = (
         grid.select(
             F.explode(
@@ -124,6 +129,7 @@ def grid_axes(grid: DataFrame) -> GridAxes:
                     F.struct(F.lit("time").alias("axis"), F.col("time_i").alias("i"), F.col("t_sec").cast("double").alias("x")),
                     F.struct(F.lit("lat").alias("axis"), F.col("lat_i").alias("i"), F.col("lat").alias("x")),
                     F.struct(F.lit("lon").alias("axis"), F.col("lon_i").alias("i"), F.col("lon").alias("x")),
+                    F.struct(F.lit("level").alias("axis"), F.col("level_i").alias("i"), F.col("level_hpa").alias("x")),
                 )
             ).alias("p")
         )
@@ -138,7 +144,8 @@ def grid_axes(grid: DataFrame) -> GridAxes:
     for name, axis in found.items():
         if sorted(axis) != list(range(len(axis))):
             raise ValueError(f"the {name} index must run from 0 without gaps")
-    return GridAxes(*[Axis(tuple(found[n][i] for i in range(len(found[n])))) for n in ("time", "lat", "lon")])
+    levels = {p["i"]: p["x"] for p in pairs if p["axis"] == "level"}
+    return GridAxes(*[Axis(tuple(found[n][i] for i in range(len(found[n])))) for n in ("time", "lat", "lon")], dict(sorted(levels.items())))
 
 
 def grid_lon(lon: Column | str, axis: Axis, wrap: bool = False) -> Column:
@@ -149,13 +156,54 @@ def grid_lon(lon: Column | str, axis: Axis, wrap: bool = False) -> Column:
     return x
 
 
-def nearest_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, id_col="obs_id", t_sec="t_query") -> DataFrame:
-    """Levels of the nearest column: hour, latitude and longitude are each chosen by themselves."""
+def grid_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
+    """One row per (time, lat, lon) with a column per level and variable, named like ``t_k_3``.
+
+    Worth writing once, bucketed by the three indices, where many lookups follow.
+    """
+    picks = [
+        F.max(F.when(F.col("level_i") == level, F.col(name))).alias(f"{name}_{level}") for level in axes.levels for name in [*VALUES, "z_m2s2"]
+    ]
+    return grid.groupBy(*CELL).agg(*picks)
+
+
+def _profile(axes: GridAxes) -> Column:
+    """Array of the usable levels in height order, from the wide columns; as long as the grid has levels."""
+    entries = []
+    for level, hpa in axes.levels.items():
+        names = [f"{n}_{level}" for n in [*VALUES, "z_m2s2"]]
+        whole = is_finite(names[0])
+        for n in names[1:]:
+            whole = whole & is_finite(n)
+        fields = [(F.col(names[3]) / G0).alias("z"), F.lit(level).alias("level_i"), *[F.col(n).alias(v) for n, v in zip(names, VALUES)]]
+        entries.append(F.when(whole, F.struct(*fields, F.lit(hpa * 100.0).alias("p"))))
+    return F.array_sort(F.array_compact(F.array(*entries)))
+
+
+def _with_profile(df: DataFrame, keep: list[str], axes: GridAxes) -> DataFrame:
+    """Add ``profile``; of equal heights only the first level counts, rows without any level are left out."""
+    staged = df.select(*keep, _profile(axes).alias("_all"))
+    new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
+    return staged.where(F.size("_all") > 0).withColumn("profile", new).drop("_all")
+
+
+def nearest_cells(queries: DataFrame, axes: GridAxes, t_sec: str = "t_query") -> DataFrame:
+    """Add the nearest hour, latitude and longitude index, each chosen by itself."""
     keyed = axes.time.nearest(queries, t_sec, "time_i")
     keyed = axes.lat.nearest(keyed, "lat", "lat_i")
-    keyed = axes.lon.nearest(keyed, fold_lon_360("lon"), "lon_i")
-    cells = grid.select("time_i", "lat_i", "lon_i", "level_i", "level_hpa", *VALUES, "z_m2s2")
-    return keyed.join(cells, ["time_i", "lat_i", "lon_i"])
+    return axes.lon.nearest(keyed, fold_lon_360("lon"), "lon_i")
+
+
+def nearest_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
+    """Levels of the nearest column, one row each."""
+    cells = grid.select(*CELL, "level_i", "level_hpa", *VALUES, "z_m2s2")
+    return nearest_cells(queries, axes, t_sec).join(cells, CELL)
+
+
+def nearest_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
+    """Queries with the sorted profile of their nearest column."""
+    joined = nearest_cells(queries, axes, t_sec).join(grid_profiles(grid, axes), CELL)
+    return _with_profile(joined, queries.columns, axes)
 
 
 def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
@@ -185,53 +233,45 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
     )
 
 
-def interpolated_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, id_col="obs_id", t_sec="t_query", wrap_lon=False):
-    """Bilinear in place and linear in time, per level. A level with a missing corner value stays NULL."""
-    keep = [x for x in queries.columns if x != id_col]
+def interpolated_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
+    """Bilinear in place and linear in time for all levels at once: queries with wide level columns.
+
+    A value with a missing corner becomes NaN, also where that corner's weight is zero.
+    """
     corners = corner_weights(queries, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    corners = corners.select(id_col, F.struct(*keep, "time_frac", "time_lo", "time_hi").alias("_q"), "time_i", "lat_i", "lon_i", "w")
-    cells = grid.select("time_i", "lat_i", "lon_i", "level_i", "level_hpa", *VALUES, "z_m2s2")
-    # Spread by query first: the level sums and the later vertical fold then share this one exchange.
-    spread = corners.join(cells, ["time_i", "lat_i", "lon_i"]).repartition(F.col(id_col))
+    joined = corners.join(grid_profiles(grid, axes), CELL)
+    names = [f"{n}_{level}" for level in axes.levels for n in [*VALUES, "z_m2s2"]]
+    sums = [F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in names]
+    return joined.groupBy(*queries.columns, "time_frac", "time_lo", "time_hi").agg(*sums)
 
-    def weighted(name: str) -> Column:
-        whole = F.count(name) == F.count(F.lit(1))
-        return F.when(whole, F.sum(F.col("w") * F.col(name))).alias(name)
 
-    out = spread.groupBy(id_col, "level_i").agg(
-        F.first("_q").alias("_q"), F.first("level_hpa").alias("level_hpa"), *[weighted(n) for n in [*VALUES, "z_m2s2"]]
-    )
-    return out.select(id_col, "_q.*", "level_i", "level_hpa", *VALUES, "z_m2s2")
+def interpolated_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
+    """Queries with the sorted profile interpolated in place and time."""
+    wide = interpolated_columns(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon)
+    return _with_profile(wide, [*queries.columns, "time_frac", "time_lo", "time_hi"], axes)
 
 
-def vertical_value(levels: DataFrame, *, id_col="obs_id", altitude="altitude_m", keep=(), pressure: str = "log") -> DataFrame:
-    """Value at the wanted altitude from the levels of each query.
+def level_rows(wide: DataFrame, axes: GridAxes, keep: list[str]) -> DataFrame:
+    """One row per level from wide columns."""
+    entries = [
+        F.struct(F.lit(level).alias("level_i"), F.lit(hpa).alias("level_hpa"), *[F.col(f"{n}_{level}").alias(n) for n in [*VALUES, "z_m2s2"]])
+        for level, hpa in axes.levels.items()
+    ]
+    return wide.select(*keep, F.explode(F.array(*entries)).alias("_l")).select(*keep, "_l.*")
 
-    Levels with a missing value are left out, of equal heights the first level counts, the altitude is held within the profile,
-    and pressure is linear or logarithmic in height.
+
+def at_height(df: DataFrame, height: str, pressure: str = "log") -> DataFrame:
+    """Values of the row's profile at a height: linear, pressure linear or logarithmic, held at the ends.
+
+    Adds the four values, the height as held (``clipped_m``) and the nearer level's height and pressure.
     """
-    z = F.col("z_m2s2") / G0
-    usable = is_finite("z_m2s2")
-    for name in VALUES:
-        usable = usable & is_finite(name)
-    rows = levels.where(usable).withColumn("_z", z)
-    entry = F.struct(F.col("_z").alias("z"), *[F.col(n) for n in VALUES], (F.col("level_hpa") * 100.0).alias("p"))
-    up, down = F.struct("_z", "level_i"), F.struct("_z", -F.col("level_i"))
-    alt = F.col(altitude)
-    ends = rows.groupBy(id_col).agg(
-        F.max_by(entry, F.when(F.col("_z") <= alt, down)).alias("below"),
-        F.min_by(entry, F.when(F.col("_z") >= alt, up)).alias("above"),
-        F.min_by(entry, up).alias("bottom"),
-        F.max_by(entry, down).alias("top"),
-        F.first(altitude).alias(altitude),
-        *[F.first(k).alias(k) for k in keep],
-    )
-    shaped = ends.withColumns({"_lo": F.coalesce("below", "bottom"), "_hi": F.coalesce("above", "top")}).withColumn(
-        "clipped_m", clip(alt, F.col("bottom.z"), F.col("top.z"))
-    )
-    return between(shaped, "clipped_m", pressure).select(
-        id_col, altitude, *keep, "clipped_m", *VALUES, "p_pa", "near_z_m", "near_p_pa"
+    p, h = F.col("profile"), F.col(height)
+    df = df.withColumns({"_below": F.size(F.filter(p, lambda e: e["z"] <= h)), "_size": F.size(p)})
+    df = df.withColumns(
+        {"_lo": F.get(p, F.greatest(F.col("_below") - 1, F.lit(0))), "_hi": F.get(p, F.least(F.col("_below"), F.col("_size") - 1))}
     )
+    df = df.withColumn("clipped_m", F.greatest(F.col("_lo.z"), F.least(F.col("_hi.z"), h)))
+    return between(df, "clipped_m", pressure).drop("_below", "_size")
 
 
 def between(df: DataFrame, at: str, pressure: str) -> DataFrame:
@@ -250,31 +290,6 @@ def between(df: DataFrame, at: str, pressure: str) -> DataFrame:
     ).drop("_lo", "_hi", "_f")
 
 
-def sorted_profile(levels: DataFrame, *, id_col="obs_id", keep=()) -> DataFrame:
-    """One row per query with its levels in height order, the first level of equal heights only.
-
-    A profile has as many entries as the grid has levels, so the array stays small.
-    """
-    entry = F.struct(
-        (F.col("z_m2s2") / G0).alias("z"), F.col("level_i"), *[F.col(n) for n in VALUES], (F.col("level_hpa") * 100.0).alias("p")
-    )
-    packed = levels.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_all"), *[F.first(k).alias(k) for k in keep])
-    new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
-    return packed.select(id_col, *keep, new.alias("profile"))
-
-
-def at_height(df: DataFrame, profile: str, height: str) -> DataFrame:
-    """Add the values of a sorted profile at a height: linear in all four variables, held at the ends."""
-    p, h = F.col(profile), F.col(height)
-    df = df.withColumns({"_below": F.size(F.filter(p, lambda e: e["z"] <= h)), "_size": F.size(p)})
-    # The entry above is the one after the last at or below, unless that one is met exactly or is the top.
-    df = df.withColumns(
-        {"_lo": F.get(p, F.greatest(F.col("_below") - 1, F.lit(0))), "_hi": F.get(p, F.least(F.col("_below"), F.col("_size") - 1))}
-    )
-    df = df.withColumn("_h", F.greatest(F.col("_lo.z"), F.least(F.col("_hi.z"), h)))
-    return between(df, "_h", "linear").drop("_below", "_size", "_h", "near_z_m", "near_p_pa")
-
-
 def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str, y: str, values: list[str], id_col: str) -> DataFrame:
     """Bilinear lookup in a two-axis value table with columns a_i, b_i and any number of value columns."""
     placed = b.table_bracket(a.table_bracket(queries, x, "_p"), y, "_q")

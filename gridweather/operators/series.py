@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -206,16 +207,20 @@ def _walk(dx: float, key: str):
     return run
 
 
-def _thin(dx: float, x: str, seq: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, ignore_index=True)
-        xs, enter = rows[x].tolist(), rows["_enter"].iloc[0]
-        after, kept = _next_kept(xs, dx), []
-        i = 0 if pd.isna(enter) else next((j for j, value in enumerate(xs) if value - enter >= dx), len(xs))
-        while i < len(xs):
-            kept.append(i)
-            i = after[i]
-        return rows.iloc[kept]
+def _thin(dx: float, key: str, x: str):
+    """Greedy walk over partitions sorted by (key, block, row); only the last kept position is carried from row to row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, None
+        for part in batches:
+            kept = []
+            for i, (k, block, value, enter) in enumerate(zip(part[key].tolist(), part["_b"].tolist(), part[x].tolist(), part["_enter"].tolist())):
+                if (k, block) != group:
+                    group, last = (k, block), None if enter != enter or enter is None else enter
+                if last is None or value - last >= dx:
+                    kept.append(i)
+                    last = value
+            yield part.iloc[kept]
 
     return run
 
@@ -242,6 +247,7 @@ def thin_by_distance(track: DataFrame, key: str, seq: str, x: str, dx: float, ro
     # A block that no walk can enter has no moves and keeps nothing; the first block always has one.
     staged = rows.join(blocks.select(key, "_b", F.lit(True).alias("_long")), [key, "_b"], "left").join(enter.withColumn("_reached", F.lit(True)), [key, "_b"], "left")
     work = staged.where("_long is null or _reached").select(key, "_b", seq, x, "_enter")
-    kept = work.groupBy(key, "_b").applyInPandas(_thin(dx, x, seq), f"{key} {ktype}, _b bigint, {seq} {stype}, {x} double, _enter double")
+    sorted_rows = work.repartition(key, "_b").sortWithinPartitions(key, "_b", seq)
+    kept = sorted_rows.mapInPandas(_thin(dx, key, x), f"{key} {ktype}, _b bigint, {seq} {stype}, {x} double, _enter double")
     last = rows.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(x, seq).alias(x))
     return kept.select(key, seq, x).unionByName(last.select(key, seq, x)).distinct()

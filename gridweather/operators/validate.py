@@ -48,14 +48,14 @@ def check_records(df: DataFrame, json: str, rule: RecordRule) -> DataFrame:
     """Add ``reasons`` (all faults, sorted) and ``record`` (typed, with defaults; NULL where there is a fault)."""
     staged = df.withColumn("_v", F.try_parse_json(json)).withColumn("_keys", F.json_object_keys(json))
     number = F.lit("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
+    kinds = {f"_k_{n}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in rule.numbers}
+    staged = staged.withColumns(kinds | {f"_x_{n}": F.try_variant_get("_v", f"$.{n}", "double") for n in rule.numbers})
+    staged = staged.withColumns({f"_k_{n}": F.coalesce(F.regexp_like(f"_k_{n}", number), F.lit(False)) for n in rule.numbers})
     reasons: list[Column] = [F.when(F.col("_v").isNull() | F.col("_keys").isNull(), F.lit("not an object"))]
     typed = []
     for name, (low, high) in rule.numbers.items():
-        raw = F.try_variant_get("_v", f"$.{name}", "variant")
-        kind = F.schema_of_variant(raw)
-        value = F.try_variant_get("_v", f"$.{name}", "double")
+        is_number, value = F.col(f"_k_{name}"), F.col(f"_x_{name}")
         present = F.array_contains("_keys", name)
-        is_number = F.coalesce(F.regexp_like(kind, number), F.lit(False))
         reasons += [
             F.when(~present, F.lit(f"{name} missing")),
             F.when(present & ~is_number, F.lit(f"{name} not a number")),
@@ -73,7 +73,7 @@ def check_records(df: DataFrame, json: str, rule: RecordRule) -> DataFrame:
     extra = F.transform(F.array_except(F.coalesce("_keys", F.array().cast("array<string>")), known), lambda k: F.concat(F.lit("unknown "), k))
     found = F.array_sort(F.concat(F.array_compact(F.array(*reasons)), extra))
     out = staged.withColumn("reasons", found).withColumn("record", F.when(F.size("reasons") == 0, F.struct(*typed)))
-    return out.drop("_v", "_keys")
+    return out.drop("_v", "_keys", *[f"_{c}_{n}" for c in "kx" for n in rule.numbers])
 
 
 def points_ok(points: str, duration: str, limit: int = MAX_POINTS) -> Column:

@@ -58,7 +58,7 @@ def value_cols():
 
 def nearest_values(spark, d):
     g = v.grid(spark, d)
-    return lk.vertical_value(lk.nearest_columns(queries_at(spark, d), g, lk.grid_axes(g)), pressure="linear")
+    return lk.at_height(lk.nearest_profiles(queries_at(spark, d), g, lk.grid_axes(g)), "altitude_m", "linear")
 
 
 @query("flagship_band_temperature", f"""with {AXES}, {NEAR}, {fold_sql("lv", "linear")}, b as (select *, {mt.band_sql("altitude_m")} as band from fv)
@@ -113,8 +113,9 @@ BOTH_TIMES = "case when t_lo = t_hi then [{'i': t_lo, 'w': 1e0}] else [{'i': t_l
 LEVEL_SQL = f"obs_id, level_i, {r('t_k')} as t_k, {r('u_mps')} as u_mps, {r('v_mps')} as v_mps, {r('z', 4)} as z_m"
 
 
-def level_cols():
-    return ["obs_id", "level_i", *[rounded(n).alias(n) for n in lk.VALUES], rounded(F.col("z_m2s2") / s.G0, 4).alias("z_m")]
+def level_values(queries, grid, axes, *keep):
+    rows = lk.level_rows(lk.interpolated_columns(queries, grid, axes), axes, ["obs_id", *keep])
+    return rows.select("obs_id", "level_i", *[rounded(n).alias(n) for n in lk.VALUES], rounded(F.col("z_m2s2") / s.G0, 4).alias("z_m"), *keep)
 
 
 @query("join3_bilinear_profile", f"""with {AXES}, {BRACKETS}, {corners_sql("[{'i': t_lo, 'w': 1e0}]")} select {LEVEL_SQL} from pr""")
@@ -123,19 +124,19 @@ def bilinear(spark, d):
     axes = lk.grid_axes(g)
     hours = F.array(*[F.lit(t) for t in axes.time.values])
     at_hour = axes.time.bracket(queries_at(spark, d), "t_query", "_b").withColumn("t_query", F.get(hours, F.col("_b.lo"))).drop("_b")
-    return lk.interpolated_profiles(at_hour, g, axes).select(*level_cols())
+    return level_values(at_hour, g, axes)
 
 
 @query("join4_time_blend", f"""with {AXES}, {BRACKETS}, {corners_sql(BOTH_TIMES)} select {LEVEL_SQL}, t_lo as time_lo, t_hi as time_hi, {r("t_frac", 9)} as time_frac from pr""")
 def time_blend(spark, d):
     g = v.grid(spark, d)
-    out = lk.interpolated_profiles(queries_at(spark, d), g, lk.grid_axes(g))
-    return out.select(*level_cols(), "time_lo", "time_hi", rounded("time_frac", 9).alias("time_frac"))
+    out = level_values(queries_at(spark, d), g, lk.grid_axes(g), "time_lo", "time_hi", "time_frac")
+    return out.withColumn("time_frac", rounded("time_frac", 9))
 
 
 def exact_values(spark, d):
     g = v.grid(spark, d)
-    return lk.vertical_value(lk.interpolated_profiles(queries_at(spark, d), g, lk.grid_axes(g)))
+    return lk.at_height(lk.interpolated_profiles(queries_at(spark, d), g, lk.grid_axes(g)), "altitude_m")
 
 
 EXACT = f"{AXES}, {BRACKETS}, {corners_sql(BOTH_TIMES)}, {fold_sql('pr', 'log')}"
@@ -158,9 +159,9 @@ def column_lookup(spark, d):
     select obs_id // 100 as obs_id, obs_id % 100 as step, altitude_m, {r("t_k")} as t_k, {r("p_pa", 4)} as p_pa, {r("u_mps")} as u_mps, {r("v_mps")} as v_mps from fv""")
 def profile_resample(spark, d):
     g = v.grid(spark, d)
-    p = lk.sorted_profile(lk.nearest_columns(queries_at(spark, d), g, lk.grid_axes(g)))
+    p = lk.nearest_profiles(queries_at(spark, d).drop("altitude_m"), g, lk.grid_axes(g))
     out = p.select("obs_id", "profile", F.posexplode(F.expr("transform(sequence(0, 40), k -> 5e2 * k)")).alias("step", "altitude_m"))
-    out = lk.at_height(out, "profile", "altitude_m")
+    out = lk.at_height(out, "altitude_m", "linear")
     return out.select("obs_id", "step", "altitude_m", *value_cols())
 
 

@@ -174,12 +174,9 @@ def incremental_ingest(spark, d):
     select f.obs_id, {r("o.lat")} as lat, {r(f"sin({PI2}e0*extract(doy from o.valid_time)/365e0)")} as day_sin, {r("f.t_k")} as t_k, pz.levels, {r("pz.z0", 4)} as z_0, {r("f.p_pa", 3)} as p_pa from fv f join v_obs o using (obs_id) join pz using (obs_id)""")
 def json_lines(spark, d):
     g = v.grid(spark, d)
-    axes = lk.grid_axes(g)
-    near = lk.nearest_columns(queries_at(spark, d), g, axes)
-    values = lk.vertical_value(near, pressure="linear").select("obs_id", "t_k", "p_pa")
-    profile = lk.sorted_profile(near, keep=("lat", "lon", "valid_time"))
+    profile = lk.at_height(lk.nearest_profiles(queries_at(spark, d), g, lk.grid_axes(g)), "altitude_m", "linear")
     day = s.harmonics(F.dayofyear("valid_time"), s.ROW_YEAR_DAYS, 1, "day")
-    rows = profile.join(values, "obs_id").select(
+    rows = profile.select(
         "obs_id", F.struct("lat", "lon", day["day_sin_1"].alias("day_sin"), day["day_cos_1"].alias("day_cos")).alias("initial_conditions"),
         F.struct(F.struct("t_k", "p_pa").alias("point"), F.struct(F.col("profile.z").alias("z"), F.col("profile.t_k").alias("t_k")).alias("profile")).alias("environment"))
     path = new_folder(spark, "rows")

@@ -71,9 +71,12 @@ def test_table_bracket_top_edge(spark):
 
 @pytest.mark.parametrize("pressure, want", [("log", math.sqrt(1e5 * 9e4)), ("linear", 95000.0)])
 def test_vertical_pressure(spark, pressure, want):
-    rows = [(1, 500.0, 1, 1000.0, 280.0, 1.0, 2.0, 0.0), (1, 500.0, 2, 900.0, 270.0, 3.0, 4.0, 1000.0 * s.G0), (1, 500.0, 3, 800.0, None, 3.0, 4.0, 600.0 * s.G0)]
-    levels = spark.createDataFrame(rows, "obs_id int, altitude_m double, level_i int, level_hpa double, t_k double, u_mps double, v_mps double, z_m2s2 double")
-    got = lk.vertical_value(levels, pressure=pressure).first()
+    values = [(1, 1000.0, 280.0, 1.0, 2.0, 0.0), (2, 900.0, 270.0, 3.0, 4.0, 1000.0 * s.G0), (3, 800.0, None, 3.0, 4.0, 600.0 * s.G0), (4, 700.0, 1.0, 1.0, 1.0, 0.0)]
+    rows = [(0, 0, 0, 0.0, 0.0, 0.0, *v) for v in values]
+    g = spark.createDataFrame(rows, "time_i int, lat_i int, lon_i int, t_sec double, lat double, lon double, level_i int, level_hpa double, t_k double, u_mps double, v_mps double, z_m2s2 double")
+    q = spark.createDataFrame([(1, 5.0, 5.0, 5.0, 500.0)], "obs_id int, t_query double, lat double, lon double, altitude_m double")
+    # The level without a temperature and the second level at height 0 do not count.
+    got = lk.at_height(lk.nearest_profiles(q, g, lk.grid_axes(g)), "altitude_m", pressure).first()
     assert close(got["p_pa"], want) and close(got["t_k"], 275.0) and got["near_z_m"] == 0.0
 
 
@@ -92,7 +95,7 @@ def test_lookup_at_a_node_returns_the_node_and_weights_sum_to_one(spark):
     q = spark.createDataFrame([(1, 3600.0, 0.0, 90.0, 1000.0), (2, 9999.0, 3.3, 200.0, 10.0), (3, 1800.0, -99.0, -10.0, 5e4)], "obs_id int, t_query double, lat double, lon double, altitude_m double")
     weights = {r["obs_id"]: r["w"] for r in lk.corner_weights(q, axes).groupBy("obs_id").agg(F.sum("w").alias("w")).collect()}
     assert all(close(w, 1.0) for w in weights.values()) and len(weights) == 3
-    got = {r["obs_id"]: r for r in lk.vertical_value(lk.interpolated_profiles(q, g, axes)).collect()}
+    got = {r["obs_id"]: r for r in lk.at_height(lk.interpolated_profiles(q, g, axes), "altitude_m").collect()}
     assert close(got[1]["t_k"], 100.0 + 20.0 + 3.0 + 1.0)
     # Past the last hour, the southern edge and beyond 270 degrees the values are held.
     assert close(got[3]["t_k"], 50.0 + 20.0 + 6.0 + 3.0) and close(got[3]["clipped_m"], 1000.0)
@@ -101,7 +104,7 @@ def test_lookup_at_a_node_returns_the_node_and_weights_sum_to_one(spark):
 def test_missing_corner_drops_the_level(spark):
     g = grid_of(spark, lambda t, lev, y, x: None if (t, lev, y, x) == (0, 1, 0, 0) else 1.0)
     q = spark.createDataFrame([(1, 0.0, 9.0, 10.0, 0.0)], "obs_id int, t_query double, lat double, lon double, altitude_m double")
-    got = lk.vertical_value(lk.interpolated_profiles(q, g, lk.grid_axes(g))).first()
+    got = lk.at_height(lk.interpolated_profiles(q, g, lk.grid_axes(g)), "altitude_m").first()
     assert close(got["clipped_m"], 1000.0)
 
 
