@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridweather.functions.scalars import G0, c, clip, fold_lon_360, is_finite
 
 AXIS_LIMIT = 100_000
+BROADCAST_BYTES = 64 << 20
 VALUES = ["t_k", "u_mps", "v_mps"]
 CELL = ["time_i", "lat_i", "lon_i"]
 
@@ -167,24 +168,32 @@ def grid_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
     return grid.groupBy(*CELL).agg(*picks)
 
 
-def _profile(axes: GridAxes) -> Column:
-    """Array of the usable levels in height order, from the wide columns; as long as the grid has levels."""
-    entries = []
-    for level, hpa in axes.levels.items():
-        names = [f"{n}_{level}" for n in [*VALUES, "z_m2s2"]]
-        whole = is_finite(names[0])
-        for n in names[1:]:
-            whole = whole & is_finite(n)
-        fields = [(F.col(names[3]) / G0).alias("z"), F.lit(level).alias("level_i"), *[F.col(n).alias(v) for n, v in zip(names, VALUES)]]
-        entries.append(F.when(whole, F.struct(*fields, F.lit(hpa * 100.0).alias("p"))))
-    return F.array_sort(F.array_compact(F.array(*entries)))
+def _match_cells(queries: DataFrame, profiles: DataFrame, axes: GridAxes) -> DataFrame:
+    """Join the columns of air on their indices. The axes bound their size: small grids are broadcast, others shuffled."""
+    cells = len(axes.time.values) * len(axes.lat.values) * len(axes.lon.values)
+    size = cells * (len(axes.levels) * (len(VALUES) + 3) + len(CELL)) * 8
+    return queries.join(F.broadcast(profiles) if size <= BROADCAST_BYTES else profiles, CELL)
 
 
-def _with_profile(df: DataFrame, keep: list[str], axes: GridAxes) -> DataFrame:
-    """Add ``profile``; of equal heights only the first level counts, rows without any level are left out."""
-    staged = df.select(*keep, _profile(axes).alias("_all"))
+def _entry(level: int, hpa: float) -> Column:
+    """A level's values as a struct in height order, NULL where one is not a number."""
+    names = [f"{n}_{level}" for n in [*VALUES, "z_m2s2"]]
+    whole = is_finite(names[0])
+    for n in names[1:]:
+        whole = whole & is_finite(n)
+    fields = [(F.col(names[3]) / G0).alias("z"), F.lit(level).alias("level_i"), *[F.col(n).alias(v) for n, v in zip(names, VALUES)]]
+    return F.when(whole, F.struct(*fields, F.lit(hpa * 100.0).alias("p")))
+
+
+def sorted_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
+    """One row per column of air with the array ``profile`` of its usable levels in height order.
+
+    Of equal heights only the first level counts; a column without any level is left out.
+    """
+    wide = grid_profiles(grid, axes)
+    every = F.array_sort(F.array_compact(F.array(*[_entry(level, hpa) for level, hpa in axes.levels.items()])))
     new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
-    return staged.where(F.size("_all") > 0).withColumn("profile", new).drop("_all")
+    return wide.select(*CELL, every.alias("_all")).select(*CELL, new.alias("profile")).where(F.size("profile") > 0)
 
 
 def nearest_cells(queries: DataFrame, axes: GridAxes, t_sec: str = "t_query") -> DataFrame:
@@ -202,8 +211,7 @@ def nearest_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_se
 
 def nearest_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
     """Queries with the sorted profile of their nearest column."""
-    joined = nearest_cells(queries, axes, t_sec).join(grid_profiles(grid, axes), CELL)
-    return _with_profile(joined, queries.columns, axes)
+    return _match_cells(nearest_cells(queries, axes, t_sec), sorted_profiles(grid, axes), axes)
 
 
 def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
@@ -239,18 +247,12 @@ def interpolated_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *,
     A value with a missing corner becomes NaN, also where that corner's weight is zero.
     """
     corners = corner_weights(queries, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    joined = corners.join(grid_profiles(grid, axes), CELL)
+    joined = _match_cells(corners, grid_profiles(grid, axes), axes)
     names = [f"{n}_{level}" for level in axes.levels for n in [*VALUES, "z_m2s2"]]
     sums = [F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in names]
     return joined.groupBy(*queries.columns, "time_frac", "time_lo", "time_hi").agg(*sums)
 
 
-def interpolated_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
-    """Queries with the sorted profile interpolated in place and time."""
-    wide = interpolated_columns(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    return _with_profile(wide, [*queries.columns, "time_frac", "time_lo", "time_hi"], axes)
-
-
 def level_rows(wide: DataFrame, axes: GridAxes, keep: list[str]) -> DataFrame:
     """One row per level from wide columns."""
     entries = [
@@ -274,6 +276,35 @@ def at_height(df: DataFrame, height: str, pressure: str = "log") -> DataFrame:
     return between(df, "clipped_m", pressure).drop("_below", "_size")
 
 
+def wide_at_height(wide: DataFrame, axes: GridAxes, height: str, keep: list[str], pressure: str = "log") -> DataFrame:
+    """As ``at_height`` from wide level columns: the entries around the height are found by comparing the levels, unsorted."""
+    h = F.col(height)
+    entries = {f"_e{level}": _entry(level, hpa) for level, hpa in axes.levels.items()}
+    staged = wide.select(*keep, *[e.alias(n) for n, e in entries.items()])
+
+    def pick(best, keeps, last_level: bool) -> Column:
+        """Best entry by height; of equal heights the first level, so its index counts downwards where the most is wanted."""
+        sign = -1 if last_level else 1
+        keyed = [F.when(keeps(F.col(n)), F.struct(F.col(n)["z"], F.col(n)["level_i"] * sign, F.col(n).alias("e"))) for n in entries]
+        return (best(*keyed) if len(keyed) > 1 else keyed[0])["e"]
+
+    there = Column.isNotNull
+    staged = staged.withColumns(
+        {
+            "_lo": F.coalesce(pick(F.greatest, lambda e: e["z"] <= h, True), pick(F.least, there, False)),
+            "_hi": F.coalesce(pick(F.least, lambda e: e["z"] >= h, False), pick(F.greatest, there, True)),
+        }
+    )
+    staged = staged.drop(*entries).withColumn("clipped_m", F.greatest(F.col("_lo.z"), F.least(F.col("_hi.z"), h)))
+    return between(staged.where("_lo is not null"), "clipped_m", pressure)
+
+
+def exact_lookup(queries: DataFrame, grid: DataFrame, axes: GridAxes, height: str, *, t_sec="t_query", wrap_lon=False, pressure="log"):
+    """Values at any place, time and height: bilinear, linear in time and height, pressure by its logarithm."""
+    wide = interpolated_columns(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon)
+    return wide_at_height(wide, axes, height, [*queries.columns, "time_frac", "time_lo", "time_hi"], pressure)
+
+
 def between(df: DataFrame, at: str, pressure: str) -> DataFrame:
     """The four values at height ``at`` between the entries ``_lo`` and ``_hi``, and the nearer entry's height and pressure."""
     a, b, f = F.col("_lo"), F.col("_hi"), F.col("_f")

@@ -87,7 +87,10 @@ def nearest_neighbours(
     count = min(MOST_PIVOTS, max(1, int(sqrt(rows) / 2)))
     chosen = train.select("train_id", "vec").orderBy(h(seed, F.col("train_id")), "train_id").limit(count).collect()
     pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
-    ringed, stats = _regions(_assign(train, "vec", pivots), block_rows)
+    folder = session.new_folder(train.sparkSession, "neighbours")
+    # The assignment is the index of the search; it is written once and scanned by every later step.
+    _assign(train, "vec", pivots).write.parquet(f"{folder}/train")
+    ringed, stats = _regions(train.sparkSession.read.parquet(f"{folder}/train"), block_rows)
     facts = _RegionFacts(pivots, stats, k)
     qtype, vtype = (queries.schema[c].dataType.simpleString() for c in ("query_id", "vec"))
     visit_schema = f"query_id {qtype}, vec {vtype}, reach double, _regions array<int>"
@@ -101,9 +104,8 @@ def nearest_neighbours(
 
     # First the regions around the query: their k-th distance is a far better bound than the regions' radii.
     near = meeting.run(queries.mapInPandas(home, visit_schema))
-    folder = session.new_folder(train.sparkSession, "neighbours")
-    near.write.parquet(folder)
-    near = train.sparkSession.read.parquet(folder)
+    near.write.parquet(f"{folder}/near")
+    near = train.sparkSession.read.parquet(f"{folder}/near")
     bound = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("sq_distance")).alias("_kth"))
     bounded = queries.join(bound, "query_id").select("query_id", "vec", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth"))
 

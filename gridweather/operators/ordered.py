@@ -11,7 +11,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BLOCK = 4_000_000
+ROWS_PER_BLOCK = 1_000_000
 CUTS = 128
 SLICES = 128
 BLOCK = "_blk"

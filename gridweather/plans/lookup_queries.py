@@ -136,7 +136,7 @@ def time_blend(spark, d):
 
 def exact_values(spark, d):
     g = v.grid(spark, d)
-    return lk.at_height(lk.interpolated_profiles(queries_at(spark, d), g, lk.grid_axes(g)), "altitude_m")
+    return lk.exact_lookup(queries_at(spark, d).select("obs_id", "t_query", "lat", "lon", "altitude_m"), g, lk.grid_axes(g), "altitude_m")
 
 
 EXACT = f"{AXES}, {BRACKETS}, {corners_sql(BOTH_TIMES)}, {fold_sql('pr', 'log')}"

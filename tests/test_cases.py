@@ -78,6 +78,7 @@ def test_vertical_pressure(spark, pressure, want):
     # The level without a temperature and the second level at height 0 do not count.
     got = lk.at_height(lk.nearest_profiles(q, g, lk.grid_axes(g)), "altitude_m", pressure).first()
     assert close(got["p_pa"], want) and close(got["t_k"], 275.0) and got["near_z_m"] == 0.0
+    assert tuple(lk.exact_lookup(q, g, lk.grid_axes(g), "altitude_m", pressure=pressure).select("t_k", "p_pa").first()) == (got["t_k"], got["p_pa"])
 
 
 def grid_of(spark, value):
@@ -95,7 +96,7 @@ def test_lookup_at_a_node_returns_the_node_and_weights_sum_to_one(spark):
     q = spark.createDataFrame([(1, 3600.0, 0.0, 90.0, 1000.0), (2, 9999.0, 3.3, 200.0, 10.0), (3, 1800.0, -99.0, -10.0, 5e4)], "obs_id int, t_query double, lat double, lon double, altitude_m double")
     weights = {r["obs_id"]: r["w"] for r in lk.corner_weights(q, axes).groupBy("obs_id").agg(F.sum("w").alias("w")).collect()}
     assert all(close(w, 1.0) for w in weights.values()) and len(weights) == 3
-    got = {r["obs_id"]: r for r in lk.at_height(lk.interpolated_profiles(q, g, axes), "altitude_m").collect()}
+    got = {r["obs_id"]: r for r in lk.exact_lookup(q, g, axes, "altitude_m").collect()}
     assert close(got[1]["t_k"], 100.0 + 20.0 + 3.0 + 1.0)
     # Past the last hour, the southern edge and beyond 270 degrees the values are held.
     assert close(got[3]["t_k"], 50.0 + 20.0 + 6.0 + 3.0) and close(got[3]["clipped_m"], 1000.0)
@@ -104,7 +105,7 @@ def test_lookup_at_a_node_returns_the_node_and_weights_sum_to_one(spark):
 def test_missing_corner_drops_the_level(spark):
     g = grid_of(spark, lambda t, lev, y, x: None if (t, lev, y, x) == (0, 1, 0, 0) else 1.0)
     q = spark.createDataFrame([(1, 0.0, 9.0, 10.0, 0.0)], "obs_id int, t_query double, lat double, lon double, altitude_m double")
-    got = lk.at_height(lk.interpolated_profiles(q, g, lk.grid_axes(g)), "altitude_m").first()
+    got = lk.exact_lookup(q, g, lk.grid_axes(g), "altitude_m").first()
     assert close(got["clipped_m"], 1000.0)
 
 
