@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.operators.ordered import exact_quantiles, ordered_scan
 
 # Altitude bands in metres, half open.
@@ -90,11 +91,11 @@ def error_profile(
         (F.lit(low) if low is not None else F.min(axis)).alias("_low"), (F.lit(high) if high is not None else F.max(axis)).alias("_high")
     )
     width = (F.col("_high") - F.col("_low")) / bins
-    rows = df.select(key, F.col(axis).alias("_x"), error.alias("_e")).join(F.broadcast(ends))
+    rows = attach(df.select(key, F.col(axis).alias("_x"), error.alias("_e")), ends)
     guess = F.floor((F.col("_x") - F.col("_low")) / F.when(width > 0, width).otherwise(1.0))
     inside = rows.withColumn("bin", F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1))).cast("int")).where("_x between _low and _high")
     counted = inside.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(F.abs("_e")).alias("mean_abs_error"))
-    frame = df.select(key).distinct().join(F.broadcast(ends)).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    frame = attach(df.select(key).distinct(), ends).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = frame.join(counted, [key, "bin"], "left")
     start = F.col("_low") + F.col("bin") * width
     end = F.col("_low") + (F.col("bin") + 1) * width
@@ -166,7 +167,7 @@ def threshold_curve(df: DataFrame, event: Column, score: Column, rows_per_block:
     )
     totals = per_score.agg(F.greatest(F.lit(1), F.sum("_p")).alias("_np"), F.greatest(F.lit(1), F.sum("_q")).alias("_nq"))
     tp, fp = F.col("tp"), F.col("fp")
-    return run.join(F.broadcast(totals)).select(
+    return attach(run, totals).select(
         (-F.col("_s")).alias("threshold"), "tp", "fp", (tp / F.col("_np")).alias("tpr"), (fp / F.col("_nq")).alias("fpr"),
         ((tp - F.col("_p")) / F.col("_np")).alias("tpr_before"), ((fp - F.col("_q")) / F.col("_nq")).alias("fpr_before"),
         (tp / F.greatest(F.lit(1), tp + fp)).alias("precision"),
@@ -265,7 +266,7 @@ def training_summary(log: DataFrame, patience: int = 8) -> DataFrame:
         F.count(F.lit(1)).alias("epochs"), F.min_by("epoch", best).alias("best_epoch"), F.min("val_loss").alias("best_val_loss"), last.alias("_l")
     )
     out = summary.select("epochs", "best_epoch", "best_val_loss", F.col("_l.train_loss").alias("final_train_loss"), F.col("_l.val_loss").alias("final_val_loss"))
-    return out.join(F.broadcast(overfit_onset(log, patience)))
+    return attach(out, overfit_onset(log, patience))
 
 
 def point_check(df: DataFrame, deltas: list[str]) -> DataFrame:

@@ -7,10 +7,13 @@ and small keys keep the plain window.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridweather.operators.attach import attach
+
 ROWS_PER_BLOCK = 1_000_000
 CUTS = 128
 SLICES = 128
@@ -28,17 +31,19 @@ def ordered_scan(
     prev: dict[str, str] | None = None,
     fill: dict[str, str] | None = None,
     rows_per_block: int | None = None,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Add ordered columns to ``df``.
 
     ``order`` is ascending and total within ``keys``; ``by`` names its leading column (number or time).
     ``sums``: output -> column, running sum including the row. ``rank``: output name of the 1-based position.
     ``prev``: output -> column of the row before. ``fill``: output -> column, last non-null value up to the row.
+    ``blocks`` comes from ``plan_blocks`` where several scans go along the same order; else it is planned here.
     """
     sums, prev, fill = sums or {}, prev or {}, fill or {}
-    marked = _mark_blocks(df, keys, by, rows_per_block or ROWS_PER_BLOCK)
-    blocked = marked is not None
-    base = marked if blocked else df
+    blocks = blocks or plan_blocks(df, keys, by, rows_per_block)
+    blocked = bool(blocks.cuts)
+    base = _mark(df, keys, by, blocks) if blocked else df
     for name, column in sums.items():
         base = base.withColumn(f"_in_{name}", column)
     part = [*keys, BLOCK] if blocked else keys
@@ -85,24 +90,37 @@ def _add_carry(local, base, keys, order, sums, rank, prev, fill):
     return out.withColumns(fixed).drop(*extra)
 
 
-def _mark_blocks(df: DataFrame, keys: list[str], by: str, rows_per_block: int) -> DataFrame | None:
-    """Add the block number, 0 for keys that need no cutting; None where no key can be too large."""
+@dataclass(frozen=True)
+class Blocks:
+    """Where to cut along an order, and the keys large enough to be cut; no cuts where no key can be too large."""
+
+    cuts: list[float]
+    hot: DataFrame | None = None
+
+
+def plan_blocks(df: DataFrame, keys: list[str], by: str, rows_per_block: int | None = None) -> Blocks:
+    rows_per_block = rows_per_block or ROWS_PER_BLOCK
     rows = df.count()
     if rows <= rows_per_block:
-        return None
-    x = F.col(by).cast("double")
+        return Blocks([])
     parts = min(CUTS, max(2, ceil(rows / rows_per_block)))
     probes = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
     # At most 129 numbers come back; they are the same for every later use, so a re-run task sees the same blocks.
-    cuts = sorted(set(df.agg(F.percentile_approx(x, probes, F.lit(10000)).alias("c")).first()["c"]))
-    block = block_number(x, cuts)
+    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), probes, F.lit(10000)).alias("c")).first()["c"]
     if not keys:
-        return df.withColumn(BLOCK, block).withColumn("_hot", F.lit(True))
+        return Blocks(sorted(set(cuts)))
     # At most rows / rows_per_block keys can pass the filter, so this side is small enough to send everywhere.
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_block)
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    return Blocks(sorted(set(cuts)), hot.select(*keys, F.lit(True).alias("_hot")))
+
+
+def _mark(df: DataFrame, keys: list[str], by: str, blocks: Blocks) -> DataFrame:
+    """Add the block number, 0 for keys that need no cutting."""
+    block = block_number(F.col(by).cast("double"), blocks.cuts)
+    if not keys:
+        return df.withColumn(BLOCK, block).withColumn("_hot", F.lit(True))
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(F.broadcast(blocks.hot), keys, "left")
         .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
         .withColumn(BLOCK, F.when(F.col("_hot"), block).otherwise(F.lit(0)))
     )
@@ -138,7 +156,7 @@ def exact_quantiles(
     values = df.select(*groups, x.alias("_x")).where("_x is not null").groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
     placed = ordered_scan(values, groups, ["_x"], "_x", sums={"_cum": F.col("_c")}, rows_per_block=rows_per_block)
     sizes = values.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    joined = placed.join(sizes, groups) if groups else placed.join(F.broadcast(sizes))
+    joined = placed.join(sizes, groups) if groups else attach(placed, sizes)
     at = {q: F.lit(q) * (F.col("_n") - 1) for q in qs.values()}
 
     def value_at(rank: Column) -> Column:

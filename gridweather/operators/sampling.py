@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions.hashing import h, u01
 from gridweather.operators.ordered import ordered_scan
 
@@ -119,7 +120,7 @@ def latin_hypercube(df: DataFrame, ident: str, dimensions: list[str], seed: int,
     ranked = ordered_scan(long, ["dim"], ["_h", ident], "_h", rank="_rn", **scan)
     size = df.agg(F.count(F.lit(1)).alias("_n"))
     inside = u01(F.concat(F.lit(f"{seed}+"), "dim"), F.col(ident))
-    placed = ranked.join(F.broadcast(size)).withColumn("_u", (F.col("_rn") - 1 + inside) / F.col("_n"))
+    placed = attach(ranked, size).withColumn("_u", (F.col("_rn") - 1 + inside) / F.col("_n"))
     return placed.groupBy(ident).agg(*[F.max(F.when(F.col("dim") == x, F.col("_u"))).alias(x) for x in dimensions])
 
 
@@ -148,7 +149,7 @@ def class_plan(df: DataFrame, ident: str, weights: dict[str, float], seed: int,
     marked = df.withColumn("_h", h(seed, F.col(ident)))
     ranked = ordered_scan(marked, [], ["_h", ident], "_h", rank="_rn", **scan)
     hit = F.get(F.filter("_ends", lambda e: F.col("_rn") <= e["_end"]), F.lit(0))
-    return ranked.join(F.broadcast(ends)).withColumn("class", hit["class"]).drop("_h", "_rn", "_ends")
+    return attach(ranked, ends).withColumn("class", hit["class"]).drop("_h", "_rn", "_ends")
 
 
 def mixture_altitude(pick: Column, u: Column) -> Column:

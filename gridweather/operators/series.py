@@ -9,15 +9,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridweather.operators.ordered import ordered_scan
+from gridweather.operators.ordered import ordered_scan, plan_blocks
 
 
 def path_length(track: DataFrame, key: str, seq: str, x: str, z: str, **scan) -> DataFrame:
     """Running length of the line through the points, 0 at the first; adds ``length`` and the point before."""
-    stepped = ordered_scan(track, [key], [seq], seq, prev={"x_before": x, "z_before": z}, **scan)
+    blocks = plan_blocks(track, [key], seq, **scan)
+    stepped = ordered_scan(track, [key], [seq], seq, prev={"x_before": x, "z_before": z}, blocks=blocks)
     dx, dz = F.col(x) - F.col("x_before"), F.col(z) - F.col("z_before")
     step = F.coalesce(F.sqrt(dx * dx + dz * dz), F.lit(0.0))
-    return ordered_scan(stepped.withColumn("step", step), [key], [seq], seq, sums={"length": F.col("step")}, **scan)
+    return ordered_scan(stepped.withColumn("step", step), [key], [seq], seq, sums={"length": F.col("step")}, blocks=blocks)
 
 
 def resample(
@@ -73,10 +74,11 @@ def first_down_crossing(series: DataFrame, key: str, seq: str, x: str, z: str, l
 
 def state_changes(df: DataFrame, key: str, order: list[str], by: str, state: str, **scan) -> DataFrame:
     """Marks rows whose state differs from the one before and numbers the runs; ``refreshes`` counts changes after the first."""
-    stepped = ordered_scan(df, [key], order, by, prev={"_before": state}, **scan)
+    blocks = plan_blocks(df, [key], by, **scan)
+    stepped = ordered_scan(df, [key], order, by, prev={"_before": state}, blocks=blocks)
     changed = F.col("_before").isNull() | (F.col(state) != F.col("_before"))
     marked = stepped.withColumn("changed", changed)
-    out = ordered_scan(marked, [key], order, by, sums={"run_id": F.col("changed").cast("bigint")}, **scan)
+    out = ordered_scan(marked, [key], order, by, sums={"run_id": F.col("changed").cast("bigint")}, blocks=blocks)
     return out.withColumn("refreshes", F.col("run_id") - 1).drop("_before")
 
 

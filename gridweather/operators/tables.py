@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions.scalars import key_digest
 
 PAGE_DEFAULT, PAGE_MOST = 10, 20
@@ -19,7 +20,7 @@ def page(df: DataFrame, newest: str, ident: str, number: int = 1, size: int = PA
         raise ValueError(f"limit must be a whole number from 1 to {PAGE_MOST}")
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy(F.desc(newest), F.desc(ident)).offset((number - 1) * size).limit(size)
-    return rows.join(F.broadcast(total)).withColumn("total_pages", F.ceil(F.col("total") / size))
+    return attach(rows, total).withColumn("total_pages", F.ceil(F.col("total") / size))
 
 
 def top_per_group(df: DataFrame, keys: list[str], by: Column, tie: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions import scalars as s
 
 # Accepted range of a query.
@@ -110,7 +111,7 @@ def envelope_flag(df: DataFrame, bounds: DataFrame, columns: list[str], threshol
         x, low, high = F.col(n), F.col(f"{n}_low"), F.col(f"{n}_high")
         span = F.when(high > low, high - low).otherwise(1.0)
         parts.append(F.greatest(F.lit(0.0), low - x, x - high) / span)
-    out = df.join(F.broadcast(one)).withColumn("excursion", F.greatest(F.lit(0.0), *parts))
+    out = attach(df, one).withColumn("excursion", F.greatest(F.lit(0.0), *parts))
     return out.withColumn("outside", F.col("excursion") > threshold).drop(*one.columns)
 
 

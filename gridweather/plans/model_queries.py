@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions import features as ft, scalars as s
 from gridweather.operators import metrics as mt, models as ml, neighbours as nn, sampling as sm, stats
 from gridweather.plans.lookup_queries import exact_values
@@ -52,7 +53,7 @@ def weather_neighbours(spark, d, k=8):
     o = v.obs(spark, d).select("obs_id", *[c.alias(n) for n, c in named.items()], (288.15 - F.col("altitude_m") * 0.0065).alias("t_k"), east.alias("u_mps"))
     train = o.where("obs_id % 10 <> 0")
     one = stats.wide(stats.envelope(train, list(named)), list(named), ["low", "high"])
-    scaled = o.join(F.broadcast(one)).withColumn("vec", F.array(*[s.min_max(n, f"{n}_low", f"{n}_high") for n in named]))
+    scaled = attach(o, one).withColumn("vec", F.array(*[s.min_max(n, f"{n}_low", f"{n}_high") for n in named]))
     return nn.nearest_neighbours(scaled.where("obs_id % 10 <> 0"), scaled.where("obs_id % 10 = 0"), k, train_id="obs_id", query_id="obs_id", carry=["t_k", "u_mps"])
 
 
@@ -97,7 +98,7 @@ def fit_trees(spark, d):
     facts = [(t, m.getNumTrees, names[int(max(range(len(names)), key=lambda i: m.featureImportances[i]))]) for t, m in bundle.models.items()]
     made = spark.createDataFrame(facts, "target string, trees int, strongest string")
     rows = data.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).where("split = 'train'")
-    return made.join(F.broadcast(rows))
+    return attach(made, rows.select("rows"))
 
 
 @query("mlr2_predict")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions.hashing import u01 as unit
 from gridweather.operators import lookup as lk, sampling as sm
 from gridweather.plans.registry import h, query, r, rounded, u01
@@ -38,8 +39,8 @@ BUDGET = """sl as (select distinct time_i, level_i from v_grid), n as (select co
 def budgets(spark, d):
     g, o = v.grid(spark, d), v.obs(spark, d)
     slices = g.select("time_i", "level_i").distinct().withColumn("weight", (8 - F.col("level_i")).cast("double"))
-    size = o.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(g.agg(F.count_distinct("time_i").alias("nt"))))
-    staged = slices.join(F.broadcast(size))
+    size = attach(o.agg(F.count(F.lit(1)).alias("n")), g.agg(F.count_distinct("time_i").alias("nt")))
+    staged = attach(slices, size)
     return sm.level_budget(staged, [], F.col("n"), F.col("nt"), "weight").select("time_i", "level_i", "budget")
 
 
@@ -53,7 +54,7 @@ def level_budget(spark, d):
 def even_budget(spark, d):
     slices = v.grid(spark, d).select("time_i", "level_i").distinct()
     size = v.obs(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return sm.even_budget(slices.join(F.broadcast(size)), [], F.col("n"), ["time_i", "level_i"]).select("time_i", "level_i", "budget")
+    return sm.even_budget(attach(slices, size), [], F.col("n"), ["time_i", "level_i"]).select("time_i", "level_i", "budget")
 
 
 CUM = """la as (select lat_i, greatest(cos(radians(max(lat))), 1e-6) as w from v_grid group by lat_i), lc as (select list(c order by lat_i) as cum from (select lat_i, sum(w/tot) over (order by lat_i) as c from la, (select sum(w) as tot from la)))"""
@@ -131,7 +132,7 @@ def latin_hypercube(spark, d):
 @query("smp11_scale_to_bounds", f"""with {LHS}, b as (select min(lat) as a, max(lat) as z from v_obs) select obs_id, {r("a + place*(z-a)")} as lat, {r("0e0 + height*32e3", 4)} as altitude_m, [1,2,3,5,8,13,21][least(cast(floor(day*7) as int), 6)+1] as day from lh, b""")
 def scale_to_bounds(spark, d):
     b = v.obs(spark, d).agg(F.min("lat").alias("a"), F.max("lat").alias("z"))
-    x = design(spark, d).join(F.broadcast(b))
+    x = attach(design(spark, d), b)
     return x.select("obs_id", rounded(sm.scale(F.col("place"), F.col("a"), F.col("z"))).alias("lat"), rounded(sm.scale(F.col("height"), 0.0, 32000.0), 4).alias("altitude_m"), sm.pick_from(F.col("day"), [1, 2, 3, 5, 8, 13, 21]).alias("day"))
 
 

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions import features as ft, scalars as s
 from gridweather.operators.stats import month_coverage
 from gridweather.plans.registry import query, r, rounded
@@ -169,7 +170,7 @@ def z_scores(spark, d):
     o = v.obs(spark, d)
     one = o.agg(F.avg("altitude_m").alias("m"), F.stddev_samp("altitude_m").alias("sd"))
     z = s.z_score("altitude_m", "m", "sd")
-    return rows(o.join(F.broadcast(one)), "obs_id", z=z, z_eps=s.z_score("altitude_m", "m", "sd", 1e-8), back=s.un_z_score(z, "m", "sd"))
+    return rows(attach(o, one), "obs_id", z=z, z_eps=s.z_score("altitude_m", "m", "sd", 1e-8), back=s.un_z_score(z, "m", "sd"))
 
 
 @query("scl14_min_max", f"""with b as (select min(altitude_m) as lo, max(altitude_m) as hi from v_obs)
@@ -177,7 +178,7 @@ def z_scores(spark, d):
 def min_max_scale(spark, d):
     o = v.obs(spark, d)
     one = o.agg(F.min("altitude_m").alias("lo"), F.max("altitude_m").alias("hi"))
-    return rows(o.join(F.broadcast(one)), "obs_id", scaled=s.min_max("altitude_m", "lo", "hi"))
+    return rows(attach(o, one), "obs_id", scaled=s.min_max("altitude_m", "lo", "hi"))
 
 
 @query("scl15_wind_components", f"""select obs_id, {r("-wind_speed_mps*sin(radians(wind_dir_deg))")} as east, {r("-wind_speed_mps*cos(radians(wind_dir_deg))")} as north,

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions import scalars as s
 from gridweather.operators import series
 from gridweather.operators.ordered import ordered_scan
@@ -27,7 +28,7 @@ def running_counts(spark, d):
 def overfit(spark, d):
     log = v.epochs(spark, d)
     a, b = series.overfit_onset(log, 3), series.overfit_onset(log, 8)
-    return a.withColumnRenamed("overfit_epoch", "overfit_3").join(F.broadcast(b.withColumnRenamed("overfit_epoch", "overfit_8")))
+    return attach(a.withColumnRenamed("overfit_epoch", "overfit_3"), b.withColumnRenamed("overfit_epoch", "overfit_8"))
 
 
 @query("win3_learning_rate", f"""with e as (select epoch, row_number() over (order by epoch) as e, count(*) over () as n from v_epochs)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridweather.operators.attach import attach
 from gridweather.functions import scalars as s
 from gridweather.operators import metrics as mt, stats
 from gridweather.plans.lookup_queries import NEAR, AXES, fold_sql, queries_at
@@ -213,4 +214,4 @@ def statistics_table(spark, d):
     sk.save_statistics(stats.envelope(o, ["altitude_m", "lat"]), path, {"k": 5})
     kept = sk.load_statistics(spark, path)
     one = stats.wide(kept, ["altitude_m"], ["low", "high", "k"])
-    return o.join(F.broadcast(one)).select("obs_id", rounded(s.min_max("altitude_m", "altitude_m_low", "altitude_m_high")).alias("scaled"), F.col("altitude_m_k").alias("k"))
+    return attach(o, one).select("obs_id", rounded(s.min_max("altitude_m", "altitude_m_low", "altitude_m_high")).alias("scaled"), F.col("altitude_m_k").alias("k"))
