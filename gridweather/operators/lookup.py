@@ -168,10 +168,13 @@ def grid_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
     return grid.groupBy(*CELL).agg(*picks)
 
 
-def _match_cells(queries: DataFrame, profiles: DataFrame, axes: GridAxes) -> DataFrame:
-    """Join the columns of air on their indices. The axes bound their size: small grids are broadcast, others shuffled."""
+def _match_cells(queries: DataFrame, profiles: DataFrame, axes: GridAxes, entries: int | None = None) -> DataFrame:
+    """Join the columns of air on their indices. The axes bound their size: small grids are broadcast, others shuffled.
+
+    ``entries`` is the length of a column, the number of levels if not given.
+    """
     cells = len(axes.time.values) * len(axes.lat.values) * len(axes.lon.values)
-    size = cells * (len(axes.levels) * (len(VALUES) + 3) + len(CELL)) * 8
+    size = cells * ((entries or len(axes.levels)) * (len(VALUES) + 3) + len(CELL)) * 8
     return queries.join(F.broadcast(profiles) if size <= BROADCAST_BYTES else profiles, CELL)
 
 
@@ -214,6 +217,19 @@ def nearest_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_s
     return _match_cells(nearest_cells(queries, axes, t_sec), sorted_profiles(grid, axes), axes)
 
 
+def resampled_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, heights: list[float], *, t_sec="t_query") -> DataFrame:
+    """Queries with the values of their nearest column at fixed heights, one row per height (``step``, ``altitude_m``).
+
+    A column is resampled once, however many queries meet it.
+    """
+    at = F.posexplode(F.array(*[F.lit(float(x)) for x in heights])).alias("step", "altitude_m")
+    values = at_height(sorted_profiles(grid, axes).select(*CELL, "profile", at), "altitude_m", "linear")
+    rows = F.struct("step", "altitude_m", *VALUES, "p_pa")
+    packed = values.groupBy(*CELL).agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
+    met = _match_cells(nearest_cells(queries, axes, t_sec), packed, axes, len(heights))
+    return met.select(*queries.columns, F.inline("_rows"))
+
+
 def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
     """One row per query and surrounding (time, lat, lon) corner with its weight: up to eight, fewer on an edge."""
     placed = axes.time.bracket(queries, t_sec, "_t")

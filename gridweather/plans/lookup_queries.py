@@ -159,9 +159,8 @@ def column_lookup(spark, d):
     select obs_id // 100 as obs_id, obs_id % 100 as step, altitude_m, {r("t_k")} as t_k, {r("p_pa", 4)} as p_pa, {r("u_mps")} as u_mps, {r("v_mps")} as v_mps from fv""")
 def profile_resample(spark, d):
     g = v.grid(spark, d)
-    p = lk.nearest_profiles(queries_at(spark, d).drop("altitude_m"), g, lk.grid_axes(g))
-    out = p.select("obs_id", "profile", F.posexplode(F.expr("transform(sequence(0, 40), k -> 5e2 * k)")).alias("step", "altitude_m"))
-    out = lk.at_height(out, "altitude_m", "linear")
+    heights = [500.0 * k for k in range(41)]
+    out = lk.resampled_profiles(queries_at(spark, d).select("obs_id", "t_query", "lat", "lon"), g, lk.grid_axes(g), heights)
     return out.select("obs_id", "step", "altitude_m", *value_cols())
 
 

@@ -37,8 +37,9 @@ def running_moments(spark, d):
 def rate_windows(spark, d):
     folder = new_folder(spark, "rates")
     q = v.requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = min(2000, max(8, q.count() // 1_000_000))
     for stream in arriving(q, "ts", f"{folder}/source"):
-        out = jobs.rate_stream(stream, folder, at="ts", client="client_id", window="1 hour", limit=1)
+        out = jobs.rate_stream(stream, folder, state_partitions=parts, at="ts", client="client_id", window="1 hour", limit=1)
     return out.select(F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "client_id", "requests", "over_limit")
 
 

@@ -33,14 +33,23 @@ def rate_windows(requests: DataFrame, at: str, client: str, *, window: str = "60
     )
 
 
-def rate_stream(stream: DataFrame, folder: str, **kw) -> DataFrame:
-    """Closed rate windows written as they close."""
-    query = (
-        rate_windows(stream, **kw).writeStream.format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/windows")
+def rate_stream(stream: DataFrame, folder: str, *, state_partitions: int | None = None, **kw) -> DataFrame:
+    """Closed rate windows written as they close.
+
+    The number of state partitions is fixed by the first run over a checkpoint; ``state_partitions`` sizes it for the stream.
+    """
+    spark = stream.sparkSession
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or usual))
+        query = (
+            rate_windows(stream, **kw).writeStream.format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    return spark.read.parquet(f"{folder}/windows")
 
 
 def change_stream(stream: DataFrame, key: str, at: str, ident: str, value: str, folder: str) -> DataFrame:
