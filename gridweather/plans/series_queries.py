@@ -12,7 +12,6 @@ from gridweather.operators import series
 from gridweather.operators.ordered import ordered_scan
 from gridweather.plans.metric_queries import overfit_sql, tidy
 from gridweather.plans.registry import query, r, rounded
-from gridweather.plans.scalar_queries import STATE_KEY_SQL
 from gridweather.sources import views as v
 
 
