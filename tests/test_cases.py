@@ -273,3 +273,27 @@ def test_budget_always_sums_to_total(spark, total, weights):
     slices = spark.createDataFrame([(0, i, float(w)) for i, w in enumerate(weights)], "time_i int, level_i int, w double")
     got = sm.level_budget(slices, [], F.lit(total), F.lit(1), "w").agg(F.sum("budget")).first()[0]
     assert got == total
+
+
+def test_shuffled_grid_gives_the_same_values(spark, monkeypatch):
+    g = grid_of(spark, lambda t, lev, y, x: 100.0 * t + 10.0 * lev + 3.0 * y + x)
+    axes = lk.grid_axes(g)
+    q = spark.range(200).select(
+        F.col("id").alias("obs_id"), (F.col("id") * 37.0 % 7200).alias("t_query"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") % 20 - 10.0).alias("lat"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 7.0 % 360).alias("lon"), (F.col("id") * 11.0 % 1200).alias("altitude_m"),
+    )
+
+    def answers():
+        exact = lk.exact_lookup(q, g, axes, "altitude_m").select("obs_id", *[F.round(n, 9) for n in ("t_k", "p_pa", "clipped_m")])
+        near = lk.at_height(lk.nearest_profiles(q, g, axes), "altitude_m").select("obs_id", F.round("t_k", 9))
+        return sorted(map(tuple, exact.collect())), sorted(map(tuple, near.collect())), near._jdf.queryExecution().toString()
+
+    small = answers()
+    monkeypatch.setattr(lk, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = answers()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small[2] and "SortMergeJoin" in large[2]
+    assert len(small[0]) == 200 and small[:2] == large[:2]
