@@ -5,9 +5,9 @@ second one, shifted circularly by 0, 1, 2, ... places, gives every coordinate of
 whatever the length. Bands of coordinates propose pairs, and a pair is linked only if its full sets are similar enough.
 
 Equal sets meet first, as one class, so copies are never paired. Within a bucket every class is compared with the bucket's
-first class, which grows in line with the bucket. Linked classes join a component. Only buckets that still hold several
-components go on: there, each pair from different components that has not been compared yet is compared too. So no proposed
-link between different texts is lost, and none is looked for that could not change a component.
+most connected class, which grows in line with the bucket. Linked classes join a component. Only buckets that still hold
+several components go on: there, the classes outside the main component are compared with all others, block by block. So no
+proposed link between different texts is lost, and none is looked for that could not change a component.
 
 Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id are one document, linked to whatever any
 of them is. A null doc_id has no component and is kept. Ties between equal sets go to the smallest doc_id.
@@ -31,6 +31,8 @@ SPREAD, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0x85EBCA6B, 0xC2B2AE35
 KEEP = 300_000
 #: Shingles handled at once, so that the working arrays stay in the processor's cache.
 CHUNK = 1 << 15
+#: Sets in a block, and shingles that a comparison of two blocks lays out at once.
+BLOCK, COLUMNS = 256, 8_192
 
 
 @dataclass(frozen=True)
@@ -178,6 +180,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def left_over(members: DataFrame, found: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) within buckets between components, other than to the bucket's head.
+
+    Classes outside their head's component meet all classes of the head's buckets in blocks: a task compares two blocks of about
+    ``BLOCK`` sets and returns only links, so neither a bucket nor its pairs ever lie in one task.
+    """
+    spark = members.sparkSession
+    of_rep, of_head = found.select(F.col("id").alias("rep"), "component"), found.select(F.col("id").alias("head"), F.col("component").alias("main"))
+    placed = members.join(of_rep, "rep", "left").join(of_head, "head", "left")
+    placed = placed.select("head", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("main", "head").alias("main"))
+    placed = placed.where("rep != head").select("head", "rep", "component", (F.col("component") != F.col("main")).alias("apart")).distinct()
+    placed = written(spark, placed, "placed")
+    blocks = placed.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_of_all"), F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).alias("_of_apart")).where("_of_apart > 0")
+    placed = placed.join(written(spark, blocks, "blocks"), "head")
+
+    def side(rows: DataFrame, first: bool) -> DataFrame:
+        """Rows of one side, each in its own block and repeated for every block of the other side."""
+        own, other = ("_of_apart", "_of_all") if first else ("_of_all", "_of_apart")
+        mine = F.pmod(F.xxhash64("rep", F.lit(first)), F.col(own)).alias("x" if first else "y")
+        theirs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias("y" if first else "x")
+        return rows.select("head", "rep", "component", F.lit(first).alias("first"), mine, theirs).select("head", "x", "y", "rep", "component", "first")
+
+    rows = side(placed.where("apart"), True).union(side(placed, False))
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    percent = how.percent
+
+    def compare(key, group):
+        first = np.array(group.column("first").to_pylist(), bool)
+        ids, parts = np.array(group.column("rep").to_pylist(), np.int64), np.array(group.column("component").to_pylist(), np.int64)
+        held = group.column("shingles").combine_chunks()
+        sizes = np.diff(np.asarray(held.offsets))
+        values, owner = np.asarray(held.values), np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(values, kind="stable")
+        owner = owner[order]
+        number = np.cumsum(np.concatenate([[0], np.diff(values[order]) != 0]))
+        u, m = np.flatnonzero(first), np.flatnonzero(~first)
+        row = np.empty(len(ids), np.int64)
+        row[u], row[m] = np.arange(len(u)), np.arange(len(m))
+        common = np.zeros((len(u), len(m)), np.float32)
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            at = slice(*np.searchsorted(number, [low, low + COLUMNS]))
+            have = [np.zeros((len(x), COLUMNS), np.float32) for x in (u, m)]
+            for matrix, mine in zip(have, (first[owner[at]], ~first[owner[at]])):
+                matrix[row[owner[at][mine]], number[at][mine] - low] = 1
+            common += have[0] @ have[1].T
+        common = common.astype(np.int64)
+        union = sizes[u][:, None] + sizes[m][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (parts[u][:, None] != parts[m][None, :]))
+        return pa.Table.from_pydict({"a": pa.array(ids[u[i]], pa.int64()), "b": pa.array(ids[m[j]], pa.int64())})
+
+    return rows.groupBy("head", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
@@ -187,23 +242,19 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(spark, classes, "classes")
     places = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    heads = places.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("bucket", "head")
-    members = places.join(heads, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
-    members = written(spark, members, "members")
+    sizes = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    shared = written(spark, places.join(sizes, "bucket"), "shared-buckets")
+    # The class that meets most others in its buckets is the likeliest origin of a group of edited copies.
+    met = shared.groupBy("rep").agg(F.sum("_size").alias("met"))
+    shared = written(spark, shared.join(met, "rep").select("bucket", "rep", "n", "met"), "members")
+    heads = shared.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("less"), "rep", "n")).alias("head"))
+    members = shared.join(heads, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(spark, full_sets(rows.where("doc_id is not null").join(needed, "doc_id", "left_semi"), how), "sets")
     pairs = members.where(F.col("rep") != F.col("head")).where(alike(F.col("n"), F.col("head_n"), how.percent))
     links = written(spark, linked(pairs.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), sets, how.percent), "links-first")
     found = components(links)
-    # What is left: buckets whose members are still in several components.
-    placed = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(spark, placed, "placed")
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("bucket")
-    rest = placed.join(open_buckets, "bucket", "left_semi").where(F.col("rep") != F.col("head"))
-    one = rest.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = rest.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    met = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b"), how.percent))
-    more = written(spark, linked(met.select("a", "b").distinct(), sets, how.percent), "links-rest")
+    more = written(spark, left_over(members, found, sets, how), "links-rest")
     if not more.isEmpty():
         found = components(links.union(more))
     of_class = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep")
