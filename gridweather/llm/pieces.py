@@ -95,11 +95,16 @@ class Transducer:
         inside = "".join(re.escape(c) for c in sorted(self.known - {MARK}))
         self.cut = re.compile(f"{MARK}+[{inside}]*|[{inside}]+|[^{inside}{MARK}]+")
         self.solved: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         if self.kind == MERGES:  # a piece that merging its own characters does not give can never come out
             self.score = {t: w for t, w in self.score.items() if len(t) == 1 or set(t) == {MARK} or self.merged(t) == [t]}
-        self.heads = {t[:i] for t in self.score for i in range(1, len(t) + 1)}
+        self.tree: dict = {}
+        for piece in self.score:
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = self.ids[piece]
         self.touching = {t[i : i + 2] for t in self.score for i in range(len(t) - 1)}
         self.spelled = [bytes([self.raw[i]]) if i in self.raw else b"" if i in self.hidden else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
 
@@ -119,17 +124,16 @@ class Transducer:
         *_, last = self.merging(text)
         return last
 
-    def edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+    def edge(self, piece: int, side: int) -> list[tuple[str, float]]:
         """What stands at the left (0) or right (1) end of a piece while it is merged, from one character up, with its cost."""
         found = self.edges[side].get(piece)
         if found is None:
-            rows = [row[0 if side == 0 else -1] for row in self.merging(piece)]
-            grown = list(dict.fromkeys(rows))
+            grown = dict.fromkeys(row[0 if side == 0 else -1] for row in self.merging(self.text[piece]))
             found = self.edges[side][piece] = [(p, -self.score.get(p, 0.0)) for p in grown]
         return found
 
-    def follows(self, a: str, b: str) -> bool:
-        """The filter: whether merging leaves the border between ``a`` and ``b`` alone.
+    def follows(self, a: int, b: int) -> bool:
+        """The filter: whether merging leaves the border between two pieces alone.
 
         Merges happen cheapest first, the leftmost of equals. At the border compete the growth of the left side, that of the
         right side and the merge across; the last must never be first.
@@ -151,67 +155,73 @@ class Transducer:
                 j += 1
         if len(self.pairs) >= KEEP:
             self.pairs.clear()
-        self.pairs[a, b] = found
+        self.pairs[a * len(self.text) + b] = found
         return found
 
-    def arcs(self, text: str, start: int) -> list[str]:
-        """Pieces that begin at a place, the shortest first."""
-        out, heads, lexicon = [], self.heads, self.score
-        for end in range(start + 1, len(text) + 1):
-            piece = text[start:end]
-            if piece not in heads:
+    def arcs(self, text: str, start: int) -> list[tuple[int, int]]:
+        """(end, id) of the pieces that begin at a place, the shortest first: one walk down the lexicon's tree."""
+        out, node = [], self.tree
+        for end in range(start, len(text)):
+            node = node.get(text[end])
+            if node is None:
                 break
-            if piece in lexicon:
-                out.append(piece)
+            piece = node.get("")
+            if piece is not None:
+                out.append((end + 1, piece))
         return out
 
-    def only_path(self, text: str) -> list[str]:
+    def only_path(self, text: str) -> list[int]:
         """The one path that the filter leaves, found depth first, long pieces first; a dead state is not entered twice."""
-        path, ends, left, entered, pairs = [], [0], [self.arcs(text, 0)], set(), self.pairs
+        size, pairs, many = len(text), self.pairs, len(self.text)
+        path: list[int] = []
+        left = [self.arcs(text, 0)]
+        entered: set[tuple[int, int]] = set()
         while left:
-            if not left[-1]:
+            options = left[-1]
+            if not options:
                 left.pop()
-                ends.pop()
                 if path:
                     path.pop()
                 continue
-            piece = left[-1].pop()
+            state = options.pop()
+            end, piece = state
             if path:
-                fits = pairs.get((path[-1], piece))
-                if not (self.follows(path[-1], piece) if fits is None else fits):
+                fits = pairs.get(path[-1] * many + piece)
+                if fits is None:
+                    fits = self.follows(path[-1], piece)
+                if not fits:
                     continue
-            end = ends[-1] + len(piece)
-            if end == len(text):
-                return [*path, piece]
-            if (end, piece) in entered:
+            if end == size:
+                path.append(piece)
+                return path
+            if state in entered:
                 continue
-            entered.add((end, piece))
+            entered.add(state)
             path.append(piece)
-            ends.append(end)
             left.append(self.arcs(text, end))
         raise ValueError(f"no path for {text!r}")
 
-    def cheapest_path(self, text: str) -> list[str]:
-        """Forward sweep in the tropical semiring, one state per place, the longest last piece among equals."""
-        states: list[tuple[float, str] | None] = [(0.0, "")] + [None] * len(text)
+    def cheapest_path(self, text: str) -> list[int]:
+        """Forward sweep in the tropical semiring, one state per place, the earliest found among equals."""
+        states: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * len(text)
         for start in range(len(text)):
             if states[start] is not None:
-                for piece in self.arcs(text, start):
-                    cost, end = states[start][0] - self.score[piece], start + len(piece)
+                for end, piece in self.arcs(text, start):
+                    cost = states[start][0] - self.score[self.text[piece]]
                     if states[end] is None or cost < states[end][0]:
-                        states[end] = (cost, piece)
+                        states[end] = (cost, start, piece)
         place, path = len(text), []
         while place:
-            path.append(states[place][1])
-            place -= len(path[-1])
+            _, place, piece = states[place]
+            path.append(piece)
         return path[::-1]
 
-    def shortest(self, text: str) -> list[str]:
+    def shortest(self, text: str) -> list[int]:
         if self.kind == UNIGRAM:
             return self.cheapest_path(text)
         if text.startswith(MARK * 2):
             # Pieces of marks alone share one score; the order of their merges is by place, which no pair shows.
-            return self.merged(text)
+            return [self.ids[p] for p in self.merged(text)]
         return self.only_path(text)
 
     def solve(self, text: str) -> tuple[int, ...]:
@@ -226,12 +236,10 @@ class Transducer:
             cuts = [] if all(joined) else [i + 1 for i, together in enumerate(joined) if not together]
             for at, end in zip([0, *cuts], [*cuts, len(part)]):
                 sub = part[at:end]
-                found = self.solved.get(sub) if cuts else None
+                found = self.solved.get(sub)
                 if found is None:
-                    pieces = self.shortest(sub)
-                    found = tuple([i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])])
-                    if cuts:
-                        self.keep(sub, found)
+                    found = tuple(self.shortest(sub))
+                    self.keep(sub, found)
                 out += found
         return tuple(out)
 
@@ -253,7 +261,7 @@ class Transducer:
             found = get(MARK + word)
             if found is None:
                 found = self.solve(MARK + word)
-                if "\n" not in word:
+                if "\n" not in word:  # what stands around a line break is kept by its parts
                     self.keep(MARK + word, found)
             out += found
         return out
