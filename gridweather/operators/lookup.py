@@ -18,6 +18,7 @@ AXIS_LIMIT = 100_000
 BROADCAST_BYTES = 64 << 20
 VALUES = ["t_k", "u_mps", "v_mps"]
 CELL = ["time_i", "lat_i", "lon_i"]
+DAY = "day"
 
 
 @dataclass(frozen=True)
@@ -157,25 +158,35 @@ def grid_lon(lon: Column | str, axis: Axis, wrap: bool = False) -> Column:
     return x
 
 
+def cell_keys(grid: DataFrame) -> list[str]:
+    """What names a column of air: its place and hour, and the day where the grid holds several (then queries name it too)."""
+    return [DAY, *CELL] if DAY in grid.columns else CELL
+
+
 def grid_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
     """One row per (time, lat, lon) with a column per level and variable, named like ``t_k_3``.
 
-    Worth writing once, bucketed by the three indices, where many lookups follow.
+    Worth writing once, bucketed by the three indices, where many lookups follow. A column of air with more rows than there are
+    levels has several values for one place and hour, as of several days without a ``day``: an error.
     """
     picks = [
         F.max(F.when(F.col("level_i") == level, F.col(name))).alias(f"{name}_{level}") for level in axes.levels for name in [*VALUES, "z_m2s2"]
     ]
-    return grid.groupBy(*CELL).agg(*picks)
+    count, levels = F.count(F.lit(1)), len(axes.levels)
+    clash = F.when(count > levels, F.raise_error(F.lit("several values for one grid cell; give the grid a day column")).cast("boolean"))
+    wide = grid.groupBy(*cell_keys(grid)).agg(*picks, clash.alias("_clash"))
+    return wide.where("_clash is null").drop("_clash")
 
 
-def _match_cells(queries: DataFrame, profiles: DataFrame, axes: GridAxes, entries: int | None = None) -> DataFrame:
+def _match_cells(queries: DataFrame, profiles: DataFrame, axes: GridAxes, entries: int | None = None, how: str = "inner") -> DataFrame:
     """Join the columns of air on their indices. The axes bound their size: small grids are broadcast, others shuffled.
 
     ``entries`` is the length of a column, the number of levels if not given.
     """
     cells = len(axes.time.values) * len(axes.lat.values) * len(axes.lon.values)
     size = cells * ((entries or len(axes.levels)) * (len(VALUES) + 3) + len(CELL)) * 8
-    return queries.join(F.broadcast(profiles) if size <= BROADCAST_BYTES else profiles, CELL)
+    bounded = size <= BROADCAST_BYTES and DAY not in profiles.columns  # the axes do not bound the number of days
+    return queries.join(F.broadcast(profiles) if bounded else profiles, cell_keys(profiles), how)
 
 
 def _entry(level: int, hpa: float) -> Column:
@@ -193,23 +204,23 @@ def sorted_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
 
     Of equal heights only the first level counts; a column without any level is left out.
     """
-    wide = grid_profiles(grid, axes)
+    wide, cell = grid_profiles(grid, axes), cell_keys(grid)
     every = F.array_sort(F.array_compact(F.array(*[_entry(level, hpa) for level, hpa in axes.levels.items()])))
     new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
-    return wide.select(*CELL, every.alias("_all")).select(*CELL, new.alias("profile")).where(F.size("profile") > 0)
+    return wide.select(*cell, every.alias("_all")).select(*cell, new.alias("profile")).where(F.size("profile") > 0)
 
 
 def nearest_cells(queries: DataFrame, axes: GridAxes, t_sec: str = "t_query") -> DataFrame:
     """Add the nearest hour, latitude and longitude index, each chosen by itself."""
     keyed = axes.time.nearest(queries, t_sec, "time_i")
     keyed = axes.lat.nearest(keyed, "lat", "lat_i")
-    return axes.lon.nearest(keyed, fold_lon_360("lon"), "lon_i")
+    return axes.lon.nearest(keyed, grid_lon("lon", axes.lon), "lon_i")
 
 
 def nearest_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
     """Levels of the nearest column, one row each."""
-    cells = grid.select(*CELL, "level_i", "level_hpa", *VALUES, "z_m2s2")
-    return nearest_cells(queries, axes, t_sec).join(cells, CELL)
+    cells = grid.select(*cell_keys(grid), "level_i", "level_hpa", *VALUES, "z_m2s2")
+    return nearest_cells(queries, axes, t_sec).join(cells, cell_keys(grid))
 
 
 def nearest_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
@@ -223,9 +234,10 @@ def resampled_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, heig
     A column is resampled once, however many queries meet it.
     """
     at = F.posexplode(F.array(*[F.lit(float(x)) for x in heights])).alias("step", "altitude_m")
-    values = at_height(sorted_profiles(grid, axes).select(*CELL, "profile", at), "altitude_m", "linear")
+    cell = cell_keys(grid)
+    values = at_height(sorted_profiles(grid, axes).select(*cell, "profile", at), "altitude_m", "linear")
     rows = F.struct("step", "altitude_m", *VALUES, "p_pa")
-    packed = values.groupBy(*CELL).agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
+    packed = values.groupBy(*cell).agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
     met = _match_cells(nearest_cells(queries, axes, t_sec), packed, axes, len(heights))
     return met.select(*queries.columns, F.inline("_rows"))
 
@@ -234,7 +246,15 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
     """One row per query and surrounding (time, lat, lon) corner with its weight: up to eight, fewer on an edge."""
     placed = axes.time.bracket(queries, t_sec, "_t")
     placed = axes.lat.bracket(placed, "lat", "_y")
-    placed = axes.lon.bracket(placed, grid_lon("lon", axes.lon, wrap_lon), "_x")
+    lon = grid_lon("lon", axes.lon, wrap_lon)
+    placed = axes.lon.bracket(placed, lon, "_x")
+    if wrap_lon and len(axes.lon.values) > 1:
+        # East of the last value the first one follows, a whole turn on.
+        ends = axes.lon.ascending_values
+        gap = ends[0] + 360.0 - ends[-1]
+        low, high = (0, len(ends) - 1) if axes.lon.descending else (len(ends) - 1, 0)
+        over = _bracket_struct(F.lit(low), F.lit(high), (lon - ends[-1]) / gap) if gap > 0 else F.col("_x")
+        placed = placed.withColumn("_x", F.when(lon > ends[-1], over).otherwise(F.col("_x")))
 
     def corner(picks: tuple[int, int, int]) -> Column:
         """One corner; the upper end of a bracket counts only where it differs from the lower."""
@@ -251,7 +271,7 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
     corners = F.array_compact(F.array(*[corner((i, j, k)) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
     return (
         placed.withColumn("_c", F.explode(corners))
-        .withColumns({"time_frac": F.col("_t.frac"), "time_lo": F.col("_t.lo"), "time_hi": F.col("_t.hi")})
+        .withColumns({"time_frac": F.col("_t.frac"), "time_lo": F.col("_t.lo"), "time_hi": F.col("_t.hi"), "corners": F.size(corners)})
         .select("*", "_c.*")
         .drop("_c", "_t", "_y", "_x")
     )
@@ -260,13 +280,17 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
 def interpolated_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
     """Bilinear in place and linear in time for all levels at once: queries with wide level columns.
 
-    A value with a missing corner becomes NaN, also where that corner's weight is zero.
+    A value with a missing corner becomes NaN, also where that corner's weight is zero; equal queries each keep their row.
     """
     corners = corner_weights(queries, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    joined = _match_cells(corners, grid_profiles(grid, axes), axes)
+    joined = _match_cells(corners, grid_profiles(grid, axes), axes, how="left")
     names = [f"{n}_{level}" for level in axes.levels for n in [*VALUES, "z_m2s2"]]
-    sums = [F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in names]
-    return joined.groupBy(*queries.columns, "time_frac", "time_lo", "time_hi").agg(*sums)
+    # Equal queries meet in one group: it has so many times the corners of one of them.
+    copies = F.count(F.lit(1)) / F.first("corners")
+    sums = [(F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))) / copies).alias(n) for n in names]
+    keep = [*queries.columns, "time_frac", "time_lo", "time_hi"]
+    merged = joined.groupBy(*keep).agg(*sums, copies.cast("int").alias("_copies"))
+    return merged.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
 def level_rows(wide: DataFrame, axes: GridAxes, keep: list[str]) -> DataFrame:
@@ -338,7 +362,10 @@ def between(df: DataFrame, at: str, pressure: str) -> DataFrame:
 
 
 def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str, y: str, values: list[str], id_col: str) -> DataFrame:
-    """Bilinear lookup in a two-axis value table with columns a_i, b_i and any number of value columns."""
+    """Bilinear lookup in a two-axis value table with columns a_i, b_i and any number of value columns.
+
+    ``id_col`` names each query. A value with an absent corner is NaN.
+    """
     placed = b.table_bracket(a.table_bracket(queries, x, "_p"), y, "_q")
     p, q = F.col("_p"), F.col("_q")
     corners = F.array(
@@ -351,8 +378,8 @@ def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str,
         ]
     )
     keyed = placed.select(id_col, F.explode(corners).alias("_c")).select(id_col, "_c.*")
-    joined = keyed.join(table.select("a_i", "b_i", *values), ["a_i", "b_i"])
-    return joined.groupBy(id_col).agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in values])
+    joined = keyed.join(table.select("a_i", "b_i", *values), ["a_i", "b_i"], "left")
+    return joined.groupBy(id_col).agg(*[F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in values])
 
 
 def exact_or_model(requests: DataFrame, exact: DataFrame, model: DataFrame, days: DataFrame, *, id_col: str, day: str, mode: str) -> DataFrame:

@@ -106,7 +106,10 @@ def plan_blocks(df: DataFrame, keys: list[str], by: str, rows_per_block: int | N
     parts = min(CUTS, max(2, ceil(rows / rows_per_block)))
     probes = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
     # At most 129 numbers come back; they are the same for every later use, so a re-run task sees the same blocks.
-    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), probes, F.lit(10000)).alias("c")).first()["c"]
+    cuts = df.agg(F.percentile_approx(order_number(df, by), probes, F.lit(10000)).alias("c")).first()["c"]
+    cuts = [x for x in cuts or [] if x == x]
+    if not cuts:  # only NULL or NaN to order by
+        cuts = [0.0]
     if not keys:
         return Blocks(sorted(set(cuts)))
     # At most rows / rows_per_block keys can pass the filter, so this side is small enough to send everywhere.
@@ -116,7 +119,7 @@ def plan_blocks(df: DataFrame, keys: list[str], by: str, rows_per_block: int | N
 
 def _mark(df: DataFrame, keys: list[str], by: str, blocks: Blocks) -> DataFrame:
     """Add the block number, 0 for keys that need no cutting."""
-    block = block_number(F.col(by).cast("double"), blocks.cuts)
+    block = block_number(order_number(df, by), blocks.cuts)
     if not keys:
         return df.withColumn(BLOCK, block).withColumn("_hot", F.lit(True))
     return (
@@ -126,10 +129,21 @@ def _mark(df: DataFrame, keys: list[str], by: str, blocks: Blocks) -> DataFrame:
     )
 
 
+def order_number(df: DataFrame, by: str) -> Column:
+    """The leading order column as a double in the same order: microseconds of both kinds of timestamps, days of dates."""
+    kind = df.schema[by].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(by).cast("timestamp")).cast("double")
+    return (F.unix_date(by) if kind == "date" else F.col(by)).cast("double")
+
+
 def block_number(x: Column, cuts: list[float]) -> Column:
-    """Order-preserving block of ``x``: a search tree over quantile cuts, each part cut again into equal widths."""
+    """Order-preserving block of ``x``: a search tree over quantile cuts, each part cut again into equal widths.
+
+    NULL comes first, as in an ascending window, and NaN last.
+    """
     if len(cuts) < 2:
-        return F.lit(0)
+        return F.when(x.isNull(), -1).otherwise(0)
     spans = list(zip(cuts[:-1], cuts[1:]))
 
     def search(lo: int, hi: int) -> Column:
@@ -141,8 +155,9 @@ def block_number(x: Column, cuts: list[float]) -> Column:
     part = search(0, len(spans) - 1)
     low = F.element_at(F.array(*[F.lit(float(a)) for a, _ in spans]), part + 1)
     width = F.element_at(F.array(*[F.lit(float(b - a)) for a, b in spans]), part + 1)
-    piece = F.floor((x - low) / width * SLICES).cast("int")
-    return part * SLICES + F.greatest(F.lit(0), F.least(piece, F.lit(SLICES - 1)))
+    # NaN, which also comes of endless widths, counts as the largest.
+    piece = F.greatest(F.lit(0.0), F.least((x - low) / width * SLICES, F.lit(SLICES - 1.0)))
+    return F.when(x.isNull(), -1).otherwise(part * SLICES + F.floor(piece).cast("int"))
 
 
 def exact_quantiles(

@@ -65,7 +65,11 @@ def route(requests: DataFrame, providers: DataFrame, source: str, key: str) -> t
     """Answers from the provider each request names (blanks and case aside), and the requests no provider can answer."""
     named = requests.withColumn("provider", F.lower(F.trim(source)))
     known = providers.select("provider").distinct()
-    rejects = named.join(known, "provider", "left_anti").withColumn("reason", F.concat(F.lit("unsupported source: "), "provider"))
+    reason = F.concat(F.lit("unsupported source: "), F.coalesce("provider", F.lit("none")))
+    rejects = named.join(known, "provider", "left_anti").withColumn("reason", reason)
+    held = providers.select("provider", key).distinct()
+    absent = named.join(known, "provider", "left_semi").join(held, ["provider", key], "left_anti")
+    rejects = rejects.unionByName(absent.withColumn("reason", F.concat(F.lit("no data from source: "), "provider")))
     return named.join(providers, ["provider", key]), rejects
 
 

@@ -255,13 +255,13 @@ def state_keys(spark, d):
 
 @query("scl23_metres_to_degrees", f"""with a as (select track_id, seq, case when seq % 5 = 0 then 90e0 else cast(track_id % 160 as double) - 80e0 end as lat0, cast(track_id % 360 as double) as lon0, x_m, z_m from v_track)
     select track_id, seq, {r("lat0 + degrees(z_m/6371000e0)")} as lat,
-      {r("lon0 + case when abs(cos(radians(lat0))) < 1e-12 then 0e0 else degrees(x_m/(6371000e0*cos(radians(lat0)))) end")} as lon from a where lat0 < 90""")
+      {r("lon0 + case when abs(cos(radians(lat0))) < 1e-12 then 0e0 else degrees(x_m/(6371000e0*cos(radians(lat0)))) end")} as lon from a""")
 def metres_to_degrees(spark, d):
     t = v.track(spark, d).withColumns({
         "lat0": F.when(F.col("seq") % 5 == 0, 90.0).otherwise((F.col("track_id") % 160).cast("double") - 80.0),
         "lon0": (F.col("track_id") % 360).cast("double")})
     lat, lon = s.offset_lat_lon("x_m", "z_m", "lat0", "lon0")
-    return rows(t.where("lat0 < 90"), "track_id", "seq", lat=lat, lon=lon)
+    return rows(t, "track_id", "seq", lat=lat, lon=lon)
 
 
 @query("scl24_short_distance", f"""with a as (select obs_id, lat, lon, lat + 0.01e0*(obs_id % 10) as lat1, lon + 0.02e0*(obs_id % 7) as lon1 from v_obs)

@@ -67,14 +67,14 @@ def cube_rows(spark, d):
 
 
 @query("src7_hour_slice", f"""with {AXES}, hq as (select obs_id, extract(hour from valid_time)*3600e0 as sec from v_obs), dd as (select obs_id, list_transform(ts, lambda a: abs(a - sec)) as dist from hq, ax)
-    select obs_id, cast(list_position(dist, list_min(dist)) - 1 as int) as time_i, count(*) as cells, {r("avg(t_k)")} as mean_t_k from dd join v_grid g on g.time_i = list_position(dist, list_min(dist)) - 1 and g.level_i = 1 group by 1, 2""")
+    select obs_id, cast(list_position(dist, list_min(dist)) - 1 as int) as time_i, level_i, count(*) as cells, {r("avg(t_k)")} as mean_t_k from dd join v_grid g on g.time_i = list_position(dist, list_min(dist)) - 1 group by 1, 2, 3""")
 def hour_slice(spark, d):
     g = v.grid(spark, d)
     hour = (F.hour(F.date_trunc("hour", "valid_time")) * 3600).cast("double")
     q = lk.grid_axes(g).time.nearest(v.obs(spark, d).select("obs_id", "valid_time"), hour, "time_i")
-    # Slices are summed up once per stored time, then met by the queries.
-    slices = g.where("level_i = 1").groupBy("time_i").agg(F.count(F.lit(1)).alias("cells"), rounded(F.avg("t_k")).alias("mean_t_k"))
-    return q.join(slices, "time_i").select("obs_id", "time_i", "cells", "mean_t_k")
+    # Slices are summed up once per stored time and level, then met by the queries.
+    slices = g.groupBy("time_i", "level_i").agg(F.count(F.lit(1)).alias("cells"), rounded(F.avg("t_k")).alias("mean_t_k"))
+    return q.join(slices, "time_i").select("obs_id", "time_i", "level_i", "cells", "mean_t_k")
 
 
 @query("src8_hourly_payload", f"""with hr as (select strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00') as k, avg(value) as t, max(value) as w from events where extract(hour from ts) % 7 <> 3 group by 1)

@@ -60,7 +60,7 @@ def live_registry(spark, d):
     return out.select("user_id", "event_id", rounded("value").alias("value"))
 
 
-@query("str5_new_days", "select strftime(ts, '%Y-%m-%d') as day, count(*) as rows, case when extract(day from ts) <= 10 then 'first' else 'second' end as call from events where extract(day from ts) <= 20 group by 1, 3")
+@query("str5_new_days", "select strftime(ts, '%Y-%m-%d') as day, count(*) as rows, case when extract(day from ts) <= 10 then 'first' else 'second' end as call from events group by 1, 3")
 def new_days(spark, d):
     folder = new_folder(spark, "arrivals")
     source = f"{folder}/days"
@@ -73,7 +73,7 @@ def new_days(spark, d):
     schema = spark.read.parquet(source).schema
     first = jobs.new_days(spark, source, schema, folder).select("event_id").distinct()
     first.write.parquet(f"{folder}/first")
-    arrive(11, 20)
+    arrive(11, 31)
     both = jobs.new_days(spark, source, schema, folder)
     earlier = spark.read.parquet(f"{folder}/first").withColumn("call", F.lit("first"))
     marked = both.join(earlier, "event_id", "left").withColumn("call", F.coalesce("call", F.lit("second")))

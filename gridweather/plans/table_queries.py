@@ -148,7 +148,9 @@ def routed(spark, d):
 
 
 @query("join11_source_routing", f"""with {PROVIDERS}, {ASKED} select run_id, lower(trim(source)) as provider, {r("x")} as x, null as reason from rq join pv on pv.provider = lower(trim(source)) and pv.day = rq.day
-    union all select run_id, lower(trim(source)), null, 'unsupported source: ' || lower(trim(source)) from rq where lower(trim(source)) not in ('api','machine','knn')""")
+    union all select run_id, lower(trim(source)), null, 'unsupported source: ' || lower(trim(source)) from rq where lower(trim(source)) not in ('api','machine','knn')
+    union all select run_id, lower(trim(source)), null, 'no data from source: ' || lower(trim(source)) from rq where lower(trim(source)) in ('api','machine','knn')
+      and not exists (select 1 from pv where pv.provider = lower(trim(source)) and pv.day = rq.day)""")
 def source_routing(spark, d):
     good, bad = routed(spark, d)
     a = good.select("run_id", "provider", rounded("x").alias("x"), F.lit(None).cast("string").alias("reason"))

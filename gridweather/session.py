@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -32,10 +33,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, and so see the same disk."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for written tables: the cluster's checkpoint folder, or a new local one where none is set."""
+    """Shared folder for written tables: the cluster's checkpoint folder; only a local session gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="gridweather-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
