@@ -12,6 +12,7 @@ Null and empty texts hold nothing. Repeated rows of one document count once in t
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
 
@@ -77,7 +78,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def surroundings(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[str, int, str, int, int]]:
     """(entity, code of its surroundings, word, start, end) for whole words near each entity and outside all of them."""
     out = []
-    inside = sorted((a, b) for _, a, b in spans)
+    # Overlapping spans of different kinds become one, so that a word is looked up by bisection.
+    firsts, lasts = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if lasts and a <= lasts[-1]:
+            lasts[-1] = max(lasts[-1], b)
+        else:
+            firsts.append(a)
+            lasts.append(b)
     for _, start, end in spans:
         low, high = max(0, start - near), min(len(text), end + near)
         around = text[low:start] + "\0" + text[end:high]
@@ -85,7 +93,8 @@ def surroundings(text: str, spans: list[tuple[str, int, int]], near: int) -> lis
         entity = text[start:end].lower()
         for m in WORD.finditer(text, low, high):
             cut = m.start() == low > 0 and text[low - 1].isalnum() or m.end() == high < len(text) and text[high].isalnum()
-            if not cut and not any(m.start() < b and a < m.end() for a, b in inside):
+            before = bisect_right(firsts, m.end() - 1) - 1
+            if not cut and (before < 0 or lasts[before] <= m.start()):
                 out.append((entity, code, m[0].lower(), m.start(), m.end()))
     return out
 
