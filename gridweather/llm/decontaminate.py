@@ -98,10 +98,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, literal
         at = F.filter(at, lambda i: maybe_known(window_hash(i, window), hashes))
         cut, totals = F.broadcast(cut), F.broadcast(totals)
     rows = once(templates(doc_rows(docs), "doc_id"), "doc_id", words=F.col("words"), template=F.col("template"), at=at)
-    rows = rows.select("doc_id", "words", "template", F.explode("at").alias("pos")).withColumn("h", window_hash(F.col("pos"), window))
-    differs = F.zip_with(F.slice("template", F.col("pos") + 1, window), "itemplate", lambda a, b: a != b)
+    # A window goes on with its own words alone: a shuffle must not carry the whole text once per place.
+    here = F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), window_hash(i, window).alias("h"), F.slice("words", i + 1, window).alias("words"), F.slice("template", i + 1, window).alias("template"))))
+    rows = rows.select("doc_id", here.alias("w")).select("doc_id", "w.*")
+    differs = F.zip_with("template", "itemplate", lambda a, b: a != b)
     met = rows.join(cut, "h").where(~F.exists(differs, lambda x: x))
-    slots = F.filter(F.arrays_zip(F.col("iwords").alias("a"), F.slice("words", F.col("pos") + 1, window).alias("b")), lambda x: F.substring(x["a"], 1, 1).isin(NAME, NUMBER, UNIT))
+    slots = F.filter(F.arrays_zip(F.col("iwords").alias("a"), F.col("words").alias("b")), lambda x: F.substring(x["a"], 1, 1).isin(NAME, NUMBER, UNIT))
     met = met.select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), slots.alias("slots"))
     # An alignment has at most as many windows as its item, so its sets are bounded by the item's length.
     along = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
