@@ -42,7 +42,8 @@ class Battery:
     grid: float = 0.05
 
 
-CANDIDATE = r"(?=[A-Za-z+/_=-]{0,255}[0-9])[A-Za-z0-9+/_=-]{24,}"
+# Whole stretches with a digit. Looking ahead only from a stretch's first character keeps long stretches without one linear.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}"
 
 
 def spans(text: Column, pattern: str, keep=None) -> Column:

@@ -135,6 +135,16 @@ def test_battery(spark):
     assert got == {1: [(2, 66)], 2: [(4, 4 + len(coded))], 3: [], 4: [], 5: [], 6: []}
 
 
+def test_whole_stretch(spark):
+    """A stretch is one candidate from its first character on, wherever its first digit is; letters alone are none, however long."""
+    coded = "".join(secret_scan.ALPHABETS["base64"][b % 52] for b in hashlib.sha512(b"long").digest() * 5) + "7"
+    docs = spark.createDataFrame([(1, f"x {coded} y"), (2, "aB" * 200_000)], "doc_id bigint, text string")
+    from pyspark.sql import functions as F
+
+    got = docs.select("doc_id", secret_scan.spans(F.col("text"), secret_scan.CANDIDATE).alias("s")).collect()
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["s"]] for r in got} == {1: [(2, 2 + len(coded))], 2: []}
+
+
 def test_secrets_odd(odd_docs, no_docs):
     assert secret_scan.scan(odd_docs).count() == odd_docs.count() and secret_scan.scan(no_docs).count() == 0
 
@@ -223,6 +233,16 @@ def test_disclosing_terms(spark):
     assert not rows(pii.personal(copies), "doc_id")[0]["terms"]
 
 
+def test_words_near_many_entities():
+    """Words inside any entity are left out, spans of two kinds that overlap included; time grows with the text."""
+    text = "call Anna +123.4.5.6.7890 now"
+    found = pii.surroundings(text, [("ip", 11, 20), ("phone", 10, 25)], 60)
+    assert [w for *_, w, _, _ in found] == ["call", "anna", "now"] * 2
+    assert not pii.surroundings("me@mail.org", pii.base_spans("me@mail.org"), 60)
+    many = " ".join(f"name{i}@mail{i}.org said so" for i in range(20_000))
+    assert len({w for _, _, w, _, _ in pii.surroundings(many, pii.base_spans(many), 60)}) == 1
+
+
 def test_personal_odd(odd_docs, no_docs):
     out = pii.sanitised(odd_docs)
     assert out.columns == odd_docs.columns and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
