@@ -361,10 +361,11 @@ def between(df: DataFrame, at: str, pressure: str) -> DataFrame:
     ).drop("_lo", "_hi", "_f")
 
 
-def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str, y: str, values: list[str], id_col: str) -> DataFrame:
+def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str, y: str, values: list[str], id_col: str, planes: list[str] | None = None) -> DataFrame:
     """Bilinear lookup in a two-axis value table with columns a_i, b_i and any number of value columns.
 
-    ``id_col`` names each query. A value with an absent corner is NaN.
+    ``id_col`` names each query. A value with an absent corner is NaN. ``planes`` names columns that tell several tables over the
+    same axes apart: a query then has a row for each of them that holds any of its corners.
     """
     placed = b.table_bracket(a.table_bracket(queries, x, "_p"), y, "_q")
     p, q = F.col("_p"), F.col("_q")
@@ -378,6 +379,12 @@ def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str,
         ]
     )
     keyed = placed.select(id_col, F.explode(corners).alias("_c")).select(id_col, "_c.*")
+    if planes:
+        # The planes of one cell travel as one row, and part only after the join.
+        cells = table.groupBy("a_i", "b_i").agg(F.collect_list(F.struct(*planes, *values)).alias("_cell"))
+        met = keyed.join(cells, ["a_i", "b_i"]).select(id_col, "w", F.explode("_cell").alias("_v")).select(id_col, "w", "_v.*")
+        whole = F.count(F.lit(1)) == 4
+        return met.groupBy(id_col, *planes).agg(*[F.when(whole, F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan"))))).otherwise(float("nan")).alias(n) for n in values])
     joined = keyed.join(table.select("a_i", "b_i", *values), ["a_i", "b_i"], "left")
     return joined.groupBy(id_col).agg(*[F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in values])
 

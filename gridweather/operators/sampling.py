@@ -14,6 +14,9 @@ DRAWS_PER_TASK_ROW = 10_000
 # Share and range of the altitude mixture for spot checks.
 CHECK_MIXTURE = [(0.5, 0.0, 3000.0), (0.8, 3000.0, 8000.0), (0.95, 8000.0, 16000.0), (1.0, 16000.0, 30000.0)]
 
+#: Rows up to which a subset is taken as the least of every task, merged in one.
+SMALL_SUBSET = 100_000
+
 
 def axis_draw(seed: Column | int, axis: str, ident: Column, size: int) -> Column:
     """Index drawn evenly and with replacement on one axis."""
@@ -101,8 +104,13 @@ def day_split(day_of_month: Column, train_end: int = 23, val_end: int = 27) -> C
 
 
 def subset(df: DataFrame, ident: str, most: int, seed: int, **scan) -> DataFrame:
-    """At most ``most`` rows, picked by hash; all of them where there are no more."""
+    """At most ``most`` rows, picked by hash; all of them where there are no more.
+
+    A small subset keeps the least hashes of every task; only a large one is worth a rank over all rows.
+    """
     marked = df.withColumn("_h", h(seed, F.col(ident)))
+    if most <= SMALL_SUBSET and not scan:
+        return marked.orderBy("_h", ident).limit(most).drop("_h")
     return ordered_scan(marked, [], ["_h", ident], "_h", rank="_rn", **scan).where(F.col("_rn") <= most).drop("_h", "_rn")
 
 

@@ -13,14 +13,21 @@ PAGE_DEFAULT, PAGE_MOST = 10, 20
 
 
 def page(df: DataFrame, newest: str, ident: str, number: int = 1, size: int = PAGE_DEFAULT) -> DataFrame:
-    """One page, newest first, with the total rows and pages. Numbers that make no sense are refused."""
+    """One page, newest first, with the total rows and pages. Numbers that make no sense are refused.
+
+    A page past the end is one row of nulls beside the totals.
+    """
     if not isinstance(number, int) or isinstance(number, bool) or number < 1:
         raise ValueError("page must be a whole number from 1")
     if not isinstance(size, int) or isinstance(size, bool) or not 1 <= size <= PAGE_MOST:
         raise ValueError(f"limit must be a whole number from 1 to {PAGE_MOST}")
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy(F.desc(newest), F.desc(ident)).offset((number - 1) * size).limit(size)
-    return attach(rows, total).withColumn("total_pages", F.ceil(F.col("total") / size))
+    # At most ``PAGE_MOST`` rows are folded, so that the totals stay where there are none.
+    held = rows.select(F.struct(F.col(newest).alias("_at"), F.col(ident).alias("_id"), F.struct(*df.columns).alias("_row")).alias("_r"))
+    held = held.agg(F.sort_array(F.collect_list("_r"), asc=False).alias("_page"))
+    out = attach(held, total).select(F.explode_outer("_page").alias("_p"), "total").select("_p._row.*", "total")
+    return out.withColumn("total_pages", F.ceil(F.col("total") / size))
 
 
 def top_per_group(df: DataFrame, keys: list[str], by: Column, tie: str, k: int) -> DataFrame:

@@ -215,16 +215,15 @@ def minus_truth(spark, d):
     return j.select("obs_id", *[rounded(F.col(f"value.{n}") - F.col(f"truth.{n}"), k).alias(o) for n, o, k in (("t_k", "t_delta", 6), ("p_pa", "p_delta", 3), ("u_mps", "u_delta", 6))])
 
 
-@query("join17_table_lookup", f"""with t as (select 4 - lat_i as a_i, lon_i as b_i, -9e1 + 4.5e1*(4-lat_i) as a, 7.2e1*lon_i as b, t_k, u_mps from v_grid where time_i = 0 and level_i = 1),
+@query("join17_table_lookup", f"""with t as (select 4 - lat_i as a_i, lon_i as b_i, time_i, level_i, t_k, u_mps from v_grid),
     q as (select obs_id, greatest(-9e1, least(9e1, lat)) as x, greatest(0e0, least(288e0, lon)) as y from v_obs),
     k as (select *, least(cast(floor((x+9e1)/4.5e1) as int), 3) as i, least(cast(floor(y/7.2e1) as int), 3) as j from q),
     f as (select *, (x - (-9e1+4.5e1*i))/4.5e1 as fx, (y - 7.2e1*j)/7.2e1 as fy from k)
-    select obs_id, {r("sum((case when a_i = i then 1-fx else fx end)*(case when b_i = j then 1-fy else fy end)*t_k)")} as t_k,
+    select obs_id, time_i, level_i, {r("sum((case when a_i = i then 1-fx else fx end)*(case when b_i = j then 1-fy else fy end)*t_k)")} as t_k,
       {r("sum((case when a_i = i then 1-fx else fx end)*(case when b_i = j then 1-fy else fy end)*u_mps)")} as u_mps
-    from f join t on a_i in (i, i+1) and b_i in (j, j+1) group by obs_id""")
+    from f join t on a_i in (i, i+1) and b_i in (j, j+1) group by obs_id, time_i, level_i""")
 def two_axis_table(spark, d):
-    g = v.grid(spark, d).where("time_i = 0 and level_i = 1")
-    t = g.select((4 - F.col("lat_i")).alias("a_i"), F.col("lon_i").alias("b_i"), "lat", "lon", "t_k", "u_mps")
+    t = v.grid(spark, d).select("time_i", "level_i", (4 - F.col("lat_i")).alias("a_i"), F.col("lon_i").alias("b_i"), "lat", "lon", "t_k", "u_mps")
     a, b = lk.read_axis(t, "a_i", "lat"), lk.read_axis(t, "b_i", "lon")
-    out = lk.table_lookup(v.obs(spark, d), t, a, b, "lat", "lon", ["t_k", "u_mps"], "obs_id")
-    return out.select("obs_id", rounded("t_k").alias("t_k"), rounded("u_mps").alias("u_mps"))
+    out = lk.table_lookup(v.obs(spark, d), t, a, b, "lat", "lon", ["t_k", "u_mps"], "obs_id", planes=["time_i", "level_i"])
+    return out.select("obs_id", "time_i", "level_i", rounded("t_k").alias("t_k"), rounded("u_mps").alias("u_mps"))

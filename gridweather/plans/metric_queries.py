@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridweather.functions import features as ft, scalars as s
 from gridweather.operators import metrics as mt, series, stats
 from gridweather.plans.registry import h, query, r, rounded
-from gridweather.plans.scalar_queries import HOUR, LON180
+from gridweather.plans.scalar_queries import WEATHER_FEATURES_SQL
 from gridweather.sources import views as v
 
 ERR = "(y_pred - y_true)"
@@ -179,18 +179,14 @@ def permutation_importance(spark, d):
     return tidy(mt.permutation_importance(v.uv(spark, d), "row_id", ["u_pred", "v_pred"], ["u_true", "v_true"], score, 11), [], 9)
 
 
-_GROUPS = {"altitude_km": "greatest(altitude_m,0e0)/1e3", "lat_norm": "lat/90e0", "sphere_z": "sin(radians(lat))", "lon_norm": f"{LON180}/180e0", "utc_hour_norm": f"{HOUR}/24e0",
-           "day_of_year_norm": "(cast(extract(doy from valid_time) as double)-1)/365.25e0", "sin_lat": "sin(radians(lat))", "local_solar_hour_norm": f"(((({HOUR} + {LON180}/15e0) % 24e0)+24e0) % 24e0)/24e0"}
-
-
-@query("agg15_importance_by_group", f"""with l as ({" union all ".join(f"select '{n}' as feature, avg(abs({e})) as dl from v_obs" for n, e in _GROUPS.items())}),
+@query("agg15_importance_by_group", f"""with f as ({WEATHER_FEATURES_SQL}), l as (select feature, avg(abs(x)) as dl from (unpivot f on columns(* exclude (obs_id)) into name feature value x) u group by feature),
     g as (select *, case when contains(feature,'altitude') then 'altitude' when feature like 'utc%' or feature like 'solar%' or contains(feature,'hour') then 'time_of_day'
       when feature like 'doy%' or contains(feature,'day_of_year') then 'day_of_year' when contains(feature,'lat') or contains(feature,'lon') or feature like 'sphere%' then 'location' else 'other' end as feature_group from l)
     select 'spread' as target, feature_group, {r("sum(dl)")} as sum_delta_mae, {r("avg(dl)")} as mean_delta_mae from g group by feature_group""")
 def importance_by_group(spark, d):
     named = ft.weather_features("lat", "lon", "altitude_m", F.dayofyear("valid_time"), s.utc_hour("valid_time"))
-    o = v.obs(spark, d).select(*[named[n].alias(n) for n in _GROUPS])
-    spread = stats.long_form(o, list(_GROUPS)).groupBy(F.col("name").alias("feature")).agg(F.avg(F.abs("x")).alias("delta_mae"))
+    o = v.obs(spark, d).select(*[rounded(column, 9).alias(n) for n, column in named.items()])
+    spread = stats.long_form(o, list(named)).groupBy(F.col("name").alias("feature")).agg(F.avg(F.abs("x")).alias("delta_mae"))
     return tidy(mt.importance_by_group(spread.withColumn("target", F.lit("spread"))), [])
 
 

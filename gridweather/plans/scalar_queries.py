@@ -129,8 +129,11 @@ _WEATHER_SQL = _feature_sql("lon", {
 _PLACE_SQL = ", ".join(f"{r(f'{fn}({k}*radians({x}))', 9)} as {x}_{fn}_{k}" for k in (1, 2) for x in ("lat", "lon") for fn in ("sin", "cos"))
 
 
-@query("scl9_weather_features", f"""{_BASE} select obs_id, {_WEATHER_SQL}, {r("(doy-1)/365.25e0", 9)} as day_of_year_norm, {r("hr/24e0", 9)} as utc_hour_norm,
-    {r("sh/24e0", 9)} as local_solar_hour_norm, {", ".join(_cycle_sql())}, {_PLACE_SQL} from a""")
+WEATHER_FEATURES_SQL = f"""{_BASE} select obs_id, {_WEATHER_SQL}, {r("(doy-1)/365.25e0", 9)} as day_of_year_norm, {r("hr/24e0", 9)} as utc_hour_norm,
+    {r("sh/24e0", 9)} as local_solar_hour_norm, {", ".join(_cycle_sql())}, {_PLACE_SQL} from a"""
+
+
+@query("scl9_weather_features", WEATHER_FEATURES_SQL)
 def weather_feature_vector(spark, d):
     named = ft.weather_features("lat", "lon", "altitude_m", F.dayofyear("valid_time"), s.utc_hour("valid_time"))
     return rows(v.obs(spark, d), "obs_id", digits=9, **named)

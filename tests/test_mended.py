@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from gridweather import session
-from gridweather.operators import lookup as lk, tables as tb
+from gridweather.operators import lookup as lk, sampling as sm, tables as tb
 from gridweather.operators.ordered import ordered_scan
 
 START = dt.datetime(2025, 5, 1)
@@ -111,3 +111,28 @@ def test_no_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_folder(Cluster())
+
+
+def test_page_past_the_end_keeps_the_totals(spark):
+    df = spark.range(25).withColumn("at", F.col("id") % 3)
+    past = tb.page(df, "at", "id", 9, 10).collect()
+    assert [(row["id"], row["total"], row["total_pages"]) for row in past] == [(None, 25, 3)]
+    second = [row["id"] for row in tb.page(df, "at", "id", 2, 10).collect()]
+    assert second == sorted(range(25), key=lambda i: (-(i % 3), -i))[10:20]
+    assert [(row["total"], row["total_pages"]) for row in tb.page(df.where("false"), "at", "id").collect()] == [(0, 0)]
+
+
+def test_small_subset_is_the_ranked_one(spark):
+    df = spark.range(3_000).withColumnRenamed("id", "i")
+    ids = [sorted(row["i"] for row in sm.subset(df, "i", 70, 5, **scan).collect()) for scan in ({}, {"rows_per_block": 500})]
+    assert ids[0] == ids[1] and len(ids[0]) == 70
+
+
+def test_table_lookup_by_plane(spark):
+    axis = lk.Axis((0.0, 1.0))
+    cells = [(a, b, k, float(10 * k + a + b)) for k in (1, 2) for a in (0, 1) for b in (0, 1)]
+    q = spark.createDataFrame([(1, 0.5, 0.25)], "i int, a double, b double")
+    made = lambda rows: {row["k"]: row["x"] for row in lk.table_lookup(q, spark.createDataFrame(rows, "a_i int, b_i int, k int, x double"), axis, axis, "a", "b", ["x"], "i", planes=["k"]).collect()}
+    assert made(cells) == {1: 10.75, 2: 20.75}
+    got = made(cells[:-1])
+    assert got[1] == 10.75 and math.isnan(got[2])
