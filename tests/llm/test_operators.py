@@ -318,6 +318,27 @@ def test_pieces_equal_the_library(spark):
     assert all(r["exact"] and r["ids"] == library.encode(texts()[i]) and r["n_ids"] == len(r["ids"]) for i, r in got.items())
 
 
+def test_pieces_of_long_runs(spark):
+    """Runs of blanks of any length, alone or before words, take the ids of the library; none holds a row per merge."""
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    model = pieces.compiled(pieces.default_model())
+    pick = random.Random(5)
+    for k in [*range(70), 200, 1_001, 200_000]:
+        for t in [" " * k, "a" + " " * k, " " * k + "word and\n" + " " * (k // 2) + "x = 1", " " * k + "▁" * (k % 5) + "the\t"]:
+            assert model.encode(t) == library.encode(t), (k, t[-20:])
+    for k in range(300):
+        part = "".join(pick.choice("▁▁▁▁the in") for _ in range(k % 60)).replace(" ", "▁")
+        *_, last = model.merging(part or "▁")
+        assert model.merged(part or "▁") == last
+    docs = spark.createDataFrame([(1, "a" + " " * 200_000 + "b")], "doc_id bigint, text string")
+    got = pieces.encode(docs).first()
+    assert got["exact"] and got["ids"] == library.encode("a" + " " * 200_000 + "b")
+
+
 def test_pieces_odd(odd_docs, no_docs):
     out = pieces.encode(odd_docs)
     assert out.where("ids is null").count() == 2 and out.where("not exact").count() == 1 and pieces.encode(no_docs).count() == 0
