@@ -2,9 +2,9 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers and telephone numbers. The values found are protected entities.
 Removing them is not enough where a word stands almost only beside one of them, so the corpus is asked how strongly words reveal
-entities: the share of a word's documents in which it stands near the entity, an estimate of P(entity | word), and the gain in
-bits over P(entity). Words over the thresholds are generalised to a placeholder, or removed where they all but name the entity.
-Copies of one passage are one piece of evidence: a pair needs several different surroundings.
+entities: the share of a word's documents that hold the entity, anywhere, an estimate of P(entity | word), and the gain in
+bits over P(entity). Words over the thresholds are generalised to a placeholder, or removed where they all but name the entity,
+wherever they stand in the corpus. Copies of one passage are one piece of evidence: a pair needs several different surroundings.
 
 Null and empty texts hold nothing. Repeated rows of one document count once in the estimates, and each row gets its spans.
 """
@@ -31,14 +31,18 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 TERM = "term"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
-NEAR = "array<struct<entity:string,around:bigint,term:string,start:int,end:int>>"
-#: Candidate words up to this many are sent to every task that counts documents; beyond, words are counted before they meet.
+NEAR = "array<struct<entity:string,around:bigint,term:string>>"
+CODED = "array<struct<name:string,around:bigint>>"
+SPOTS = "array<struct<start:int,end:int,remove:boolean>>"
+#: Words up to this many are sent to every task that counts or marks them; beyond, they are joined.
 BROADCAST_TERMS = 50_000
+#: Entities of one document that meet its words in one block.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``near``: characters on each side of an entity in which words are looked at. A word is generalised from ``share``
+    """``near``: characters on each side of a place that make its surroundings. A word is generalised from ``share``
     and ``bits`` on, given ``surroundings`` different ones, and removed from ``remove`` on."""
 
     near: int = 60
@@ -75,21 +79,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[str, int, str, int, int]]:
-    """(entity, code of its surroundings, word, start, end) for whole words near each entity and outside all of them."""
-    out = []
-    # Overlapping spans of different kinds become one, so that a word is looked up by bisection.
+def around(text: str, start: int, end: int, near: int) -> int:
+    """Code of what stands on both sides of a place."""
+    sides = text[max(0, start - near) : start] + "\0" + text[end : end + near]
+    return int.from_bytes(blake2b(sides.lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends with overlapping spans made one, so that a word is looked up by bisection."""
     firsts, lasts = [], []
-    for a, b in sorted((a, b) for _, a, b in spans):
+    for a, b in sorted(spans):
         if lasts and a <= lasts[-1]:
             lasts[-1] = max(lasts[-1], b)
         else:
             firsts.append(a)
             lasts.append(b)
+    return firsts, lasts
+
+
+def words_outside(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of all words that touch none of the spans."""
+    firsts, lasts = merged_spans(spans)
+    out = []
+    for m in WORD.finditer(text):
+        before = bisect_right(firsts, m.end() - 1) - 1
+        if before < 0 or lasts[before] <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def surroundings(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[str, int, str, int, int]]:
+    """(entity, code of its surroundings, word, start, end) for whole words near each entity and outside all of them."""
+    out = []
+    firsts, lasts = merged_spans([(a, b) for _, a, b in spans])
     for _, start, end in spans:
         low, high = max(0, start - near), min(len(text), end + near)
-        around = text[low:start] + "\0" + text[end:high]
-        code = int.from_bytes(blake2b(around.lower().encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        code = around(text, start, end, near)
         entity = text[start:end].lower()
         for m in WORD.finditer(text, low, high):
             cut = m.start() == low > 0 and text[low - 1].isalnum() or m.end() == high < len(text) and text[high].isalnum()
@@ -113,64 +138,152 @@ def _structs(rows: list[list[tuple]], kinds: list[tuple[str, pa.DataType]]) -> p
 
 
 SPAN_KINDS = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
-NEAR_KINDS = [("entity", pa.string()), ("around", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+NEAR_KINDS = [("entity", pa.string()), ("around", pa.int64()), ("term", pa.string())]
+CODED_KINDS = [("name", pa.string()), ("around", pa.int64())]
+SPOT_KINDS = [("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]
 
 
 def found(text: Column, near: int) -> Column:
-    """Struct of the base spans, their digest, and the words near them."""
+    """Struct of the base spans, their digest, the words near them, and each entity with a code of its surroundings."""
 
-    @F.arrow_udf(f"struct<base:{SPAN},base_sha256:string,near:{NEAR}>")
+    @F.arrow_udf(f"struct<base:{SPAN},base_sha256:string,near:{NEAR},entities:{CODED}>")
     def of(texts: pa.Array) -> pa.Array:
-        spans, words = [], []
+        spans, words, entities = [], [], []
         for value in texts:
             t = value.as_py() or ""
             spans.append(base_spans(t))
-            words.append(surroundings(t, spans[-1], near) if spans[-1] else [])
+            words.append(list(dict.fromkeys(x[:3] for x in surroundings(t, spans[-1], near))) if spans[-1] else [])
+            codes: dict[str, int] = {}
+            for _, start, end in spans[-1]:
+                name, code = t[start:end].lower(), around(t, start, end, near)
+                codes[name] = min(code, codes.get(name, code))
+            entities.append(list(codes.items()))
         digests = pa.array([sha256(listed(s).encode()).hexdigest() for s in spans], pa.string())
-        return pa.StructArray.from_arrays([_structs(spans, SPAN_KINDS), digests, _structs(words, NEAR_KINDS)], ["base", "base_sha256", "near"])
+        parts = [_structs(spans, SPAN_KINDS), digests, _structs(words, NEAR_KINDS), _structs(entities, CODED_KINDS)]
+        return pa.StructArray.from_arrays(parts, ["base", "base_sha256", "near", "entities"])
+
+    return of(text)
+
+
+def coded_words(text: Column, near: int) -> Column:
+    """Different words of a text outside its entities, each with a code of its surroundings: the least of all places."""
+
+    @F.arrow_udf(CODED)
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            t = value.as_py() or ""
+            codes: dict[str, int] = {}
+            for word, start, end in words_outside(t, [(a, b) for _, a, b in base_spans(t)]):
+                code = around(t, start, end, near)
+                codes[word] = min(code, codes.get(word, code))
+            out.append(list(codes.items()))
+        return _structs(out, CODED_KINDS)
 
     return of(text)
 
 
-def revealing(rows: DataFrame, words: DataFrame, how: Disclosure) -> DataFrame:
+def words_of(text: Column, only: frozenset[str] | None) -> Column:
+    """Different words of a text, of ``only`` if given."""
+
+    @F.arrow_udf("array<string>")
+    def of(texts: pa.Array) -> pa.Array:
+        rows = [{m.lower() for m in WORD.findall(t.as_py() or "")} for t in texts]
+        return pa.array([sorted(r if only is None else r & only) for r in rows], pa.list_(pa.string()))
+
+    return of(text)
+
+
+def _sent(terms: DataFrame) -> frozenset[str] | None:
+    """The words of a table that is small enough to be sent to every task; none of a larger one."""
+    return frozenset(r[0] for r in terms.collect()) if terms.count() <= BROADCAST_TERMS else None
+
+
+def revealing(rows: DataFrame, table: DataFrame, how: Disclosure) -> DataFrame:
     """entity, term, share, bits of the pairs over the thresholds.
 
-    ``rows`` (doc_id, text) is the corpus, ``words`` (doc_id, entity, around, term) what stands near its entities.
+    ``rows`` (doc_id, text) is the corpus, ``table`` (doc_id, near, entities) what ``found`` says of it. A pair is counted in
+    every document that holds both, wherever they stand. Its evidence are the different surroundings of the entity that hold the
+    word, or the different documents' surroundings of both, whichever are more.
     """
     spark = rows.sparkSession
-    seen = words.select("doc_id", "entity", "around", "term").distinct()
-    # Distinct rows are counted twice over: by document and by surroundings, each with partial sums before the shuffle.
-    pairs = seen.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_around")).where(F.col("n_around") >= how.surroundings)
-    joint = seen.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = written(spark, pairs.join(joint, ["entity", "term"]), "pii-pairs")
-    entities = seen.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = pairs.select("term").distinct()
-    # The same words as near entities: runs of three letters or more, in lower case.
-    tokens = rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
-    n_terms = terms.count()
-    if n_terms <= BROADCAST_TERMS:
-        tokens = tokens.join(F.broadcast(terms), "term", "left_semi")
-    counted = tokens.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = F.lit(max(1, rows.count())).cast("double")
-    scored = pairs.join(counted, "term").join(entities, "entity")
+    total = max(1, rows.count())
+    one = F.lit(1)
+    near = table.where(F.size("near") > 0).select(F.explode("near").alias("n")).select("n.*").distinct()
+    near = written(spark, near.groupBy("entity", "term").agg(F.count(one).alias("n_near")).where(F.col("n_near") >= how.surroundings), "pii-near")
+    held = table.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.col("e.name").alias("entity"), F.col("e.around").alias("e_around")).groupBy("doc_id", "entity").agg(F.min("e_around").alias("e_around"))
+    # Entities that no word can reveal: in too few documents and surroundings, or in so many that no share gives the bits.
+    known = held.groupBy("entity").agg(F.count(one).alias("n_entity")).join(near.select("entity", F.lit(True).alias("often")).distinct(), "entity", "left")
+    known = known.where(((F.col("n_entity") >= how.surroundings) | F.col("often")) & (F.col("n_entity") <= total / 2.0**how.bits)).select("entity", "n_entity")
+    held = written(spark, held.join(known, "entity"), "pii-entities")
+    # Per document: how many documents its commonest entity is in, and into how many blocks its entities are cut.
+    docs = held.groupBy("doc_id").agg(F.max("n_entity").alias("n_most"), F.ceil(F.count(one) / BLOCK).cast("int").alias("blocks"))
+    docs = written(spark, docs, "pii-docs")
+    coded = rows.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(coded_words(F.col("text"), how.near)).alias("w"))
+    coded = written(spark, coded.select("doc_id", F.col("w.name").alias("term"), F.col("w.around").alias("t_around")).groupBy("doc_id", "term").agg(F.min("t_around").alias("t_around")), "pii-words")
+    terms = coded.select("term").distinct()
+    only = _sent(terms)
+    tokens = rows.select("doc_id", F.explode(words_of(F.col("text"), only)).alias("term"))
+    counted = (tokens if only is not None else tokens.join(terms, "term", "left_semi")).distinct().groupBy("term").agg(F.count(one).alias("n_term"))
+    # A word in more documents than an entity's share allows cannot reveal it.
+    words = coded.join(counted, "term").join(docs, "doc_id").where(F.col("n_term") * how.share <= F.col("n_most"))
+    words = words.select("doc_id", "term", "t_around", "n_term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = held.join(docs.select("doc_id", "blocks"), "doc_id").withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+    met = held.join(words, ["doc_id", "block"]).where(F.col("n_term") * how.share <= F.col("n_entity"))
+    met = met.groupBy("entity", "term", F.xxhash64("e_around", "t_around").alias("around")).agg(F.count(one).alias("n"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    met = met.groupBy("entity", "term").agg(F.count(one).alias("n_around"), F.sum("n").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    met = met.join(near, ["entity", "term"], "left").where(F.greatest("n_around", F.coalesce("n_near", F.lit(0))) >= how.surroundings)
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    scored = scored.select("entity", "term", share.alias("share"), F.log2(share * total / F.col("n_entity")).alias("bits"))
+    scored = met.select("entity", "term", share.alias("share"), F.log2(share * F.lit(float(total)) / F.col("n_entity")).alias("bits"))
     return scored.where((F.col("share") >= how.share) & (F.col("bits") >= how.bits))
 
 
-def personal(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """doc_id, base (spans), base_sha256, terms (spans with ``remove``) for every row of ``docs``."""
+def spots(text: Column, hits: Column | None, sent: dict[str, bool]) -> Column:
+    """Every place of disclosing words outside the entities, with whether it is removed; the words are ``hits`` or else ``sent``."""
+
+    def places(t: str | None, terms: dict[str, bool]) -> list[tuple[int, int, bool]]:
+        if not t or not terms or not any(w.lower() in terms for w in WORD.findall(t)):
+            return []
+        return [(a, b, terms[w]) for w, a, b in words_outside(t, [(a, b) for _, a, b in base_spans(t)]) if w in terms]
+
+    if hits is None:
+
+        @F.arrow_udf(SPOTS)
+        def of(texts: pa.Array) -> pa.Array:
+            return _structs([places(t.as_py(), sent) for t in texts], SPOT_KINDS)
+
+        return of(text)
+
+    @F.arrow_udf(SPOTS)
+    def each(texts: pa.Array, words: pa.Array) -> pa.Array:
+        return _structs([places(t.as_py(), {w["term"]: w["remove"] for w in ws.as_py() or []}) for t, ws in zip(texts, words)], SPOT_KINDS)
+
+    return each(text, hits)
+
+
+def with_terms(docs: DataFrame, how: Disclosure) -> DataFrame:
+    """``docs`` with ``_found`` (what ``found`` says) and ``_terms``: all spots of the disclosing words in each row's own text."""
     spark = docs.sparkSession
     rows = doc_rows(docs)
-    table = written(spark, rows.select("doc_id", found(F.col("text"), how.near).alias("f")).select("doc_id", "f.*"), "pii-found")
-    near = table.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("n")).select("doc_id", "n.*")
-    if near.isEmpty():
-        return table.select("doc_id", "base", "base_sha256", F.array().cast("array<struct<start:int,end:int,remove:boolean>>").alias("terms"))
-    pairs = revealing(rows, near, how)
-    spots = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "start", "end").agg(F.max("share").alias("share"))
-    spots = spots.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("share") >= how.remove).alias("remove")))).alias("terms"))
-    out = table.select("doc_id", "base", "base_sha256").join(spots, "doc_id", "left")
-    return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")))
+    out = docs.withColumn("_found", found(docs["text"].cast("string"), how.near))
+    table = written(spark, rows.select("doc_id", found(F.col("text"), how.near).alias("f")).select("doc_id", "f.near", "f.entities").where(F.size("entities") > 0), "pii-found")
+    if table.isEmpty():
+        return out.withColumn("_terms", F.array().cast(SPOTS))
+    terms = revealing(rows, table, how).groupBy("term").agg((F.max("share") >= how.remove).alias("remove"))
+    terms = written(spark, terms, "pii-terms")
+    text = out["text"].cast("string")
+    if terms.count() <= BROADCAST_TERMS:
+        return out.withColumn("_terms", spots(text, None, {r["term"]: r["remove"] for r in terms.collect()}))
+    # By the text's own code, which rows without an id have too; texts that share a code just share their words.
+    hits = rows.select(F.xxhash64("text").alias("_code"), F.explode(words_of(F.col("text"), None)).alias("term")).distinct().join(terms, "term")
+    hits = hits.groupBy("_code").agg(F.collect_list(F.struct("term", "remove")).alias("_hits"))
+    out = out.withColumn("_text_code", F.xxhash64(text)).join(hits.withColumnRenamed("_code", "_text_code"), "_text_code", "left")
+    return out.withColumn("_terms", spots(F.col("text").cast("string"), F.col("_hits"), {}))
+
+
+def personal(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
+    """doc_id, base (spans), base_sha256, terms (spans with ``remove``) for every row of ``docs``."""
+    return with_terms(doc_rows(docs), how).select("doc_id", "_found.base", "_found.base_sha256", F.col("_terms").alias("terms"))
 
 
 def cleaned(text: Column, base: Column, terms: Column) -> Column:
@@ -200,17 +313,11 @@ def cleaned(text: Column, base: Column, terms: Column) -> Column:
 def sanitised(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """All rows with all columns, ``text`` cleaned; ``n_chars``, where it is a column, follows the text.
 
-    Base spans are worked out in each row; the words to generalise come by id. Rows that share an id get the same list, applied
-    only where the row's own text has it; rows without an id get their base spans cleaned.
+    Base spans and the places of disclosing words are worked out in each row, with or without an id.
     """
     columns = docs.columns
-    terms = personal(docs, how).where("doc_id is not null and size(terms) > 0").select(F.col("doc_id").alias("_id"), F.col("terms").alias("_terms"), F.col("base_sha256").alias("_base"))
-    terms = terms.dropDuplicates(["_id", "_base"])
-    text = docs["text"].cast("string")
-    rows = docs.withColumn("_found", found(text, how.near))
-    rows = rows.join(terms, (rows["doc_id"] == terms["_id"]) & (rows["_found.base_sha256"] == terms["_base"]), "left")
-    clean = cleaned(F.col("text").cast("string"), F.col("_found.base"), F.col("_terms"))
-    out = rows.withColumn("text", clean)
+    rows = with_terms(docs, how)
+    out = rows.withColumn("text", cleaned(F.col("text").cast("string"), F.col("_found.base"), F.col("_terms")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

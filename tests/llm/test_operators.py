@@ -233,6 +233,28 @@ def test_disclosing_terms(spark):
     assert not rows(pii.personal(copies), "doc_id")[0]["terms"]
 
 
+def test_disclosing_terms_far_away(spark, monkeypatch):
+    """A word far from the address in all its documents is found, and goes wherever it stands: without the address, without an id."""
+    fill = lambda i: " ".join(f"{w}{'klmnopqrstuvwxyz'[i]}" for w in ("said", "more", "and", "less", "than", "ever") * 4)
+    docs = [(i, f"From: a.b@mail.org to all. {fill(i)} the quixotic person. {fill(i)} quixotic again") for i in range(5)]
+    docs += [(8, "only the Quixotic person here"), (None, "a quixotic row without an id"), (8, "another text of this id, quixotic too")]
+    docs += [(10 + i, f"from number {i} to all the person said nothing again") for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = sorted(re.sub("(?i)quixotic", "[TERM]", t).replace("a.b@mail.org", "[EMAIL]") for _, t in docs)
+
+    def cleaned():
+        return sorted(r["text"] for r in pii.sanitised(table).collect())
+
+    assert cleaned() == want
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert cleaned() == want
+    monkeypatch.setattr(pii, "BLOCK", 1)
+    many = spark.createDataFrame([(i, f"c.d@mail.org {t} e.f@mail.org") if i is not None and i < 5 else (i, t) for i, t in docs], table.schema)
+    assert not any("quixotic" in r["text"].lower() for r in pii.sanitised(many).collect())
+    copies = spark.createDataFrame([(i, docs[0][1]) for i in range(9)] + docs[8:], table.schema)
+    assert sorted(r["text"] for r in pii.sanitised(copies).collect()) == sorted(t.replace("a.b@mail.org", "[EMAIL]") for t in [docs[0][1]] * 9 + [t for _, t in docs[8:]])
+
+
 def test_words_near_many_entities():
     """Words inside any entity are left out, spans of two kinds that overlap included; time grows with the text."""
     text = "call Anna +123.4.5.6.7890 now"
