@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on everything that looks encoded.
 
-Stretches of encoding characters are given an encoding by their characters (hex, base32, base64), and their symbols are tested
+Stretches of encoding characters, cut at '=' into names and values, and the parts of each between '/', '-' and '_' beside the
+whole, are given an encoding by their characters (hex, base32, base64), and their symbols are tested
 for being drawn evenly and independently: chi-squared uniformity over the alphabet, the number of runs above and below the
 middle, and the correlation of neighbours. The three are combined into one p-value of randomness. Over all candidates of the
 corpus a step-up rule that controls false discoveries decides, for each encoding and length band by itself, which stretches are
@@ -44,6 +45,11 @@ class Battery:
 
 # Whole stretches with a digit. Looking ahead only from a stretch's first character keeps long stretches without one linear.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}"
+# Whole stretches without a digit, of small and capital letters.
+LETTERS = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z+/_=-]*[a-z])(?=[a-z+/_=-]*[A-Z])[A-Za-z+/_=-]{24,}+(?![0-9])"
+# What stands between the '=' of a stretch, with padding at its end; and what stands between the other marks that join words.
+SEGMENT = r"[^=]+(?:=+$)?"
+PART = r"[A-Za-z0-9+]+=*"
 
 
 def spans(text: Column, pattern: str, keep=None) -> Column:
@@ -78,7 +84,7 @@ def encoding(token: Column) -> Column:
     return (
         F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digits & token.rlike("[a-fA-F]"), "hex")
         .when(token.rlike("^[A-Z2-7]+=*$") & token.rlike("[2-7]") & token.rlike("[A-Z]"), "base32")
-        .when(token.rlike("^[A-Za-z0-9+/_-]+=*$") & digits & token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
+        .when(token.rlike("^[A-Za-z0-9+/_-]+=*$") & token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
     )
 
 
@@ -123,13 +129,27 @@ def p_random(symbols: Column, size: int) -> Column:
 
 
 def candidates(rows: DataFrame, how: Battery) -> DataFrame:
-    """doc_id, start, end, encoding, band and -log10 p of every stretch that may be encoded."""
-    found = rows.select("doc_id", F.explode(spans(F.col("text"), CANDIDATE)).alias("s")).select("doc_id", "s.*")
-    found = once(found, "doc_id", "start", "end", token=F.col("match"), encoding=encoding(F.col("match"))).where("encoding is not null")
+    """doc_id, start, end, encoding, band and -log10 p of everything that may be encoded, with ``segment``, the place where its
+    segment begins, and whether it is the ``whole`` of it.
+
+    A stretch is cut at every '=' that is not padding. Each segment is a candidate, and so are its parts between '/', '-' and '_'.
+    """
+    least = min(size for _, size in how.shortest)
+    long = lambda m: F.length(m) >= least
+    stretches = F.concat(spans(F.col("text"), CANDIDATE), spans(F.col("text"), LETTERS))
+    found = rows.select("doc_id", F.explode(stretches).alias("s")).select("doc_id", "s.*")
+    found = found.select("doc_id", "start", F.explode(spans(F.col("match"), SEGMENT, long)).alias("s"))
+    found = once(found, "doc_id", segment=F.col("start") + F.col("s.start"), token=F.col("s.match"))
+    parts = F.filter(spans(F.col("token"), PART, long), lambda x: x["match"] != F.col("token"))
+    both = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.length("token").alias("end"), F.col("token").alias("match"))), parts)
+    found = found.select("doc_id", "segment", F.col("token").alias("of"), F.explode(both).alias("s"))
+    keys = "doc_id", "segment", "whole", "start", "end"
+    found = found.select("doc_id", "segment", (F.col("s.match") == F.col("of")).alias("whole"), (F.col("segment") + F.col("s.start")).alias("start"), (F.col("segment") + F.col("s.end")).alias("end"), F.col("s.match").alias("match"))
+    found = once(found, *keys, token=F.col("match"), encoding=encoding(F.col("match"))).where("encoding is not null")
     made = F.lit(None).cast("array<int>")
     for kind in ALPHABETS:
         made = F.when(F.col("encoding") == kind, codes(F.col("token"), kind)).otherwise(made)
-    found = once(found, "doc_id", "start", "end", "encoding", symbols=made)
+    found = once(found, *keys, "encoding", symbols=made)
     p = F.lit(None).cast("double")
     for kind, alphabet in ALPHABETS.items():
         p = F.when(F.col("encoding") == kind, p_random(F.col("symbols"), len(alphabet))).otherwise(p)
@@ -138,7 +158,7 @@ def candidates(rows: DataFrame, how: Battery) -> DataFrame:
         band = F.when(F.size("symbols") >= edge, F.lit(edge)).otherwise(band)
     for kind, least in how.shortest:
         enough = enough | ((F.col("encoding") == kind) & (F.size("symbols") >= least))
-    found = found.where(enough).select("doc_id", "start", "end", "encoding", band.alias("band"), F.least(F.lit(40.0), -F.log10(F.greatest(p, F.lit(1e-40)))).alias("strength"))
+    found = found.where(enough).select(*keys, "encoding", band.alias("band"), F.least(F.lit(40.0), -F.log10(F.greatest(p, F.lit(1e-40)))).alias("strength"))
     return found.withColumn("step", F.floor(F.col("strength") / how.grid))
 
 
@@ -163,7 +183,9 @@ def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
     text = once(rows, "doc_id", text=F.coalesce("text", F.lit("")))
     table = text.select("doc_id", *[column.alias(kind) for kind, column in base(F.col("text")).items()])
     found = written(docs.sparkSession, candidates(text, how), "secret-candidates")
-    extra = secrets_by_battery(found, how).select("doc_id", "start", "end").distinct()
+    # A part goes without saying where its whole segment is a secret.
+    extra = secrets_by_battery(found, how).groupBy("doc_id", "segment").agg(F.max("whole").alias("all"), F.collect_set(F.struct("start", "end", "whole")).alias("s"))
+    extra = extra.select("doc_id", F.explode(F.filter("s", lambda x: x["whole"] == F.col("all"))).alias("s")).select("doc_id", "s.start", "s.end")
     extra = extra.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("random"))
     out = table.join(extra, "doc_id", "left")
     covered = lambda s: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))

@@ -145,6 +145,26 @@ def test_whole_stretch(spark):
     assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["s"]] for r in got} == {1: [(2, 2 + len(coded))], 2: []}
 
 
+def test_values_among_names(spark):
+    """Values after a name and '=', after a path, glued to words, and without a digit are found; the names are not."""
+
+    def value(seed, size, alphabet=64):
+        return "".join(secret_scan.ALPHABETS["base64"][b % alphabet] for b in hashlib.sha512(seed).digest()[:size]).translate(str.maketrans("+/", "aZ"))
+
+    v = [value(b"value%d" % i, 44) for i in range(5)]
+    letters = value(b"letters", 40, 52)
+    cases = [(f"AWS_KEY={v[0]}", v[0]), (f"GET ?a=1&sig={v[1]}== ok", f"{v[1]}=="), (f"https://h.io/services/T000/B000/{v[2]}", v[2]), (f"sk_live_{v[3]}", v[3])]
+    cases += [(f"x {letters} y", letters), (f"KEY1={letters}", letters), (f"é😀 export A1=b2={v[4]} # c", v[4])]
+    plain = ["x = theNameOfAFunctionThatGoesOnAndOnAndOnAndOn", "a=b=c=d=e=f=g=h=i=j=k=l=m=n=o=p1", "=" * 50 + "1", "name_of_some_long_option_2=another_long_option_value_of_it"]
+    docs = spark.createDataFrame([*enumerate([t for t, _ in cases] + plain)], "doc_id bigint, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["random"]] for r in secret_scan.scan(docs).collect()}
+    for i, (text, want) in enumerate(cases):
+        a = text.index(want)
+        assert any(s <= a and a + len(want) <= e for s, e in got[i]), (text, got[i])
+        assert len(got[i]) == 1 and ("=" not in text[:a] or got[i] == [(a, a + len(want))])
+    assert not any(got[len(cases) + i] for i in range(len(plain)))
+
+
 def test_secrets_odd(odd_docs, no_docs):
     assert secret_scan.scan(odd_docs).count() == odd_docs.count() and secret_scan.scan(no_docs).count() == 0
 
