@@ -22,19 +22,37 @@ from gridweather.llm.common import doc_rows
 
 @dataclass(frozen=True)
 class Bands:
-    """``limits``: (bytes below which it holds, lowest ratio, highest ratio) in ascending order, the last for all longer texts."""
+    """``limits``: (bytes below which it holds, lowest ratio, highest ratio) in ascending order, the last for all longer texts.
+
+    They are the lowest and highest ratios of the documents of sf0.1 that are labelled good and pass the plain counts, and of
+    their chunks, plus 0.10 above, and below less 0.12 or half the way to base64 lines of that length where that is nearer. The
+    first and the last band, with 3 and 19 of these, are wider by hand.
+    """
 
     limits: tuple[tuple[float, float, float], ...] = (
-        (256, 0.0, 4.0),
-        (1_024, 1.05, 4.0),
-        (4_096, 1.25, 5.0),
-        (16_384, 1.4, 6.0),
-        (float("inf"), 1.5, 7.0),
+        (128, 1.05, 1.4),
+        (192, 1.12, 1.54),
+        (256, 1.18, 1.67),
+        (384, 1.27, 1.76),
+        (512, 1.34, 1.94),
+        (768, 1.39, 2.0),
+        (1_024, 1.49, 2.07),
+        (1_536, 1.6, 2.14),
+        (2_048, 1.72, 2.25),
+        (3_072, 1.8, 2.26),
+        (4_096, 1.9, 2.32),
+        (8_192, 1.95, 2.44),
+        (16_384, 2.09, 2.51),
+        (float("inf"), 2.0, 3.0),
     )
     level: int = 3
     chunk: int = 4_096
     #: A document fails when more than this share of its bytes lies in chunks outside their band.
     bad_share: float = 0.5
+    #: A text fails that has this many symbols or fewer, all about as frequent (entropy over that of even use): hex digits, which
+    #: shrink like prose in short texts. Good documents stay below 0.91.
+    symbols: int = 22
+    even: float = 0.96
 
     def outside(self, size: int, ratio: float) -> bool:
         low, high = next((a, b) for most, a, b in self.limits if size < most)
@@ -75,6 +93,17 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def few_symbols(raw: bytes, bands: Bands) -> bool:
+    """Whether the bytes beside blanks are few and evenly used."""
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    counts[list(BLANKS.encode())] = 0
+    used = counts[counts > 0]
+    if not 2 <= len(used) <= bands.symbols:
+        return False
+    p = used / used.sum()
+    return -(p * np.log2(p)).sum() >= bands.even * np.log2(len(used))
+
+
 def measured(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
@@ -95,7 +124,7 @@ def measured(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) ->
             part = view[at : at + bands.chunk]
             if bands.outside(len(part), len(part) / len(press.compress(part))):
                 bad += len(part)
-    kept = not failed and not bands.outside(len(raw), ratio) and bad <= bands.bad_share * len(raw)
+    kept = not failed and not bands.outside(len(raw), ratio) and bad <= bands.bad_share * len(raw) and not few_symbols(raw, bands)
     chars = len(text) - sum(map(text.count, BLANKS))
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeats, failed, ratio, bad, kept
 

@@ -426,6 +426,34 @@ def test_bands(spark):
     assert {i: r["kept"] for i, r in rows(quality.quality(docs), "doc_id").items()} == {1: False, 2: True, 3: False}
 
 
+@pytest.mark.parametrize("size", [100, 150, 200, 300, 500, 700, 1_000, 1_500, 2_000, 3_000, 4_050, 6_000, 12_000, 40_000])
+def test_noise_of_every_size(size):
+    """Lines of base64 and hex, and a short text repeated, fail at every size."""
+    import base64
+    import random
+
+    import zstandard
+
+    press, bytes_ = zstandard.ZstdCompressor(level=3), random.Random(size).randbytes(size)
+    lines = lambda t, w: "\n".join(t[i : i + w] for i in range(0, len(t), w))
+    noise = [lines(code[:size], w) for code in (base64.b64encode(bytes_).decode(), bytes_.hex(), bytes_.hex().upper()) for w in (4, 8, 32, 76)]
+    noise += [("spam and more " * size)[:size], ("buy this now, it is a very good offer and ends soon! " * size)[:size]]
+    for text in noise:
+        assert not quality.measured(text, quality.Bands(), press)[-1], text[:40]
+        # Not by the number of words alone.
+        raw = text.encode()
+        assert quality.Bands().outside(len(raw), len(raw) / len(press.compress(raw))) or quality.few_symbols(raw, quality.Bands()) or size < 200
+
+
+def test_good_documents_stay():
+    good = duckdb.sql(f"select text from '{SF}/documents.parquet' join '{SF}/labels.parquet' using (doc_id) where quality = 1").fetchall()
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    found = [m for (t,) in good if not (m := quality.measured(t, quality.Bands(), press))[5]]
+    assert found and all(m[-1] for m in found)
+
+
 def test_quality_odd(odd_docs, no_docs):
     got = quality.quality(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r["base_failed"] and not r["n_words"] for r in got if r["doc_id"] in (1, 2, 3))
