@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweather import session
-from gridweather.llm import decontaminate, language_model, licences, main_text, minhash, pieces, pii, quality, secret_scan, url_filter
+from gridweather.llm import decontaminate, filter_audit, hilbert, language_model, licences, main_text, minhash, pieces, pii, quality, secret_scan, url_filter
 from gridweather.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,14 @@ def op9(spark, sf_dir):
 @query("op10_licence_digests", licences.sql())
 def op10(spark, sf_dir):
     return licences.licences(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hilbert_shards")
+def op11(spark, sf_dir):
+    rows = hilbert.shards(table(spark, sf_dir, "documents"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query("op13_filter_orders", filter_audit.sql())
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
