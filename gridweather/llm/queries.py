@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridweather import session
-from gridweather.llm import decontaminate, filter_audit, hilbert, language_model, licences, main_text, minhash, pieces, pii, quality, secret_scan, url_filter
+from gridweather.llm import decontaminate, filter_audit, hilbert, language_model, licences, main_text, merkle, minhash, pieces, pii, quality, secret_scan, url_filter
 from gridweather.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,15 @@ def op11(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query("op12_path_copying_manifest", merkle.sql())
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string")) % 2 == 0
+    # No text, no change: a null text stays null, which is the dataset itself.
+    out = merkle.manifest(docs, F.when(tampered, F.replace(docs["text"], F.lit("\n"), F.lit(""))))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_copied")
+
+
 @query("op13_filter_orders", filter_audit.sql())
 def op13(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
