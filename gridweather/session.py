@@ -26,10 +26,12 @@ def build(app: str = "gridweather", cpus: str = "*", **conf: str) -> SparkSessio
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Times are UTC throughout; skewed joins are split at run time; rows go to Python by the thousand, as texts and lists are long."""
+    """Times are UTC throughout; skewed joins are split at run time; files are read and
+    rows go to Python by the thousand, as texts and lists are long."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
