@@ -19,6 +19,8 @@ BROADCAST_BYTES = 64 << 20
 VALUES = ["t_k", "u_mps", "v_mps"]
 CELL = ["time_i", "lat_i", "lon_i"]
 DAY = "day"
+#: Why a request has no values.
+NO_CELL, NO_LEVEL = "no grid cell", "no usable level"
 
 
 @dataclass(frozen=True)
@@ -166,14 +168,15 @@ def cell_keys(grid: DataFrame) -> list[str]:
 def grid_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
     """One row per (time, lat, lon) with a column per level and variable, named like ``t_k_3``.
 
-    Worth writing once, bucketed by the three indices, where many lookups follow. A column of air with more rows than there are
-    levels has several values for one place and hour, as of several days without a ``day``: an error.
+    Worth writing once, bucketed by the three indices, where many lookups follow. Several values for one level of a column of air,
+    as of several days without a ``day``, are an error.
     """
     picks = [
         F.max(F.when(F.col("level_i") == level, F.col(name))).alias(f"{name}_{level}") for level in axes.levels for name in [*VALUES, "z_m2s2"]
     ]
-    count, levels = F.count(F.lit(1)), len(axes.levels)
-    clash = F.when(count > levels, F.raise_error(F.lit("several values for one grid cell; give the grid a day column")).cast("boolean"))
+    # Counted for each level by itself, so that another level that is absent hides nothing.
+    most = [F.count_if(F.col("level_i") == level) for level in axes.levels]
+    clash = F.when(F.greatest(*most, F.lit(0)) > 1, F.raise_error(F.lit("several values for one grid cell; give the grid a day column")).cast("boolean"))
     wide = grid.groupBy(*cell_keys(grid)).agg(*picks, clash.alias("_clash"))
     return wide.where("_clash is null").drop("_clash")
 
@@ -202,12 +205,12 @@ def _entry(level: int, hpa: float) -> Column:
 def sorted_profiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
     """One row per column of air with the array ``profile`` of its usable levels in height order.
 
-    Of equal heights only the first level counts; a column without any level is left out.
+    Of equal heights only the first level counts; a column without any usable level has an empty one.
     """
     wide, cell = grid_profiles(grid, axes), cell_keys(grid)
     every = F.array_sort(F.array_compact(F.array(*[_entry(level, hpa) for level, hpa in axes.levels.items()])))
     new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
-    return wide.select(*cell, every.alias("_all")).select(*cell, new.alias("profile")).where(F.size("profile") > 0)
+    return wide.select(*cell, every.alias("_all")).select(*cell, new.alias("profile"))
 
 
 def nearest_cells(queries: DataFrame, axes: GridAxes, t_sec: str = "t_query") -> DataFrame:
@@ -218,32 +221,45 @@ def nearest_cells(queries: DataFrame, axes: GridAxes, t_sec: str = "t_query") ->
 
 
 def nearest_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
-    """Levels of the nearest column, one row each."""
+    """Levels of the nearest column, one row each; a query whose column is not there has one row with null levels and a ``reason``."""
     cells = grid.select(*cell_keys(grid), "level_i", "level_hpa", *VALUES, "z_m2s2")
-    return nearest_cells(queries, axes, t_sec).join(cells, cell_keys(grid))
+    met = nearest_cells(queries, axes, t_sec).join(cells, cell_keys(grid), "left")
+    return met.withColumn("reason", F.when(F.col("level_i").isNull(), NO_CELL))
 
 
 def nearest_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query") -> DataFrame:
-    """Queries with the sorted profile of their nearest column."""
-    return _match_cells(nearest_cells(queries, axes, t_sec), sorted_profiles(grid, axes), axes)
+    """Every query with the sorted profile of its nearest column, or null and the ``reason``."""
+    met = _match_cells(nearest_cells(queries, axes, t_sec), sorted_profiles(grid, axes), axes, how="left")
+    reason = F.when(F.col("profile").isNull(), NO_CELL).when(F.size("profile") == 0, NO_LEVEL)
+    return met.withColumns({"reason": reason, "profile": F.when(F.size("profile") > 0, F.col("profile"))})
 
 
 def resampled_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, heights: list[float], *, t_sec="t_query") -> DataFrame:
     """Queries with the values of their nearest column at fixed heights, one row per height (``step``, ``altitude_m``).
 
-    A column is resampled once, however many queries meet it.
+    A column is resampled once, in its own row, however many queries meet it. A query whose column is not there, or has no usable
+    level, has one row with null values and a ``reason``.
     """
-    at = F.posexplode(F.array(*[F.lit(float(x)) for x in heights])).alias("step", "altitude_m")
-    cell = cell_keys(grid)
-    values = at_height(sorted_profiles(grid, axes).select(*cell, "profile", at), "altitude_m", "linear")
-    rows = F.struct("step", "altitude_m", *VALUES, "p_pa")
-    packed = values.groupBy(*cell).agg(F.array_sort(F.collect_list(rows)).alias("_rows"))
-    met = _match_cells(nearest_cells(queries, axes, t_sec), packed, axes, len(heights))
-    return met.select(*queries.columns, F.inline("_rows"))
-
-
-def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
-    """One row per query and surrounding (time, lat, lon) corner with its weight: up to eight, fewer on an edge."""
+    cell, p = cell_keys(grid), F.col("profile")
+
+    def at(h: Column, step: Column) -> Column:
+        """As ``at_height`` with linear pressure."""
+        below = F.size(F.filter(p, lambda e: e["z"] <= h))
+        low, high = F.get(p, F.greatest(below - 1, F.lit(0))), F.get(p, F.least(below, F.size(p) - 1))
+        gap = high["z"] - low["z"]
+        part = F.when(gap > 0, (F.greatest(low["z"], F.least(high["z"], h)) - low["z"]) / F.when(gap > 0, gap).otherwise(1.0)).otherwise(0.0)
+        values = [(low[n] + (high[n] - low[n]) * part).alias(n if n != "p" else "p_pa") for n in [*VALUES, "p"]]
+        return F.struct(step.alias("step"), h.alias("altitude_m"), *values)
+
+    steps = F.transform(F.array(*[F.lit(float(x)) for x in heights]), at)
+    packed = sorted_profiles(grid, axes).select(*cell, F.when(F.size(p) > 0, steps).otherwise(F.slice(steps, 1, 0)).alias("_rows"))
+    met = _match_cells(nearest_cells(queries, axes, t_sec), packed, axes, len(heights), how="left")
+    reason = F.when(F.col("_rows").isNull(), NO_CELL).when(F.size("_rows") == 0, NO_LEVEL)
+    return met.select(*queries.columns, reason.alias("reason"), F.inline_outer("_rows"))
+
+
+def _placed(queries: DataFrame, axes: GridAxes, t_sec: str, wrap_lon: bool) -> DataFrame:
+    """Queries with their brackets ``_t``, ``_y`` and ``_x`` on the three axes."""
     placed = axes.time.bracket(queries, t_sec, "_t")
     placed = axes.lat.bracket(placed, "lat", "_y")
     lon = grid_lon("lon", axes.lon, wrap_lon)
@@ -255,6 +271,12 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
         low, high = (0, len(ends) - 1) if axes.lon.descending else (len(ends) - 1, 0)
         over = _bracket_struct(F.lit(low), F.lit(high), (lon - ends[-1]) / gap) if gap > 0 else F.col("_x")
         placed = placed.withColumn("_x", F.when(lon > ends[-1], over).otherwise(F.col("_x")))
+    return placed
+
+
+def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
+    """One row per query and surrounding (time, lat, lon) corner with its weight: up to eight, fewer on an edge."""
+    placed = _placed(queries, axes, t_sec, wrap_lon)
 
     def corner(picks: tuple[int, int, int]) -> Column:
         """One corner; the upper end of a bracket counts only where it differs from the lower."""
@@ -277,29 +299,96 @@ def corner_weights(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_
     )
 
 
-def interpolated_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
-    """Bilinear in place and linear in time for all levels at once: queries with wide level columns.
+CORNERS = 8
+
 
-    A value with a missing corner becomes NaN, also where that corner's weight is zero; equal queries each keep their row.
+def halo_tiles(grid: DataFrame, axes: GridAxes) -> DataFrame:
+    """One row per cell with its 2 x 2 x 2 neighbours in it, so that an interpolation meets one row: worth writing once.
+
+    ``levels`` is an array over the levels, each with an array of eight values per variable, in the order of the corner's bits
+    (time, latitude, longitude; 0 for the cell itself, 1 for the next index). A column of air stands in the tiles of up to eight
+    cells. East of the last longitude the first one follows; whether that corner counts is up to the query.
     """
-    corners = corner_weights(queries, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    joined = _match_cells(corners, grid_profiles(grid, axes), axes, how="left")
-    names = [f"{n}_{level}" for level in axes.levels for n in [*VALUES, "z_m2s2"]]
-    # Equal queries meet in one group: it has so many times the corners of one of them.
-    copies = F.count(F.lit(1)) / F.first("corners")
-    sums = [(F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))) / copies).alias(n) for n in names]
-    keep = [*queries.columns, "time_frac", "time_lo", "time_hi"]
-    merged = joined.groupBy(*keep).agg(*sums, copies.cast("int").alias("_copies"))
-    return merged.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
-
-
-def level_rows(wide: DataFrame, axes: GridAxes, keep: list[str]) -> DataFrame:
-    """One row per level from wide columns."""
-    entries = [
-        F.struct(F.lit(level).alias("level_i"), F.lit(hpa).alias("level_hpa"), *[F.col(f"{n}_{level}").alias(n) for n in [*VALUES, "z_m2s2"]])
-        for level, hpa in axes.levels.items()
-    ]
-    return wide.select(*keep, F.explode(F.array(*entries)).alias("_l")).select(*keep, "_l.*")
+    cell, wide = cell_keys(grid), grid_profiles(grid, axes)
+    names = [*VALUES, "z_m2s2"]
+    column = F.array(*[F.struct(*[F.col(f"{n}_{level}").alias(n) for n in names]) for level in axes.levels])
+    last = len(axes.lon.values) - 1
+
+    def seat(t: int, y: int, x: int) -> Column:
+        east = F.when((F.col("lon_i") == 0) & F.lit(last > 0), F.lit(last)).otherwise(F.col("lon_i") - 1) if x else F.col("lon_i")
+        own = F.struct((F.col("time_i") - t).alias("time_i"), (F.col("lat_i") - y).alias("lat_i"), east.cast("int").alias("lon_i"), F.lit(4 * t + 2 * y + x).alias("corner"))
+        return F.when((own["time_i"] >= 0) & (own["lat_i"] >= 0) & (own["lon_i"] >= 0), own)
+
+    seats = F.array_compact(F.array(*[seat(t, y, x) for t in (0, 1) for y in (0, 1) for x in (0, 1)]))
+    rest = [k for k in cell if k not in CELL]
+    seated = wide.select(*rest, column.alias("_column"), F.explode(seats).alias("_s")).select(*rest, "_s.*", "_column")
+    met = seated.groupBy(*cell).agg(*[F.max(F.when(F.col("corner") == i, F.col("_column"))).alias(f"_{i}") for i in range(CORNERS)])
+
+    def level(i: int, number: int, hpa: float) -> Column:
+        values = [F.array(*[F.get(F.col(f"_{k}"), F.lit(i))[n] for k in range(CORNERS)]).alias(n) for n in names]
+        return F.struct(F.lit(number).alias("level_i"), F.lit(float(hpa)).alias("level_hpa"), *values)
+
+    return met.select(*cell, F.array(*[level(i, number, hpa) for i, (number, hpa) in enumerate(axes.levels.items())]).alias("levels"))
+
+
+def corner_cells(queries: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
+    """Queries with the cell whose tile they need and ``_w``, the weights of its eight corners: null where a corner does not count."""
+    placed = _placed(queries, axes, t_sec, wrap_lon)
+    ends = {}
+    for name, index in zip(("_t", "_y", "_x"), CELL):
+        b = F.col(name)
+        one, seam = b["lo"] == b["hi"], F.abs(b["lo"] - b["hi"]) > 1
+        first = F.when(seam, F.greatest(b["lo"], b["hi"])).otherwise(F.least(b["lo"], b["hi"]))
+        # The bracket's upper end is the tile's far corner on an ascending axis and its near one on a descending one.
+        far = F.when(b["hi"] == first, 1.0 - b["frac"]).otherwise(b["frac"])
+        ends[index] = (first, F.when(one, 1.0).otherwise(1.0 - far), F.when(~one, far))
+    placed = placed.withColumns({i: e[0] for i, e in ends.items()} | {f"_near_{i}": e[1] for i, e in ends.items()} | {f"_far_{i}": e[2] for i, e in ends.items()})
+
+    def weight(bits: tuple[int, int, int]) -> Column:
+        t, y, x = [F.col(f"_far_{i}" if bit else f"_near_{i}") for bit, i in zip(bits, CELL)]
+        return t * y * x
+
+    weights = F.array(*[weight((t, y, x)) for t in (0, 1) for y in (0, 1) for x in (0, 1)])
+    out = placed.withColumn("_w", weights).withColumns({"time_frac": F.col("_t.frac"), "time_lo": F.col("_t.lo"), "time_hi": F.col("_t.hi")})
+    return out.drop("_t", "_y", "_x", *[f"_{end}_{i}" for end in ("near", "far") for i in CELL])
+
+
+def interpolated_profiles(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False, tiles: DataFrame | None = None) -> DataFrame:
+    """Bilinear in place and linear in time for all levels at once: every query with ``levels``, an array of structs by level.
+
+    One equi-join with the halo tiles, arithmetic over arrays in the row, no aggregate: a query travels once. A value with a
+    missing corner is NaN, also where that corner's weight is zero. ``levels`` is null where the grid has no cell there.
+    """
+    tiles = halo_tiles(grid, axes) if tiles is None else tiles
+    names = [*VALUES, "z_m2s2"]
+    met = _match_cells(corner_cells(queries, axes, t_sec=t_sec, wrap_lon=wrap_lon), tiles, axes, CORNERS * len(axes.levels), how="left")
+
+    def blend(values: Column) -> Column:
+        terms = F.zip_with(F.col("_w"), values, lambda w, x: F.when(w.isNull(), 0.0).otherwise(w * F.coalesce(x, F.lit(float("nan")))))
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+    each = F.transform("levels", lambda v: F.struct(v["level_i"].alias("level_i"), v["level_hpa"].alias("level_hpa"), *[blend(v[n]).alias(n) for n in names]))
+    return met.select(*queries.columns, "time_frac", "time_lo", "time_hi", each.alias("levels"))
+
+
+def interpolated_columns(queries: DataFrame, grid: DataFrame, axes: GridAxes, *, t_sec="t_query", wrap_lon: bool = False) -> DataFrame:
+    """``interpolated_profiles`` with a column per level and variable, named like ``t_k_3``; NaN where there is no cell."""
+    met = interpolated_profiles(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon)
+    values = [F.coalesce(F.get("levels", F.lit(i))[n], F.lit(float("nan"))).alias(f"{n}_{level}") for i, level in enumerate(axes.levels) for n in [*VALUES, "z_m2s2"]]
+    return met.select(*queries.columns, "time_frac", "time_lo", "time_hi", *values)
+
+
+def level_rows(profiles: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per level of ``interpolated_profiles``."""
+    return profiles.select(*keep, F.inline("levels"))
+
+
+def usable_levels(levels: Column) -> Column:
+    """The levels whose values are all numbers, in height order; of equal heights the first level counts."""
+    entry = lambda v: F.struct((v["z_m2s2"] / G0).alias("z"), v["level_i"].alias("level_i"), *[v[n].alias(n) for n in VALUES], (v["level_hpa"] * 100.0).alias("p"))
+    number = lambda v, n: v[n].isNotNull() & ~F.isnan(v[n]) & (F.abs(v[n]) < float("inf"))
+    whole = lambda v: number(v, "t_k") & number(v, "u_mps") & number(v, "v_mps") & number(v, "z_m2s2")
+    return F.array_sort(F.transform(F.filter(levels, whole), entry))
 
 
 def at_height(df: DataFrame, height: str, pressure: str = "log") -> DataFrame:
@@ -316,33 +405,17 @@ def at_height(df: DataFrame, height: str, pressure: str = "log") -> DataFrame:
     return between(df, "clipped_m", pressure).drop("_below", "_size")
 
 
-def wide_at_height(wide: DataFrame, axes: GridAxes, height: str, keep: list[str], pressure: str = "log") -> DataFrame:
-    """As ``at_height`` from wide level columns: the entries around the height are found by comparing the levels, unsorted."""
-    h = F.col(height)
-    entries = {f"_e{level}": _entry(level, hpa) for level, hpa in axes.levels.items()}
-    staged = wide.select(*keep, *[e.alias(n) for n, e in entries.items()])
-
-    def pick(best, keeps, last_level: bool) -> Column:
-        """Best entry by height; of equal heights the first level, so its index counts downwards where the most is wanted."""
-        sign = -1 if last_level else 1
-        keyed = [F.when(keeps(F.col(n)), F.struct(F.col(n)["z"], F.col(n)["level_i"] * sign, F.col(n).alias("e"))) for n in entries]
-        return (best(*keyed) if len(keyed) > 1 else keyed[0])["e"]
-
-    there = Column.isNotNull
-    staged = staged.withColumns(
-        {
-            "_lo": F.coalesce(pick(F.greatest, lambda e: e["z"] <= h, True), pick(F.least, there, False)),
-            "_hi": F.coalesce(pick(F.least, lambda e: e["z"] >= h, False), pick(F.greatest, there, True)),
-        }
-    )
-    staged = staged.drop(*entries).withColumn("clipped_m", F.greatest(F.col("_lo.z"), F.least(F.col("_hi.z"), h)))
-    return between(staged.where("_lo is not null"), "clipped_m", pressure)
-
+def exact_lookup(queries: DataFrame, grid: DataFrame, axes: GridAxes, height: str, *, t_sec="t_query", wrap_lon=False, pressure="log", tiles: DataFrame | None = None):
+    """Values at any place, time and height: bilinear, linear in time and height, pressure by its logarithm.
 
-def exact_lookup(queries: DataFrame, grid: DataFrame, axes: GridAxes, height: str, *, t_sec="t_query", wrap_lon=False, pressure="log"):
-    """Values at any place, time and height: bilinear, linear in time and height, pressure by its logarithm."""
-    wide = interpolated_columns(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon)
-    return wide_at_height(wide, axes, height, [*queries.columns, "time_frac", "time_lo", "time_hi"], pressure)
+    Every query has its row. Where the grid cannot answer, the values are null and ``reason`` says why; else it is null.
+    """
+    met = interpolated_profiles(queries, grid, axes, t_sec=t_sec, wrap_lon=wrap_lon, tiles=tiles)
+    sorted_levels = met.withColumn("_all", usable_levels(F.col("levels")))
+    new = F.filter("_all", lambda e, i: (i == 0) | (e["z"] > F.get(F.col("_all"), i - 1)["z"]))
+    staged = sorted_levels.withColumn("profile", F.when(F.size("_all") > 0, new))
+    reason = F.when(F.col("levels").isNull(), NO_CELL).when(F.col("profile").isNull(), NO_LEVEL)
+    return at_height(staged.withColumn("reason", reason).drop("levels", "_all"), height, pressure).drop("profile")
 
 
 def between(df: DataFrame, at: str, pressure: str) -> DataFrame:

@@ -71,7 +71,7 @@ def band_temperature(spark, d):
 @query("join1_nearest_column", f"""with {AXES}, {NEAR} select obs_id, level_i, time_i, lat_i, lon_i, {r("t_k")} as t_k, {r("z", 4)} as z_m from lv""")
 def nearest_column(spark, d):
     g = v.grid(spark, d)
-    out = lk.nearest_columns(queries_at(spark, d), g, lk.grid_axes(g))
+    out = lk.nearest_columns(queries_at(spark, d), g, lk.grid_axes(g)).where("reason is null")
     return out.select("obs_id", "level_i", "time_i", "lat_i", "lon_i", rounded("t_k").alias("t_k"), rounded(F.col("z_m2s2") / s.G0, 4).alias("z_m"))
 
 
@@ -114,7 +114,7 @@ LEVEL_SQL = f"obs_id, level_i, {r('t_k')} as t_k, {r('u_mps')} as u_mps, {r('v_m
 
 
 def level_values(queries, grid, axes, *keep):
-    rows = lk.level_rows(lk.interpolated_columns(queries, grid, axes), axes, ["obs_id", *keep])
+    rows = lk.level_rows(lk.interpolated_profiles(queries, grid, axes), ["obs_id", *keep])
     return rows.select("obs_id", "level_i", *[rounded(n).alias(n) for n in lk.VALUES], rounded(F.col("z_m2s2") / s.G0, 4).alias("z_m"), *keep)
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -136,3 +138,54 @@ def test_table_lookup_by_plane(spark):
     assert made(cells) == {1: 10.75, 2: 20.75}
     got = made(cells[:-1])
     assert got[1] == 10.75 and math.isnan(got[2])
+
+
+def test_tiles_meet_every_corner(spark):
+    """Against eight corner rows and their weights, for axes up and down, with the seam closed and open, and gaps."""
+    rng = random.Random(5)
+    for lons in ([0.0, 90.0, 180.0, 270.0], [270.0, 180.0, 90.0, 0.0], [10.0, 20.0]):
+        values = {(t, la, lo): rng.uniform(200.0, 300.0) for t in (0, 1) for la in (0, 1) for lo in range(len(lons))}
+        grid = grid_of(spark, values, lons).where("not (time_i = 1 and lat_i = 0 and lon_i = 1)")
+        axes = lk.grid_axes(grid)
+        q = asked(spark, *[(i, rng.uniform(-5, 15), rng.uniform(0, 360), rng.uniform(0, 4000), 0.0) for i in range(60)])
+        for wrap in (False, True):
+            corners = lk.corner_weights(q, axes, wrap_lon=wrap).join(grid.where("level_i = 1").select(*lk.CELL, "t_k"), lk.CELL, "left")
+            want = {r["q"]: r["x"] for r in corners.groupBy("q").agg(F.sum(F.col("w") * F.coalesce("t_k", F.lit(float("nan")))).alias("x")).collect()}
+            got = {r["q"]: r["levels"][0]["t_k"] for r in lk.interpolated_profiles(q, grid, axes, wrap_lon=wrap).collect()}
+            assert want.keys() == got.keys()
+            assert all(math.isnan(got[k]) if math.isnan(x) else math.isclose(got[k], x, abs_tol=1e-9) for k, x in want.items())
+
+
+def test_unmet_requests_say_why(spark):
+    grid = grid_of(spark, CUBE | {(0, 0, 2): None, (1, 0, 2): None, (0, 1, 2): None, (1, 1, 2): None}, [0.0, 72.0, 144.0])
+    axes = lk.grid_axes(grid)
+    two_days = grid.withColumn("day", F.lit("d1"))
+    q = asked(spark, (1, 5.0, 36.0, 0.0, 100.0), (2, 5.0, 144.0, 0.0, 100.0)).withColumn("day", F.lit("d1"))
+    q = q.union(asked(spark, (3, 5.0, 36.0, 0.0, 100.0)).withColumn("day", F.lit("d9")))
+    want = {1: None, 2: lk.NO_LEVEL, 3: lk.NO_CELL}
+    exact = lk.exact_lookup(q, two_days, axes, "h").collect()
+    assert {r["q"]: r["reason"] for r in exact} == want and {r["q"]: r["t_k"] is None for r in exact} == {1: False, 2: True, 3: True}
+    near = lk.at_height(lk.nearest_profiles(q, two_days, axes), "h").collect()
+    assert {r["q"]: r["reason"] for r in near} == want and {r["q"]: r["t_k"] is None for r in near} == {1: False, 2: True, 3: True}
+    steps = lk.resampled_profiles(q, two_days, axes, [0.0, 500.0]).collect()
+    assert Counter((r["q"], r["reason"]) for r in steps) == {(1, None): 2, (2, lk.NO_LEVEL): 1, (3, lk.NO_CELL): 1}
+    levels = lk.nearest_columns(q, two_days, axes).collect()
+    assert {r["q"]: r["reason"] for r in levels} == {1: None, 2: None, 3: lk.NO_CELL}
+
+
+def test_exact_lookup_joins_once_and_aggregates_no_query(spark):
+    """The queries travel in one narrow join; the only aggregates are those that build columns of air and tiles."""
+    grid = grid_of(spark, CUBE, [0.0, 72.0])
+    q = asked(spark, (1, 5.0, 36.0, 1800.0, 500.0))
+    tiles = lk.halo_tiles(grid, lk.grid_axes(grid)).cache()
+    plan = lk.exact_lookup(q, grid, lk.grid_axes(grid), "h", tiles=tiles)._jdf.queryExecution().optimizedPlan().toString()
+    before_tiles = plan.split("InMemoryRelation")[0]
+    assert before_tiles.count("Join") == 1 and "Aggregate" not in before_tiles
+
+
+def test_two_values_are_noticed_beside_an_absent_level(spark):
+    grid = grid_of(spark, CUBE, [0.0, 72.0])
+    twice = grid.where("level_i = 1").union(grid.where("level_i = 1"))
+    axes = lk.grid_axes(grid)
+    with pytest.raises(Exception, match="several values for one grid cell"):
+        lk.exact_lookup(asked(spark, (1, 5.0, 36.0, 1800.0, 500.0)), twice, axes, "h").collect()
