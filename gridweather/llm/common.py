@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridweather import session
@@ -21,6 +24,36 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(operator: str, make):
+    """What an operator keeps in a Python worker from one batch or task to the next, made anew where it is not there.
+
+    Workers are used again by later stages, so the state of any other operator is let go first: a worker never holds two.
+    """
+    if operator not in _held:
+        nothing_held()
+        _held[operator] = make()
+    return _held[operator]
+
+
+def nothing_held() -> None:
+    """Let go of what other operators have left in this worker, back to the system; for operators that keep nothing themselves."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,6 +20,8 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather.llm.common import written
+
 # Names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
@@ -174,9 +176,11 @@ def labelled_counts(page: str) -> Counter:
 
 
 def fit(pages: DataFrame, labelled_pages: int = 2_000) -> Weights:
-    """Log-odds from at most ``labelled_pages`` pages that name their article, the first by id; the defaults if there are none."""
+    """Log-odds from the pages of at most ``labelled_pages`` ids that name their article, the first by id; the defaults if there are none."""
     labelled = pages.select(F.col("page_id").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    bounded = labelled.orderBy("page_id").limit(labelled_pages)
+    # The ids alone are sorted out in one task, at most so many of each; the pages themselves are read where they lie.
+    chosen = written(pages.sparkSession, labelled.select("page_id").distinct().orderBy("page_id").limit(labelled_pages), "labelled-pages")
+    bounded = labelled.join(F.broadcast(chosen), labelled["page_id"].eqNullSafe(chosen["page_id"]), "left_semi")
 
     def count(batches):
         total: Counter = Counter()
@@ -188,7 +192,7 @@ def fit(pages: DataFrame, labelled_pages: int = 2_000) -> Weights:
             {"feature": pa.array([k[0] for k in keys], pa.string()), "inside": pa.array([k[1] for k in keys], pa.bool_()), "n": pa.array([total[k] for k in keys], pa.int64())}
         )
 
-    counted = bounded.repartition(16).mapInArrow(count, "feature string, inside boolean, n bigint")
+    counted = bounded.mapInArrow(count, "feature string, inside boolean, n bigint")
     # One row per name of HTML at most comes back.
     rows = counted.groupBy("feature").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("o")).collect()
     if not rows:

@@ -23,12 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows, written
+from gridweather.llm.common import doc_rows, nothing_held, written
 
 # Multipliers of the mixing steps; any odd numbers with well spread bits do.
 SPREAD, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0x85EBCA6B, 0xC2B2AE35
-#: Word codes a worker keeps before it starts afresh; bounds memory, changes no result.
-KEEP = 300_000
+#: Word codes a task keeps before it starts afresh; bounds memory, changes no result.
+KEEP = 200_000
 #: Shingles handled at once, so that the working arrays stay in the processor's cache.
 CHUNK = 1 << 15
 #: Sets in a block, and shingles that a comparison of two blocks lays out at once.
@@ -49,28 +49,25 @@ class Similarity:
     rows: int = 6
 
 
-_codes: dict[bytes, int] = {}
-
-
-def word_codes(words: list[bytes]) -> np.ndarray:
+def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     out = np.empty(len(words), np.uint64)
-    get = _codes.get
+    get = known.get
     for i, w in enumerate(words):
         code = get(w)
         if code is None:
-            if len(_codes) >= KEEP:
-                _codes.clear()
-            code = _codes[w] = xxhash.xxh64_intdigest(w)
+            if len(known) >= KEEP:
+                known.clear()
+            code = known[w] = xxhash.xxh64_intdigest(w)
         out[i] = code
     return out
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct 64-bit codes of the shingles; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII blanks split
     if not words:
         return np.empty(0, np.uint64)
-    codes = word_codes(words)
+    codes = word_codes(words, known)
     size = min(size, len(words))
     mixed = np.full(len(words) - size + 1, size, np.uint64)
     for j in range(size):
@@ -109,8 +106,10 @@ def signatures(rows: DataFrame, how: Similarity) -> DataFrame:
     """doc_id, n, digest (null without shingles), bands."""
 
     def work(batches):
+        nothing_held()
+        known: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingles(t.as_py(), how.shingle) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), how.shingle, known) for t in batch.column("text")]
             bands: list[list[int] | None] = [None] * len(sets)
             group: list[int] = []
             size = 0
@@ -135,11 +134,13 @@ def full_sets(rows: DataFrame, how: Similarity) -> DataFrame:
     """doc_id, n, shingles."""
 
     def work(batches):
+        nothing_held()
+        known: dict[bytes, int] = {}
         for batch in batches:
             # Long texts make long sets: hand them on in small parts.
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t.as_py(), how.shingle).view(np.int64) for t in part.column("text")]
+                sets = [shingles(t.as_py(), how.shingle, known).view(np.int64) for t in part.column("text")]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "n", "shingles"])

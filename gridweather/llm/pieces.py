@@ -25,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows
+from gridweather.llm.common import doc_rows, held
 
 # Fixed values of the format.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Solved stretches and pairs a worker keeps before it starts afresh; bounds memory, changes no result.
-KEEP = 500_000
+KEEP = 100_000
 NEVER = float("inf")
 SCHEMA = "struct<ids:array<int>,n_bytes:bigint,exact:boolean>"
 
@@ -291,13 +291,12 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_loaded: dict[str, Transducer] = {}
-
-
 def compiled(path: str) -> Transducer:
-    if path not in _loaded:
-        _loaded[path] = Transducer(path)
-    return _loaded[path]
+    loaded = held("pieces", dict)
+    if path not in loaded:
+        loaded.clear()
+        loaded[path] = Transducer(path)
+    return loaded[path]
 
 
 def encoded(text: Column, path: str | None = None) -> Column:

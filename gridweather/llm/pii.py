@@ -13,19 +13,21 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows, written
+from gridweather.llm.common import doc_rows, free_name, nothing_held, written
 
-# Kinds and patterns of the base rules, in the order in which spans are listed.
+# Kinds and character sets of the base rules, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -60,16 +62,50 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses: each '@' with what stands before it, back to the address before, and a domain behind.
+
+    A pattern that begins with the local part would try every place of a long run; this looks at each character a few times.
+    """
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        name = text[last:at]
+        start = last + len(name.rstrip(LOCAL))
+        # The next search never reaches back over this sign, which no local part holds.
+        last = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            last = m.end()
+        at = text.find("@", last)
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Runs of four numbers joined by dots: in a longer chain one after the other, as a search from the left takes them."""
+    out = []
+    for m in CHAIN.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        at, parts = m.start(), m[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            # A part's value is tested on its digits: leading zeros are allowed, very long parts fail.
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append((at, at + size))
+            at += size + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind that pass its test, by kind as listed, then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", a, b) for a, b in emails(text)]
     if not DIGIT.search(text):
         return out
     if "." in text:
-        # A part's value is tested on its digits: leading zeros are allowed, very long parts fail.
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [("ip", a, b) for a, b in addresses(text)]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -143,14 +179,28 @@ CODED_KINDS = [("name", pa.string()), ("around", pa.int64())]
 SPOT_KINDS = [("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]
 
 
+#: Rows whose spans and words are Python objects at one time; what is handed on are Arrow's flat arrays.
+ROWS = 128
+
+
+def in_portions(batch: pa.Array, make: Callable[[list[str]], pa.Array], *more: pa.Array) -> pa.Array:
+    """``make`` over a batch of texts, a few rows at a time, so that the objects of a few rows exist together."""
+    nothing_held()
+    parts = [make([t.as_py() for t in batch[at : at + ROWS]], *[m[at : at + ROWS] for m in more]) for at in range(0, max(1, len(batch)), ROWS)]
+    return pa.concat_arrays(parts)
+
+
 def found(text: Column, near: int) -> Column:
     """Struct of the base spans, their digest, the words near them, and each entity with a code of its surroundings."""
 
     @F.arrow_udf(f"struct<base:{SPAN},base_sha256:string,near:{NEAR},entities:{CODED}>")
     def of(texts: pa.Array) -> pa.Array:
+        return in_portions(texts, portion)
+
+    def portion(texts: list[str | None]) -> pa.Array:
         spans, words, entities = [], [], []
         for value in texts:
-            t = value.as_py() or ""
+            t = value or ""
             spans.append(base_spans(t))
             words.append(list(dict.fromkeys(x[:3] for x in surroundings(t, spans[-1], near))) if spans[-1] else [])
             codes: dict[str, int] = {}
@@ -170,9 +220,12 @@ def coded_words(text: Column, near: int) -> Column:
 
     @F.arrow_udf(CODED)
     def of(texts: pa.Array) -> pa.Array:
+        return in_portions(texts, portion)
+
+    def portion(texts: list[str | None]) -> pa.Array:
         out = []
         for value in texts:
-            t = value.as_py() or ""
+            t = value or ""
             codes: dict[str, int] = {}
             for word, start, end in words_outside(t, [(a, b) for _, a, b in base_spans(t)]):
                 code = around(t, start, end, near)
@@ -188,7 +241,10 @@ def words_of(text: Column, only: frozenset[str] | None) -> Column:
 
     @F.arrow_udf("array<string>")
     def of(texts: pa.Array) -> pa.Array:
-        rows = [{m.lower() for m in WORD.findall(t.as_py() or "")} for t in texts]
+        return in_portions(texts, portion)
+
+    def portion(texts: list[str | None]) -> pa.Array:
+        rows = [{m.lower() for m in WORD.findall(t or "")} for t in texts]
         return pa.array([sorted(r if only is None else r & only) for r in rows], pa.list_(pa.string()))
 
     return of(text)
@@ -223,8 +279,13 @@ def revealing(rows: DataFrame, table: DataFrame, how: Disclosure) -> DataFrame:
     coded = written(spark, coded.select("doc_id", F.col("w.name").alias("term"), F.col("w.around").alias("t_around")).groupBy("doc_id", "term").agg(F.min("t_around").alias("t_around")), "pii-words")
     terms = coded.select("term").distinct()
     only = _sent(terms)
-    tokens = rows.select("doc_id", F.explode(words_of(F.col("text"), only)).alias("term"))
-    counted = (tokens if only is not None else tokens.join(terms, "term", "left_semi")).distinct().groupBy("term").agg(F.count(one).alias("n_term"))
+    # Words of one text are different ones, so documents are counted as they come, in partial counts. Only ids that stand on several
+    # rows, and rows without one, need their words to be told apart by id.
+    again = written(spark, rows.groupBy("doc_id").agg(F.count(one).alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again")), "pii-again")
+    own = F.when(F.col("again") | F.col("doc_id").isNull(), F.struct("doc_id")).alias("own")
+    tokens = rows.join(again, "doc_id", "left").select(own, F.explode(words_of(F.col("text"), only)).alias("term"))
+    counted = tokens.groupBy("term", "own").agg(F.count(one).alias("n"))
+    counted = counted.groupBy("term").agg(F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
     # A word in more documents than an entity's share allows cannot reveal it.
     words = coded.join(counted, "term").join(docs, "doc_id").where(F.col("n_term") * how.share <= F.col("n_most"))
     words = words.select("doc_id", "term", "t_around", "n_term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -238,76 +299,93 @@ def revealing(rows: DataFrame, table: DataFrame, how: Disclosure) -> DataFrame:
     return scored.where((F.col("share") >= how.share) & (F.col("bits") >= how.bits))
 
 
-def spots(text: Column, hits: Column | None, sent: dict[str, bool]) -> Column:
-    """Every place of disclosing words outside the entities, with whether it is removed; the words are ``hits`` or else ``sent``."""
+def places(text: str | None, terms: dict[str, bool]) -> list[tuple[int, int, bool]]:
+    """Every place of disclosing words outside the entities, with whether it is removed."""
+    if not text or not terms or not any(w.lower() in terms for w in WORD.findall(text)):
+        return []
+    return [(a, b, terms[w]) for w, a, b in words_outside(text, [(a, b) for _, a, b in base_spans(text)]) if w in terms]
 
-    def places(t: str | None, terms: dict[str, bool]) -> list[tuple[int, int, bool]]:
-        if not t or not terms or not any(w.lower() in terms for w in WORD.findall(t)):
-            return []
-        return [(a, b, terms[w]) for w, a, b in words_outside(t, [(a, b) for _, a, b in base_spans(t)]) if w in terms]
 
+def spots(text: Column, hits: Column | None, sent: dict[str, bool]) -> Column:
+    """``places`` of each row; the words are ``hits`` or else ``sent``."""
     if hits is None:
 
         @F.arrow_udf(SPOTS)
         def of(texts: pa.Array) -> pa.Array:
-            return _structs([places(t.as_py(), sent) for t in texts], SPOT_KINDS)
+            return in_portions(texts, lambda part: _structs([places(t, sent) for t in part], SPOT_KINDS))
 
         return of(text)
 
     @F.arrow_udf(SPOTS)
     def each(texts: pa.Array, words: pa.Array) -> pa.Array:
-        return _structs([places(t.as_py(), {w["term"]: w["remove"] for w in ws.as_py() or []}) for t, ws in zip(texts, words)], SPOT_KINDS)
+        listed = lambda ws: {w["term"]: w["remove"] for w in ws.as_py() or []}
+        return in_portions(texts, lambda part, own: _structs([places(t, listed(ws)) for t, ws in zip(part, own)], SPOT_KINDS), words)
 
     return each(text, hits)
 
 
-def with_terms(docs: DataFrame, how: Disclosure) -> DataFrame:
-    """``docs`` with ``_found`` (what ``found`` says) and ``_terms``: all spots of the disclosing words in each row's own text."""
-    spark = docs.sparkSession
-    rows = doc_rows(docs)
-    out = docs.withColumn("_found", found(docs["text"].cast("string"), how.near))
+def disclosing(docs: DataFrame, how: Disclosure) -> dict[str, bool] | DataFrame:
+    """The disclosing words of a corpus and whether each is removed: as a dictionary, or as a table where they are many."""
+    spark, rows = docs.sparkSession, doc_rows(docs)
     table = written(spark, rows.select("doc_id", found(F.col("text"), how.near).alias("f")).select("doc_id", "f.near", "f.entities").where(F.size("entities") > 0), "pii-found")
     if table.isEmpty():
-        return out.withColumn("_terms", F.array().cast(SPOTS))
+        return {}
     terms = revealing(rows, table, how).groupBy("term").agg((F.max("share") >= how.remove).alias("remove"))
     terms = written(spark, terms, "pii-terms")
-    text = out["text"].cast("string")
-    if terms.count() <= BROADCAST_TERMS:
-        return out.withColumn("_terms", spots(text, None, {r["term"]: r["remove"] for r in terms.collect()}))
+    return {r["term"]: r["remove"] for r in terms.collect()} if terms.count() <= BROADCAST_TERMS else terms
+
+
+def marked(docs: DataFrame, terms: dict[str, bool] | DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: the places of the disclosing words in each row's own text."""
+    text = docs["text"].cast("string")
+    if isinstance(terms, dict):
+        return docs.withColumn(name, spots(text, None, terms) if terms else F.array().cast(SPOTS))
     # By the text's own code, which rows without an id have too; texts that share a code just share their words.
-    hits = rows.select(F.xxhash64("text").alias("_code"), F.explode(words_of(F.col("text"), None)).alias("term")).distinct().join(terms, "term")
-    hits = hits.groupBy("_code").agg(F.collect_list(F.struct("term", "remove")).alias("_hits"))
-    out = out.withColumn("_text_code", F.xxhash64(text)).join(hits.withColumnRenamed("_code", "_text_code"), "_text_code", "left")
-    return out.withColumn("_terms", spots(F.col("text").cast("string"), F.col("_hits"), {}))
+    coded, held = free_name(docs, "_text_code"), free_name(docs, "_hits")
+    hits = doc_rows(docs).select(F.xxhash64("text").alias(coded), F.explode(words_of(F.col("text"), None)).alias("term")).distinct().join(terms, "term")
+    hits = hits.groupBy(coded).agg(F.collect_list(F.struct("term", "remove")).alias(held))
+    met = docs.withColumn(coded, F.xxhash64(text)).join(hits, coded, "left")
+    return met.withColumn(name, spots(F.col("text").cast("string"), F.col(held), {})).drop(coded, held)
 
 
 def personal(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, base (spans), base_sha256, terms (spans with ``remove``) for every row of ``docs``."""
-    return with_terms(doc_rows(docs), how).select("doc_id", "_found.base", "_found.base_sha256", F.col("_terms").alias("terms"))
+    rows = doc_rows(docs)
+    out = marked(rows.withColumn("found", found(F.col("text"), how.near)), disclosing(rows, how), "terms")
+    return out.select("doc_id", "found.base", "found.base_sha256", "terms")
+
+
+def _cleaned(text: str | None, base: list[tuple[str, int, int]], terms: list[tuple[int, int, bool]]) -> str | None:
+    spans = [(a, b, f"[{kind.upper()}]") for kind, a, b in base] + [(a, b, "" if remove else "[TERM]") for a, b, remove in terms]
+    if text is None or not spans:
+        return text
+    parts, at, last = [], 0, 0
+    for start, end, mark in sorted(spans):
+        if start >= last:
+            parts += [text[at:start], mark]
+        last = at = max(last, end)
+    return "".join(parts) + text[at:]
+
 
+def cleaned(text: Column, terms: dict[str, bool] | Column) -> Column:
+    """Text with entities and generalised words as placeholders and removed words gone; overlapping spans become one.
 
-def cleaned(text: Column, base: Column, terms: Column) -> Column:
-    """Text with entities and generalised words as placeholders and removed words gone; overlapping spans become one."""
+    With the words at hand all is done in one call, so that a task needs one Python worker; else ``terms`` are their places.
+    """
+    if isinstance(terms, dict):
+
+        @F.arrow_udf("string")
+        def of(texts: pa.Array) -> pa.Array:
+            return in_portions(texts, lambda part: pa.array([_cleaned(t, base_spans(t or ""), places(t, terms)) for t in part], pa.string()))
+
+        return of(text)
 
     @F.arrow_udf("string")
-    def of(texts: pa.Array, bases: pa.Array, words: pa.Array) -> pa.Array:
-        out = []
-        for t, b, w in zip(texts, bases, words):
-            t = t.as_py()
-            spans = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in b.as_py() or []]
-            spans += [(s["start"], s["end"], "" if s["remove"] else "[TERM]") for s in w.as_py() or []]
-            if t is None or not spans:
-                out.append(t)
-                continue
-            parts, at, last = [], 0, 0
-            for start, end, mark in sorted(spans):
-                if start >= last:
-                    parts += [t[at:start], mark]
-                last = at = max(last, end)
-            out.append("".join(parts) + t[at:])
-        return pa.array(out, pa.string())
-
-    return of(text, base, terms)
+    def each(texts: pa.Array, words: pa.Array) -> pa.Array:
+        listed = lambda ws: [(w["start"], w["end"], w["remove"]) for w in ws.as_py() or []]
+        return in_portions(texts, lambda part, own: pa.array([_cleaned(t, base_spans(t or ""), listed(ws)) for t, ws in zip(part, own)], pa.string()), words)
+
+    return each(text, terms)
 
 
 def sanitised(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -315,9 +393,12 @@ def sanitised(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
 
     Base spans and the places of disclosing words are worked out in each row, with or without an id.
     """
-    columns = docs.columns
-    rows = with_terms(docs, how)
-    out = rows.withColumn("text", cleaned(F.col("text").cast("string"), F.col("_found.base"), F.col("_terms")))
-    if "n_chars" in columns:
+    terms, spot = disclosing(docs, how), free_name(docs, "_terms")
+    if isinstance(terms, dict):
+        out = docs.withColumn("text", cleaned(docs["text"].cast("string"), terms))
+    else:
+        rows = marked(docs, terms, spot)
+        out = rows.withColumn("text", cleaned(F.col("text").cast("string"), F.col(spot)))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows
+from gridweather.llm.common import doc_rows, nothing_held
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,7 @@ def measures(text: Column, bands: Bands = Bands()) -> Column:
 
     @F.arrow_udf(SCHEMA)
     def of(texts: pa.Array) -> pa.Array:
+        nothing_held()
         press = zstandard.ZstdCompressor(level=bands.level)
         rows = [measured(t.as_py(), bands, press) for t in texts]
         names = [part.split(":")[0] for part in SCHEMA[7:-1].split(",")]

@@ -52,6 +52,10 @@ SEGMENT = r"[^=]+(?:=+$)?"
 PART = r"[A-Za-z0-9+]+=*"
 
 
+#: Matches that are walked together.
+PORTION = 512
+
+
 def spans(text: Column, pattern: str, keep=None) -> Column:
     """Leftmost non-overlapping matches as (start, end, match) in code points.
 
@@ -60,7 +64,8 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern), F.length)
     pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -69,8 +74,21 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
         ok = x["match"].isNotNull() if keep is None else x["match"].isNotNull() & keep(x["match"])
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(ok, F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    # An array that grows is copied at each match: so short portions are walked, and moved by the lengths of those before.
+    portions = lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / PORTION).cast("int")), lambda k: F.aggregate(F.slice(p, k * PORTION + 1, PORTION), start, step))
+
+    def moved(walked: Column) -> Column:
+        offsets = F.transform(walked, lambda x, i: F.aggregate(F.slice(walked, F.lit(1), i), F.lit(0), lambda a, y: a + y["at"]))
+        shift = lambda s, by: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"))
+        each = lambda zipped: F.transform(zipped["w"]["out"], lambda s: shift(s, zipped["o"]))
+        return F.flatten(F.transform(F.arrays_zip(walked.alias("w"), offsets.alias("o")), each))
+
+    return F.when(text.rlike(pattern), bound(bound(pairs, portions), moved)).otherwise(none)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in the result."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def base(text: Column) -> dict[str, Column]:
@@ -96,36 +114,52 @@ def codes(token: Column, kind: str) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """Upper tail of the normal distribution by a rational fit, good to seven digits."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-z * z / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+    def tail(x):
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        upper = F.exp(-x * x / 2) * 0.3989422804014327 * bound(1 / (1 + 0.2316419 * F.abs(x)), poly)
+        return bound(upper, lambda u: F.when(x >= 0, u).otherwise(1 - u))
+
+    return bound(z, tail)
 
 
 def p_random(symbols: Column, size: int) -> Column:
-    """p-value of randomness: three times the smallest of the three tests' p-values."""
-    n = F.size(symbols).cast("double")
-    total = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    # chi-squared by the cube-root normal approximation
-    counts = F.transform(F.array_distinct(symbols), lambda s: F.size(F.filter(symbols, lambda x: x == s)).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi, df = squares * size / n - n, float(size - 1)
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-    # runs above and below the middle of the alphabet
-    half = F.transform(symbols, lambda x: x >= size // 2)
-    ups = F.size(F.filter(half, lambda x: x)).cast("double")
-    downs = n - ups
-    turns = F.size(F.filter(F.arrays_zip(F.slice(half, F.lit(1), F.size(half) - 1).alias("a"), F.slice(half, F.lit(2), F.size(half) - 1).alias("b")), lambda x: x["a"] != x["b"]))
-    expected = 2 * ups * downs / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    z_runs = F.when(spread > 0, F.abs(turns + 1 - expected) / F.sqrt(spread)).otherwise(F.lit(40.0))
-    # correlation of neighbours
-    zipped = F.arrays_zip(F.slice(symbols, F.lit(1), F.size(symbols) - 1).alias("a"), F.slice(symbols, F.lit(2), F.size(symbols) - 1).alias("b"))
-    cross = F.aggregate(zipped, F.lit(0.0), lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean))
-    around = F.aggregate(symbols, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    z_serial = F.when(around > 0, F.abs(cross / around) * F.sqrt(n)).otherwise(F.lit(40.0))
-    return F.least(F.lit(1.0), 3 * F.least(normal_tail(z_chi), 2 * normal_tail(z_runs), 2 * normal_tail(z_serial)))
+    """p-value of randomness: three times the smallest of the three tests' p-values.
+
+    What a test measures is bound to a name before it is used: an expression written out at each use would grow beyond what can
+    be compiled.
+    """
+
+    def neighbours(values):
+        part = lambda at: F.slice(values, F.lit(at), F.size(values) - 1)
+        return F.arrays_zip(part(1).alias("a"), part(2).alias("b"))
+
+    def measured(s):
+        n = F.size(s).cast("double")
+        counts = F.transform(F.array_distinct(s), lambda x: F.size(F.filter(s, lambda y: y == x)).cast("double"))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+        # Above and below the middle of the alphabet.
+        ups = F.size(F.filter(s, lambda x: x >= size // 2)).cast("double")
+        turns = F.size(F.filter(neighbours(s), lambda x: (x["a"] >= size // 2) != (x["b"] >= size // 2)))
+        mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
+        return F.struct(s.alias("s"), n.alias("n"), squares.alias("squares"), ups.alias("ups"), (n - ups).alias("downs"), turns.alias("turns"), mean.alias("mean"))
+
+    def tested(m):
+        n, mean, df = m["n"], m["mean"], float(size - 1)
+        # chi-squared by the cube-root normal approximation
+        chi = m["squares"] * size / n - n
+        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+        # runs above and below
+        expected = 2 * m["ups"] * m["downs"] / n + 1
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        z_runs = bound(F.struct(expected.alias("e"), spread.alias("v")), lambda x: F.when(x["v"] > 0, F.abs(m["turns"] + 1 - x["e"]) / F.sqrt(x["v"])).otherwise(F.lit(40.0)))
+        # correlation of neighbours
+        cross = F.aggregate(neighbours(m["s"]), F.lit(0.0), lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean))
+        around = F.aggregate(m["s"], F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        z_serial = bound(around, lambda v: F.when(v > 0, F.abs(cross / v) * F.sqrt(n)).otherwise(F.lit(40.0)))
+        return F.least(F.lit(1.0), 3 * F.least(normal_tail(z_chi), 2 * normal_tail(z_runs), 2 * normal_tail(z_serial)))
+
+    return F.when(symbols.isNotNull(), bound(bound(symbols, measured), tested))
 
 
 def candidates(rows: DataFrame, how: Battery) -> DataFrame:
@@ -177,6 +211,28 @@ def secrets_by_battery(found: DataFrame, how: Battery) -> DataFrame:
     return found.join(F.broadcast(cut), ["encoding", "band"], "left").where("cut is null or step < cut").drop("cut")
 
 
+def covered(span: Column) -> Column:
+    """Whether a span lies in one of the base kinds."""
+    out = F.lit(False)
+    for kind in KINDS:
+        out = out | _within(span, F.col(kind))
+    return out
+
+
+def _within(span: Column, spans: Column) -> Column:
+    """Spans in order and apart: only the last that begins at or before another can hold it, which is found by halving."""
+
+    def half(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] <= span["start"]
+        more = acc["high"] - acc["low"] > 1
+        return F.struct(F.when(more & before, middle).otherwise(acc["low"]).alias("low"), F.when(more & ~before, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int") + 1)
+    last = F.aggregate(steps, F.struct(F.lit(-1).alias("low"), F.size(spans).alias("high")), half, lambda acc: acc["low"])
+    return F.coalesce(F.get(spans, last)["end"] >= span["end"], F.lit(False))
+
+
 def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
     """doc_id, one array of (start, end, match) per base kind, and ``random``: (start, end) of the battery's secrets."""
     rows = doc_rows(docs)
@@ -188,7 +244,6 @@ def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
     extra = extra.select("doc_id", F.explode(F.filter("s", lambda x: x["whole"] == F.col("all"))).alias("s")).select("doc_id", "s.start", "s.end")
     extra = extra.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("random"))
     out = table.join(extra, "doc_id", "left")
-    covered = lambda s: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     fresh = F.filter(F.coalesce("random", F.array().cast("array<struct<start:int,end:int>>")), lambda s: ~covered(s))
     return out.select("doc_id", "assign", "access", "hex", fresh.alias("random"))
 

@@ -2,14 +2,17 @@
 
 import hashlib
 import itertools
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gridweather.llm import filter_audit, hilbert, merkle
+from gridweather.llm import common, filter_audit, hilbert, main_text, merkle, pii, secret_scan
 from gridweather.llm.common import table
 from gridweather.llm.queries import QUERIES
 
@@ -234,3 +237,61 @@ def test_audit_of_one_text_many_times(spark):
     got = audited(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert got["en", "EABCD", 1] == ("E", 1, 2999, 0, 0, 0, 0, got["en", "EABCD", 1][-1])
     assert got["en", "BEACD", 2][1:4] == (0, 0, 2999)
+
+
+# Texts of any length, and what stays in a worker
+
+
+def test_many_secrets_in_one_text(spark):
+    """Two hundred thousand values in one text: time follows their number, and places are those of a plain search."""
+    value = hashlib.sha256(b"x").hexdigest()[:24]
+    text = "é " + f"{value} token=abcdef{'1' * 4} " * 100_000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, value)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = secret_scan.scan(docs).select("doc_id", "hex", "assign", "random").collect()
+    assert time.perf_counter() - began < 120
+    for r in got[:2]:
+        if r["doc_id"] == 1:
+            assert [(s["start"], s["end"]) for s in r["hex"]] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+            assert len(r["assign"]) == 100_000 and r["random"] == []
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6 + ".", "a" * 10**6 + "@", "a@" * 10**6, "1." * 10**6, "+1" * 10**6, "a@b.c" * 10**6, "1 " * 10**6])
+def test_long_runs_of_personal_characters(text):
+    began = time.perf_counter()
+    pii.base_spans(text)
+    assert time.perf_counter() - began < 10
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab.@-+_ 129", max_size=40))
+def test_personal_spans_are_those_of_the_patterns(text):
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    assert pii.emails(text) == [m.span() for m in re.finditer(email, text)]
+    small = lambda m: all(int(p) <= 255 for p in m[0].split("."))
+    assert pii.addresses(text) == [m.span() for m in re.finditer(ip, text) if small(m)]
+
+
+def test_own_columns_stay(spark, odd_docs):
+    docs = odd_docs.withColumns({n: F.lit(i) for i, n in enumerate(["_found", "_Terms", "_text_code", "_hits"])})
+    out = pii.sanitised(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.select("_found", "_Terms", "_text_code", "_hits").collect()} == {(0, 1, 2, 3)}
+
+
+def test_a_worker_holds_one_operator():
+    first = common.held("one", dict)
+    first["x"] = 1
+    assert common.held("one", dict) is first
+    assert common.held("two", list) == [] and common.held("one", dict) == {}
+    common.nothing_held()
+    assert not common._held
+
+
+def test_article_pages_are_chosen_by_id(spark):
+    """The first ids by order are learned from, whole; repeated pages of an id all count."""
+    page = "<html><body><nav>menu</nav><article><p>{}</p></article></body></html>"
+    rows = [(i, f"u{i}", page.format("word " * 50)) for i in range(40)] + [(100, "u", "<article><nav>" + "x " * 500 + "</nav></article>")] * 3 + [(None, "n", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    few, all_of = main_text.fit(pages, 10), main_text.fit(pages, 1000)
+    assert few != all_of and few == main_text.fit(pages.where("page_id < 10"), 1000)
