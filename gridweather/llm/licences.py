@@ -50,6 +50,10 @@ You should have received a copy of the GNU General Public License along with thi
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
+# The six kinds and the versions of one family, whose short notices and identifiers follow one rule.
+FAMILY, VERSIONS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+SHORT = ("Licensed under CC {kind} {version}.", "This work is licensed under CC {kind} {version}.", "CC {kind} {version}", "SPDX-License-Identifier: CC-{kind}-{version}")
+KNOWN += tuple((f"CC-{kind}-{version}", text.format(kind=kind, version=version)) for kind in FAMILY for version in VERSIONS for text in SHORT)
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]|©|all rights reserved).*$"
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("per cent", "percent"), ("http:", "https:"), ("&", " and "))
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gridweather.llm import common, filter_audit, hilbert, main_text, merkle, pii, secret_scan
+from gridweather.llm import common, filter_audit, hilbert, licences, main_text, merkle, pii, secret_scan
 from gridweather.llm.common import table
 from gridweather.llm.queries import QUERIES
 
@@ -295,3 +295,13 @@ def test_article_pages_are_chosen_by_id(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     few, all_of = main_text.fit(pages, 10), main_text.fit(pages, 1000)
     assert few != all_of and few == main_text.fit(pages.where("page_id < 10"), 1000)
+
+
+def test_no_licence_line_of_the_documents_is_left_out(spark):
+    """Every line of the given documents that speaks of a licence is known, counted from the documents themselves."""
+    sf_dir = "/root/testdata/sf0.01"
+    lines = [line.strip() for r in table(spark, sf_dir, "documents").collect() for line in (r["text"] or "").split("\n") if "licen" in line.lower() and len(line) < 120]
+    found = QUERIES["op10_licence_digests"](spark, sf_dir).agg(F.sum("n_lines")).first()[0]
+    assert lines and found == len(lines)
+    short = spark.createDataFrame([(1, "CC BY-SA 3.0"), (2, "licensed under cc by-nc-nd 4.0"), (3, "CC BY 7.0")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["licence"]) for r in licences.licences(short).collect()} == {(1, "CC-BY-SA-3.0"), (2, "CC-BY-NC-ND-4.0")}
