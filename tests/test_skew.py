@@ -175,3 +175,21 @@ def test_budget_draws_split_large_budgets(spark):
     b = spark.createDataFrame([(0, 25_001), (1, 0), (2, 1)], "s int, budget bigint")
     draws = sm.budget_draws(b, ["s"])
     assert {r["s"]: (r["n"], r["m"]) for r in draws.groupBy("s").agg(F.count_distinct("draw").alias("n"), F.max("draw").alias("m")).collect()} == {0: (25_001, 25_000), 2: (1, 0)}
+
+
+def test_numbered_places(spark):
+    """One key with most rows, null keys, ties in the leading order column and rows equal in all of it: places without gaps, in order."""
+    from gridweather.operators.numbered import numbered
+
+    df = spark.range(5000).selectExpr("if(id % 10 < 7, 'hot', if(id % 10 = 7, null, string(id % 40))) as k", "if(id % 3 = 0, null, 0) as a", "int(id % 900) as b", "id % 2 as c")
+    for keys in (["k"], []):
+        got = numbered(df, keys, ["a", "b"]).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r["k"] if keys else None, []).append(r)
+        for rows in groups.values():
+            rows.sort(key=lambda r: r["_at"])
+            assert [r["_at"] for r in rows] == list(range(len(rows))) and {r["_n"] for r in rows} == {len(rows)}
+            order = [(r["a"] is not None, r["b"]) for r in rows]
+            assert order == sorted(order)
+    assert numbered(df.where("false"), ["k"], ["b"]).count() == 0
