@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridweather.llm import decontaminate, language_model, licences, main_text, minhash, pieces, pii, quality, secret_scan, url_filter
@@ -476,6 +477,42 @@ def test_templates(spark):
     assert {k: r["changed"] for k, r in got.items()} == {(1, 1): False, (2, 1): True}
 
 
+def found_items(spark, items, texts):
+    """Reported pairs by the operator, and by its twin over the same rows."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(name, df.toArrow())
+    assert got == sorted(con.sql(decontaminate.sql()).fetchall())
+    return {(d, i): (n, of, run, changed) for d, i, n, of, run, changed in got}
+
+
+DENSE = "take 4 7 12 9 then 30 41 of 8 and 6 5 2 with 11 19 23 for 17 in 3"
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_short_dense_and_long_items(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    seven, three = "why do ships float on salt water", "yes or no"
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    part = " ".join(long.split()[70:130])
+    texts = [
+        f"he asked: {seven}? Nobody knew", f"one {DENSE} two", part, f"{long} end", " ".join(long.split()[10:30]), DENSE.replace("41", "43").replace("19", "18").replace("5", "6"),
+        "why do ships sink in salt water", "well, yes or no", "Yes or no?", None, "", "1 2 3 4 5 6 7 8 9 10 11 12",
+    ]
+    got = found_items(spark, [seven, DENSE, long, three, None, ""], texts)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2), (8, 3)}
+    assert got[0, 0] == (1, 1, 1, False) and got[2, 2] == (53, 193, 53, False) and got[3, 2] == (193, 193, 193, False) and got[1, 1][0] == got[1, 1][1]
+
+
+@pytest.mark.parametrize("places, want", [([], 0), ([4], 1), ([0, 1, 2, 5, 6], 3), ([1, 3, 5], 1), ([0, 4, 5, 6, 7], 4)])
+def test_longest_run(spark, places, want):
+    df = spark.createDataFrame([(places,)], "a array<int>")
+    assert df.select(decontaminate.longest_run(F.col("a"))).first()[0] == want
+
+
 def test_templates_shuffled(spark, monkeypatch):
     want = sorted(QUERIES["op9_template_windows"](spark, SF).collect())
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
