@@ -83,25 +83,43 @@ def overall_and_bands(df: DataFrame, key: str, altitude: str, error: Column) ->
 def error_profile(
     df: DataFrame, key: str, axis: str, error: Column, bins: int, low: float | None = None, high: float | None = None
 ) -> DataFrame:
-    """Mean absolute error in equal-width bins of an axis; the last bin is closed and empty bins stay with a NULL mean.
+    """``error_profiles`` of one axis."""
+    return error_profiles(df, key, {axis: (bins, low, high)}, error)
 
-    Without given ends the axis runs from its own least to its largest value.
+
+def error_profiles(df: DataFrame, key: str, axes: dict[str, tuple[int, float | None, float | None]], error: Column) -> DataFrame:
+    """Mean absolute error in equal-width bins along each axis (bins, low, high); the last bin is closed, empty ones have a NULL mean.
+
+    Without given ends an axis runs from its own least to its largest value. All axes are counted in one pass over the rows; open
+    ends take one more before.
     """
-    ends = df.agg(
-        (F.lit(low) if low is not None else F.min(axis)).alias("_low"), (F.lit(high) if high is not None else F.max(axis)).alias("_high")
+    ends = [(f"_{end}_{i}", given, f(axis)) for i, (axis, (_, *pair)) in enumerate(axes.items()) for end, given, f in zip(("low", "high"), pair, (F.min, F.max))]
+    rows, open_ends = df, [f.cast("double").alias(name) for name, given, f in ends if given is None]
+    if open_ends:
+        rows = attach(rows, df.agg(*open_ends))
+    rows = rows.withColumns({name: F.lit(float(given)) for name, given, _ in ends if given is not None})
+    places = [
+        F.struct(F.lit(axis).alias("axis"), F.lit(n).alias("bins"), F.col(axis).cast("double").alias("x"), F.col(f"_low_{i}").alias("low"), F.col(f"_high_{i}").alias("high"))
+        for i, (axis, (n, _, _)) in enumerate(axes.items())
+    ]
+    rows = rows.select(key, F.abs(error).alias("_e"), F.explode(F.array(*places)).alias("_p")).select(key, "_e", "_p.*")
+    width = (F.col("high") - F.col("low")) / F.col("bins")
+    guess = F.floor((F.col("x") - F.col("low")) / F.when(width > 0, width).otherwise(1.0))
+    # Rows outside the ends count in no bin, but their key is kept.
+    place = F.when(F.col("x").between(F.col("low"), F.col("high")), F.greatest(F.lit(0), F.least(guess, F.col("bins") - 1)).cast("int"))
+    counted = rows.groupBy("axis", key, place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("_e").alias("mean_abs_error"), *[F.first(c).alias(c) for c in ("bins", "low", "high")]
+    )
+    # At most one entry a bin comes together per axis and key.
+    entry = F.struct("bin", F.struct("count", "mean_abs_error"))
+    one = counted.groupBy("axis", key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), entry))).alias("_m"), *[F.first(c).alias(c) for c in ("bins", "low", "high")]
     )
-    width = (F.col("_high") - F.col("_low")) / bins
-    rows = attach(df.select(key, F.col(axis).alias("_x"), error.alias("_e")), ends)
-    guess = F.floor((F.col("_x") - F.col("_low")) / F.when(width > 0, width).otherwise(1.0))
-    inside = rows.withColumn("bin", F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1))).cast("int")).where("_x between _low and _high")
-    counted = inside.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(F.abs("_e")).alias("mean_abs_error"))
-    frame = attach(df.select(key).distinct(), ends).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = frame.join(counted, [key, "bin"], "left")
-    start = F.col("_low") + F.col("bin") * width
-    end = F.col("_low") + (F.col("bin") + 1) * width
+    out = one.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).withColumn("_r", F.col("_m")[F.col("bin")])
+    start, end = F.col("low") + F.col("bin") * width, F.col("low") + (F.col("bin") + 1) * width
     return out.select(
-        F.lit(axis).alias("axis"), key, "bin", start.alias("bin_start"), end.alias("bin_end"), ((start + end) / 2.0).alias("bin_center"),
-        F.coalesce("count", F.lit(0)).alias("count"), "mean_abs_error",
+        "axis", key, "bin", start.alias("bin_start"), end.alias("bin_end"), ((start + end) / 2.0).alias("bin_center"),
+        F.coalesce("_r.count", F.lit(0)).alias("count"), F.col("_r.mean_abs_error").alias("mean_abs_error"),
     )
 
 

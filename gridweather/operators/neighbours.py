@@ -9,6 +9,7 @@ crowded region or a popular place becomes more blocks, not a larger one. Only k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil, sqrt
 
 import numpy as np
@@ -22,6 +23,7 @@ DISTANCE_FLOOR = 1e-6
 BLOCK_ROWS = 20_000
 MOST_PIVOTS = 256
 MOST_RINGS = 64
+LOOK_CELLS = 1_000_000
 
 
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -135,7 +137,16 @@ class _RegionFacts:
         self.cell = self.region // (MOST_RINGS + 1)
 
     def look(self, vectors: np.ndarray, kth: np.ndarray | None = None):
-        """Distance sure to hold k rows, the regions that give it, and the other regions that reach within it."""
+        """Distance sure to hold k rows, the regions that give it, and the other regions that reach within it.
+
+        Queries go in slices, so that a table of queries by regions has a fixed size whatever the number of regions.
+        """
+        step = max(1, LOOK_CELLS // max(1, len(self.region)))
+        slices = [slice(i, i + step) for i in range(0, len(vectors), step)]
+        reach, first, others = zip(*[self._look(vectors[at], None if kth is None else kth[at]) for at in slices])
+        return np.concatenate(reach), list(chain.from_iterable(first)), list(chain.from_iterable(others))
+
+    def _look(self, vectors: np.ndarray, kth: np.ndarray | None):
         d = _pivot_distances(vectors, self.pivots)[:, self.cell]
         upper = d + self.far[None, :]
         order = np.argsort(upper, axis=1, kind="stable")
@@ -162,12 +173,16 @@ class _Meeting:
         self.schema = f"query_id {qtype}, train_id {ttype}, sq_distance double{extra}"
 
     def run(self, visits: DataFrame) -> DataFrame:
+        spark, path = visits.sparkSession, session.new_folder(visits.sparkSession, "visits")
+        # Read by the count of callers and by the meeting; the regions are worked out once.
+        visits.write.parquet(path)
+        visits = spark.read.schema(visits.schema).parquet(path)
         visiting = visits.withColumn("_region", F.explode("_regions")).drop("_regions")
         callers = {row["_region"]: row["n"] for row in visiting.groupBy("_region").agg(F.count(F.lit(1)).alias("n")).collect()}
         sizes = zip(self.facts.region.tolist(), self.facts.size.tolist())
         slices = [(g, ceil(n / self.block_rows), ceil(callers[g] / self.block_rows)) for g, n in sizes if g in callers]
         if not slices:
-            return visits.sparkSession.createDataFrame([], self.schema)
+            return spark.createDataFrame([], self.schema)
         t_parts = F.create_map(*[F.lit(x) for g, a, _ in slices for x in (g, a)])
         q_parts = F.create_map(*[F.lit(x) for g, _, b in slices for x in (g, b)])
         keys = ["_region", "_ts", "_qs"]

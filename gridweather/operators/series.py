@@ -34,28 +34,28 @@ def resample(
     whole = measured.groupBy(key).agg(F.max("length").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     wanted = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.col("_total") / spacing) + 1))
     whole = whole.withColumn("_n", wanted).withColumn("_n", F.when(F.col("_rows") <= F.greatest(F.lit(most), F.col("_n")), F.col("_rows")).otherwise(F.col("_n")))
-    rows = measured.join(whole, key)
-    same = rows.where("_rows <= _n").select(key, F.col(seq).cast("bigint").alias("point"), x, z)
-    long = rows.where("_rows > _n")
-    first = long.where(F.col(seq) == 0).select(key, F.lit(0).cast("bigint").alias("point"), x, z)
-    last = long.where((F.col(seq) == F.col("_rows") - 1) & (F.col("_total") > 0)).select(key, (F.col("_n") - 1).alias("point"), x, z)
+    rows, parts, at = measured.join(whole, key), F.col("_n") - 1, F.col(seq).cast("bigint")
+    long, moving = F.col("_rows") > F.col("_n"), F.col("_total") > 0
+    # The points each row yields, as a list of numbers, all branches in one pass; none where its branch gives none.
     start = F.col("length") - F.col("step")
-    parts = F.col("_n") - 1
     # One target too many on each side guards against rounding; the exact test follows.
-    low = F.greatest(F.lit(1), F.floor(start * parts / F.col("_total")) - 1)
-    high = F.least(F.col("_n") - 2, F.floor(F.col("length") * parts / F.col("_total")) + 1)
-    inner = long.where((F.col(seq) > 0) & (F.col("_total") > 0) & (F.col("step") > 0)).withColumn("_start", start)
-    inner = inner.withColumns({"_low": low, "_high": high}).where("_low <= _high")
-    inner = inner.withColumn("point", F.explode(F.sequence("_low", "_high"))).withColumn("_goal", F.col("_total") * F.col("point") / parts)
-    # The running length before this stretch is the length up to it, not its end minus the step: take it from the row before.
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_goal") - F.col("_start")) / F.col("step")))
-    inside = (F.col("_goal") <= F.col("length")) & (F.col("_goal") > F.col("_start"))
-    moved = [(F.col(f"{n}_before") + (F.col(c) - F.col(f"{n}_before")) * share).alias(c) for n, c in (("x", x), ("z", z))]
-    inner = inner.where(inside).select(key, "point", *moved)
+    low = F.greatest(F.lit(1), F.floor(start * parts / F.col("_total")) - 1).cast("bigint")
+    high = F.least(F.col("_n") - 2, F.floor(F.col("length") * parts / F.col("_total")) + 1).cast("bigint")
+    stretch = F.filter(F.sequence(low, high), lambda p: (F.col("_total") * p / parts <= F.col("length")) & (F.col("_total") * p / parts > start))
+    inner = F.when((F.col(seq) > 0) & (F.col("step") > 0) & (low <= high), stretch)
+    ends = F.when(F.col(seq) == 0, F.array(F.lit(0).cast("bigint"))), F.when(F.col(seq) == F.col("_rows") - 1, F.array(parts.cast("bigint")))
     every = F.greatest(F.lit(1), F.ceil((F.col("_rows") - 1) / F.greatest(F.lit(1), parts)))
-    still = long.where("_total <= 0").withColumn("_every", every).where((F.col(seq) % F.col("_every") == 0) | (F.col(seq) == F.col("_rows") - 1))
-    still = still.withColumn("point", F.ceil(F.col(seq) / F.col("_every"))).where((F.col("point") > 0) & (F.col("point") < F.col("_n"))).select(key, "point", x, z)
-    return same.unionByName(first).unionByName(inner).unionByName(last).unionByName(still)
+    nth = F.ceil(F.col(seq) / every).cast("bigint")
+    picked = F.when(((F.col(seq) % every == 0) | (F.col(seq) == F.col("_rows") - 1)) & (nth < F.col("_n")), F.array(nth))
+    none = F.array().cast("array<bigint>")
+    between = F.concat(*[F.coalesce(x, none) for x in (ends[0], inner, ends[1])])
+    points = F.when(~long, F.array(at)).when(moving, between).otherwise(F.coalesce(F.when(F.col(seq) == 0, F.array(F.lit(0).cast("bigint"))), picked, none))
+    rows = rows.withColumns({"_start": start, "_between": long & moving}).withColumn("point", F.explode(points))
+    inside = F.col("_between") & (F.col("point") > 0) & (F.col("point") < parts)
+    # The running length before this stretch is the length up to it, not its end minus the step: take it from the row before.
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_total") * F.col("point") / parts - F.col("_start")) / F.col("step")))
+    moved = [F.when(inside, F.col(f"{n}_before") + (F.col(c) - F.col(f"{n}_before")) * share).otherwise(F.col(c)).alias(c) for n, c in (("x", x), ("z", z))]
+    return rows.select(key, "point", *moved)
 
 
 def first_down_crossing(series: DataFrame, key: str, seq: str, x: str, z: str, level: float, **scan) -> DataFrame:

@@ -94,9 +94,7 @@ def _profile_sql(axis: str, bins: int, lo: str, hi: str) -> str:
     {_profile_sql("altitude_m", 12, "lo", "hi")} union all {_profile_sql("hour", 24, "0e0", "24e0")}""")
 def error_profile(spark, d):
     p = v.pred(spark, d).withColumn("hour", (F.col("row_id") % 48).cast("double") / 2.0)
-    a = mt.error_profile(p, "target", "altitude_m", mt.error_of(), 12)
-    b = mt.error_profile(p, "target", "hour", mt.error_of(), 24, 0.0, 24.0)
-    return tidy(a.unionByName(b), [])
+    return tidy(mt.error_profiles(p, "target", {"altitude_m": (12, None, None), "hour": (24, 0.0, 24.0)}, mt.error_of()), [])
 
 
 EDGES = """ed as (select target, quantile_cont(y_true, 0e0) as a0, quantile_cont(y_true, 1e0/3) as a1, quantile_cont(y_true, 2e0/3) as a2, quantile_cont(y_true, 1e0) as a3 from v_pred group by target),
