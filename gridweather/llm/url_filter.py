@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted per host, registered domain and suffix. Each level's rate is shrunk towards its
 parent's by a beta-binomial prior whose weight comes from the spread between the groups of that level; a host is blocked when
 the lower bound of its posterior passes a threshold. A host without labelled pages has its domain's posterior, that without
-any its suffix's.
+any its suffix's. The registered domain is the label before the suffix and the suffix; suffixes of several labels are a parameter.
+Ports and user names are no part of it, and an address is its own domain and suffix.
 
 Null url, or no ``://``: host and path are empty, no rule fits, and the verdict is that of the whole corpus. Null page ids stay.
 Repeated outcomes of one page count once, as bad if any of them is.
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import ascii_lower
+from gridweather.llm.common import ascii_lower, written
 
 # Fixed values: (verdict, rule).
 RULES = (
@@ -25,6 +26,13 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
+# Public suffixes of two labels under which names are registered; all others have one label.
+SUFFIXES = (
+    "ac.at co.at or.at com.au net.au org.au edu.au gov.au com.br net.br org.br gov.br com.cn net.cn org.cn edu.cn gov.cn com.hk org.hk com.mx org.mx gob.mx "
+    "co.id ac.id or.id co.il ac.il org.il co.in net.in org.in ac.in gov.in co.jp ne.jp or.jp ac.jp go.jp co.ke or.ke co.kr or.kr ac.kr go.kr com.my org.my "
+    "co.nz net.nz org.nz ac.nz govt.nz com.pl org.pl edu.pl com.sg edu.sg gov.sg co.th ac.th com.tr org.tr edu.tr gov.tr com.tw org.tw edu.tw "
+    "com.ua org.ua co.uk org.uk me.uk ltd.uk plc.uk net.uk sch.uk ac.uk gov.uk nhs.uk co.za org.za ac.za gov.za"
+).split()
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -35,6 +43,7 @@ class Reputation:
     threshold: float = 0.5
     z: float = 1.645
     strength: tuple[float, float] = (2.0, 200.0)
+    suffixes: tuple[str, ...] = tuple(SUFFIXES)
 
 
 def host_of(url: Column) -> Column:
@@ -56,16 +65,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return found, verdict
 
 
-def parts_of(host: Column) -> dict[str, Column]:
-    """Host, registered domain (last two labels) and suffix (last label)."""
-    return {"host": host, "domain": F.substring_index(host, ".", -2), "suffix": F.substring_index(host, ".", -1)}
+def parts_of(host: Column, suffixes: tuple[str, ...] = tuple(SUFFIXES)) -> dict[str, Column]:
+    """Host, registered domain and suffix."""
+    name = F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+$", "")
+    address = name.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(*suffixes) if suffixes else F.lit(False)
+    domain = F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    return {"host": host, "domain": domain, "suffix": F.when(address, name).when(long, two).otherwise(F.substring_index(name, ".", -1))}
 
 
 def reputations(outcomes: DataFrame, how: Reputation = Reputation()) -> dict[str, DataFrame]:
     """From ``outcomes`` (host, bad) a table per level: the name and its posterior ``a``, ``b``; ``all`` has one row."""
     base = outcomes.select(F.col("host").alias("_h"), F.col("bad").cast("int").alias("_bad"))
     counts = base.groupBy("_h").agg(F.count("_bad").alias("n"), F.sum("_bad").alias("k"))
-    counts = counts.select(*[c.alias(name) for name, c in parts_of(F.col("_h")).items()], "n", "k")
+    counts = counts.select(*[c.alias(name) for name, c in parts_of(F.col("_h"), how.suffixes).items()], "n", "k")
+    # Every level starts from these counts, and every search from the levels' tables: each is written once.
+    counts = written(outcomes.sparkSession, counts, "host-counts")
     sums = {level: counts.groupBy(*LEVELS[: i + 1]).agg(F.sum("n").alias("n"), F.sum("k").alias("k")) for i, level in enumerate(LEVELS)}
     top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     # Six numbers come back: for each level how far its groups spread around the rate of all.
@@ -83,6 +99,7 @@ def reputations(outcomes: DataFrame, how: Reputation = Reputation()) -> dict[str
         table = sums[level] if above is None else sums[level].join(above, list(LEVELS[:i]))
         s = weight[level]
         made = table.select(*LEVELS[: i + 1], (mean * s + F.col("k")).alias("a"), ((1 - mean) * s + F.col("n") - F.col("k")).alias("b"))
+        made = written(outcomes.sparkSession, made, f"{level}-posteriors")
         out[level] = made.select(level, "a", "b")
         above = made.select(*LEVELS[: i + 1], F.col("a").alias("_a"), F.col("b").alias("_b"))
     return out
@@ -105,7 +122,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation =
     url = F.col("url").cast("string")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "_said": said, **{f"_{k}": c for k, c in parts_of(F.col("host")).items()}})
+    base = base.withColumns({"rule": rule, "_said": said, **{f"_{k}": c for k, c in parts_of(F.col("host"), how.suffixes).items()}})
     tables = reputations(outcomes, how)
     # Distinct hosts are judged once; the pages then meet one row per host in a join that Spark may split.
     hosts = base.select("_host", "_domain", "_suffix").distinct()

@@ -346,6 +346,67 @@ def test_reputation_shrinks(spark):
     assert url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string"), none).where("verdict = 'allow'").count() == 8
 
 
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("a.b.example.com", "example.com", "com"), ("www.shop.co.uk", "shop.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("x.shop.co.uk:8080", "shop.co.uk", "co.uk"), ("me@a.net", "a.net", "net"),
+    ("10.2.3.4:80", "10.2.3.4", "10.2.3.4"), ("[::1]:80", "[::1]", "[::1]"), ("localhost", "localhost", "localhost"), ("a.net.", "a.net", "net"), ("", "", ""), ("..", "", ""),
+])
+def test_registered_domain(spark, host, domain, suffix):
+    parts = url_filter.parts_of(F.lit(host))
+    got = spark.range(1).select(parts["domain"].alias("d"), parts["suffix"].alias("s")).first()
+    assert tuple(got) == (domain, suffix)
+
+
+def posteriors_by_force(outcomes, of, how):
+    """Posterior (a, b) by level and name, counted host by host; ``of`` maps a host to its (suffix, domain, host)."""
+    n, k = len(outcomes), sum(bad for _, bad in outcomes)
+    rate = (k + 0.5) / (n + 1)
+    found = {(): (rate * how.strength[0] + k, (1 - rate) * how.strength[0] + n - k)}
+    for depth in (1, 2, 3):
+        groups = collections.defaultdict(list)
+        for host, bad in outcomes:
+            groups[of(host)[:depth]].append(bad)
+        large = [g for g in groups.values() if len(g) > 1]
+        rows_, strength = sum(map(len, large)), how.strength[1]
+        if len(large) > 1:
+            seen = sum(len(g) * (sum(g) / len(g) - rate) ** 2 for g in large) / rows_
+            chance = rate * (1 - rate)
+            extra = seen - chance * len(large) / rows_
+            if extra > 0:
+                strength = min(how.strength[1], max(how.strength[0], chance / extra - 1))
+        for name, g in groups.items():
+            mean = rate if depth == 1 else found[name[:-1]][0] / sum(found[name[:-1]])
+            found[name] = (mean * strength + sum(g), (1 - mean) * strength + len(g) - sum(g))
+    return found
+
+
+def test_verdicts_equal_brute_force(spark):
+    import random
+
+    rng, how = random.Random(8), url_filter.Reputation()
+    rate = {f"h{h}.d{d}.{s}": min(1.0, rng.betavariate(0.4, 0.8) + (s == "xyz") * 0.3) for s in ("net", "co.uk", "xyz") for d in range(6) for h in range(4)}
+    outcomes = [(host, rng.random() < p) for host, p in rate.items() for _ in range(rng.choice([1, 2, 8, 40]))]
+    hosts = [*rate, *(f"new.d{d}.{s}" for d in range(8) for s in ("net", "co.uk", "xyz")), "a.b.other", ""]
+
+    def of(host):
+        labels = host.split(".")
+        size = 2 if ".".join(labels[-2:]) in url_filter.SUFFIXES else 1
+        return ".".join(labels[-size:]), ".".join(labels[-size - 1 :]), host
+
+    force = posteriors_by_force(outcomes, of, how)
+    df = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id bigint, url string").withColumns({"host": F.lit(1), "_post": F.lit(2), "n": F.lit(3)})
+    got = rows(url_filter.judge(df, spark.createDataFrame(outcomes, "host string, bad boolean"), rules=()), "page_id")
+    verdicts = collections.Counter()
+    for i, host in enumerate(hosts):
+        name = next(of(host)[:d] for d in (3, 2, 1, 0) if of(host)[:d] in force)
+        a, b = force[name]
+        mean = a / (a + b)
+        low = mean - how.z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        assert abs(got[i]["badness"] - mean) < 1e-9 and got[i]["verdict"] == ("block" if low > how.threshold else "allow"), host
+        verdicts[len(name), got[i]["verdict"]] += 1
+    # The method itself decides both ways, for hosts it has seen and for hosts it has not.
+    assert all(verdicts[3, say] for say in ("allow", "block")) and verdicts[2, "allow"] + verdicts[2, "block"] and len(got) == len(hosts)
+
+
 # 7: pieces
 
 
