@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather import session
 from gridweather.operators.attach import attach
 from gridweather.operators.ordered import exact_quantiles, ordered_scan
 
@@ -136,8 +137,14 @@ CLASS_NAMES = ("low", "mid", "high")
 
 
 def class_confusion(df: DataFrame, key: str, truth: str, guess: str) -> DataFrame:
-    """Counts of true against predicted class, classes cut at the truth's thirds; all nine cells per key."""
-    edges = quantile_edges(df, [key], F.col(truth), 3)
+    """Counts of true against predicted class, classes cut at the truth's thirds; all nine cells per key.
+
+    The edges, a row per key, are written: they are found once, and Spark sees their size. While they are small they go to the
+    rows, which then meet no shuffle; rows of a busy key are counted where they lie.
+    """
+    path = session.new_folder(df.sparkSession, "class-edges")
+    quantile_edges(df, [key], F.col(truth), 3).write.parquet(path)
+    edges = df.sparkSession.read.parquet(path)
 
     def cut(x: str) -> Column:
         return (F.col(x) >= F.col("e1")).cast("int") + (F.col(x) >= F.col("e2")).cast("int")

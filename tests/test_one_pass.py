@@ -87,3 +87,12 @@ def test_slices_of_queries_see_the_same_regions(monkeypatch):
     monkeypatch.setattr(nn, "LOOK_CELLS", 36)
     for (a, b, c), (d, e, f) in zip(whole, [facts.look(q), facts.look(q, kth)]):
         assert np.array_equal(a, d) and b == e and c == f
+
+
+def test_classes_are_counted_where_the_rows_lie(errors):
+    out = mt.class_confusion(errors, "k", "a", "e")
+    got = {(r["k"], r["true_bin"], r["predicted_bin"]): r["count"] for r in out.collect()}
+    assert sum(got.values()) == errors.where("k is not null").count() and len(got) == 9 * 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The rows meet the edges in a broadcast join; the only join after a shuffle would be one of counts.
+    assert "SortMergeJoin" not in plan.split("Final Plan")[-1].split("Initial Plan")[0]
