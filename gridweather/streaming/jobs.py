@@ -56,7 +56,10 @@ def rate_stream(stream: DataFrame, folder: str, at: str, client: str, create: Co
     def step(batch: DataFrame, number: int) -> None:
         closed = f"{folder}/closed/chunk={number}"
         batch.write.mode("overwrite").parquet(closed)
-        rate_verdicts(batch.sparkSession.read.schema(schema).parquet(closed), limits).write.mode("overwrite").parquet(f"{folder}/windows/chunk={number}")
+        # Written once: reading the batch again would work through the state again. Most batches close nothing.
+        counted = batch.sparkSession.read.schema(schema).parquet(closed)
+        if number == 0 or not counted.isEmpty():
+            rate_verdicts(counted, limits).write.mode("overwrite").parquet(f"{folder}/windows/chunk={number}")
 
     state.run_available(counts, folder, step)
     return spark.read.parquet(f"{folder}/windows").drop("chunk")
