@@ -234,6 +234,13 @@ def left_over(members: DataFrame, found: DataFrame, sets: DataFrame, how: Simila
     return rows.groupBy("head", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from every id of several rows to the classes of its texts, so that its rows share a component."""
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    texts = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    return texts.join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+
+
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
@@ -254,14 +261,17 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     sets = written(spark, full_sets(rows.where("doc_id is not null").join(needed, "doc_id", "left_semi"), how), "sets")
     pairs = members.where(F.col("rep") != F.col("head")).where(alike(F.col("n"), F.col("head_n"), how.percent))
     links = written(spark, linked(pairs.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), sets, how.percent), "links-first")
+    links = links.union(written(spark, same_id(named, classes), "links-ids"))
     found = components(links)
     more = written(spark, left_over(members, found, sets, how), "links-rest")
     if not more.isEmpty():
         found = components(links.union(more))
     of_class = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep")
     of_class = written(spark, of_class.select("digest", "component").union(_unlinked(classes, found)), "class-components")
-    out = marks.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    # Rows of one id may hold several texts; its component is the least of theirs.
+    of_text = marks.where("digest is not null").select("doc_id", "n", "digest").join(of_class, "digest", "left")
+    # A row without shingles belongs where other rows of its id do.
+    of_empty = marks.where("digest is null").join(found, F.col("doc_id") == F.col("id"), "left")
+    out = of_text.select("doc_id", "n", "component").union(of_empty.select("doc_id", "n", "component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

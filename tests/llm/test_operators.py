@@ -62,6 +62,16 @@ def test_components(spark):
     assert any(n != i for i, (_, n) in want.items())
 
 
+def test_rows_of_one_id(spark):
+    """An id of several texts links their classes; its row without a text goes with them, as do ids reached through it."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    texts = [(3, a), (4, b), (5, a), (5, b), (5, None), (6, ""), (7, c), (7, ""), (9, d), (8, c), (8, d), (2, d), (None, a), (10, None), (10, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert len(got) == len(texts)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(3, 3), (4, 3), (5, 3), (6, 6), (7, 2), (8, 2), (9, 2), (2, 2), (None, None), (10, 10)}
+    assert all(r["kept"] == (r["doc_id"] in (None, r["component_id"])) for r in got)
+
+
 def test_links_beside_the_head(spark):
     """A chain: each text links with its neighbours only, so one star around one head is not enough."""
     base = [f"w{i}" for i in range(200)]
