@@ -185,6 +185,8 @@ def _block_moves(dx: float, key: str, x: str, seq: str):
                     break
                 # Entered here by a walk whose next goal lies in (low, value]; goals outside (last, most + dx] cannot be.
                 if value > last and low <= most + dx:
+                    if moves and moves[-1][1:] == (low, end[i]):
+                        low = moves.pop()[0]  # walks that end alike are one move
                     moves.append((low, value, end[i]))
                 low = value
         out = pd.DataFrame(moves, columns=["low", "high", "tail"])
@@ -194,17 +196,20 @@ def _block_moves(dx: float, key: str, x: str, seq: str):
 
 
 def _walk(dx: float, key: str):
-    """Last kept position before each block of one series, from the blocks' moves."""
-
-    def run(moves: pd.DataFrame) -> pd.DataFrame:
-        moves = moves.sort_values(["_b", "high"], ignore_index=True)
-        at, out = None, []
-        for block, part in moves.groupby("_b", sort=True):
-            out.append((block, at))
-            goal = math.inf if at is None else at + dx
-            hit = part[part["high"] == math.inf] if at is None else part[(part["low"] < goal) & (goal <= part["high"])]
-            at = float(hit["tail"].iloc[0]) if len(hit) else at
-        return pd.DataFrame(out, columns=["_b", "_enter"]).assign(**{key: moves[key].iloc[0]}).astype({"_enter": "float64"})
+    """Last kept position before each block, over partitions of moves sorted by (key, block, height); only that position is carried on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, at, goal, met = None, None, math.inf, False
+        for part in batches:
+            out = []
+            for k, block, low, high, tail in zip(*(part[c].tolist() for c in (key, "_b", "low", "high", "tail"))):
+                if (k, block) != group:
+                    at = at if group and group[0] == k else None
+                    group, goal, met = (k, block), math.inf if at is None else at + dx, False
+                    out.append((block, at, k))
+                if not met and low < goal <= high:
+                    at, met = tail, True
+            yield pd.DataFrame(out, columns=["_b", "_enter", key]).astype({"_enter": "float64"})
 
     return run
 
@@ -232,7 +237,8 @@ def thin_by_distance(track: DataFrame, key: str, seq: str, x: str, dx: float, ro
 
     ``seq`` counts from 0 without gaps. A track longer than a block is thinned in three steps: per block the possible entries and
     where they lead, per track one walk over those, per block the thinning from its own entry. Only the rows within ``dx`` of a
-    block's start can be entries, so the walk sees a small part of the track.
+    block's start can be entries, and entries from which walks end alike are one move. The walk reads the moves of a track in
+    order and holds one batch of them, whatever the track's length.
     """
     if dx <= 0:
         raise ValueError("the distance must be positive")
@@ -245,7 +251,8 @@ def thin_by_distance(track: DataFrame, key: str, seq: str, x: str, dx: float, ro
     ).where("_n > 0")
     long = rows.join(blocks.select(key, "_b", "_last", "_most"), [key, "_b"])
     moves = long.groupBy(key, "_b").applyInPandas(_block_moves(dx, key, x, seq), f"low double, high double, tail double, {key} {ktype}, _b bigint")
-    enter = moves.groupBy(key).applyInPandas(_walk(dx, key), f"_b bigint, _enter double, {key} {ktype}")
+    along_track = moves.repartition(F.col(key)).sortWithinPartitions(key, "_b", "high")
+    enter = along_track.mapInPandas(_walk(dx, key), f"_b bigint, _enter double, {key} {ktype}")
     # A block that no walk can enter has no moves and keeps nothing; the first block always has one.
     staged = rows.join(blocks.select(key, "_b", F.lit(True).alias("_long")), [key, "_b"], "left").join(enter.withColumn("_reached", F.lit(True)), [key, "_b"], "left")
     work = staged.where("_long is null or _reached").select(key, "_b", seq, x, "_enter")

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window, functions as F
@@ -109,6 +110,29 @@ def test_thinning_equals_hand_walk(spark, rows_per_block, shape):
     assert got == want
 
 
+def test_thinning_walk_over_many_batches(spark):
+    """A slow track, whose moves fill many batches, and several tracks in one partition."""
+    tracks = {"slow": [i * 0.01 + (i % 7) * 0.02 for i in range(600)], "still": [0.0] * 60, "fast": [i * 2.0 for i in range(60)], "short": [1.0, 9.0]}
+    df = spark.createDataFrame([(k, i, x) for k, xs in tracks.items() for i, x in enumerate(xs)], "k string, seq int, x double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = {(r["k"], r["seq"]) for r in series.thin_by_distance(df, "k", "seq", "x", 2.5, 20).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == {(k, i) for k, xs in tracks.items() for i in {*thin_by_hand(xs, 2.5), len(xs) - 1}}
+
+
+def test_walks_that_end_alike_are_one_move():
+    """Entries a, a + 1, a + 2 all meet at the same goal beyond them, so the block has one move for them."""
+    xs = [0.0, 1.0, 2.0, 100.0]
+    block = pd.DataFrame({"k": 1, "_b": 1, "seq": range(4), "x": xs, "_last": -1.0, "_most": 200.0})
+    moves = series._block_moves(5.0, "k", "x", "seq")(block)
+    assert moves[["low", "high", "tail"]].values.tolist() == [[-math.inf, 100.0, 100.0]]
+
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-20, 20).map(float), min_size=1, max_size=40), st.sampled_from([0.5, 1.0, 3.0, 11.0]))
 def test_next_kept(xs, dx):
