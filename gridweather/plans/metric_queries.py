@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gridweather.functions import features as ft, scalars as s
@@ -188,6 +190,32 @@ def importance_by_group(spark, d):
     return tidy(mt.importance_by_group(spread.withColumn("target", F.lit("spread"))), [])
 
 
+def weighted(names, swapped: str | None = None) -> str:
+    """A linear score over all features, the swapped one taken from its shuffled column ``x``."""
+    return "250e0 + " + " + ".join(f"{1 / (i + 2)!r}e0*{'h.x' if n == swapped else 'o.' + n}" for i, n in enumerate(names))
+
+
+#: The features in the order in which their SQL names them; the weights and seeds follow it.
+WEATHER_NAMES = re.findall(r" as (\w+)(?:,\s| from a$)", WEATHER_FEATURES_SQL[WEATHER_FEATURES_SQL.rindex("select obs_id, ") :])
+PERMUTED_SQL = f"""f as ({WEATHER_FEATURES_SQL}), o as (select f.*, 288.15e0 - 0.0065e0*v.altitude_m as t_true, row_number() over (order by obs_id) as k from f join v_obs v using (obs_id)),
+    b as (select avg(abs({weighted(WEATHER_NAMES)} - t_true)) as base from o),
+    m as ({" union all ".join(f"""select '{n}' as feature, avg(abs({weighted(WEATHER_NAMES, n)} - t_true)) as permuted from o join (select {n} as x, row_number() over (order by {h(f"'{21 + j}'", "obs_id")}, obs_id) as k from o) h using (k)""" for j, n in enumerate(WEATHER_NAMES))}),
+    g as (select permuted - base as dl, case when contains(feature,'altitude') then 'altitude' when feature like 'utc%' or feature like 'solar%' or contains(feature,'hour') then 'time_of_day'
+      when feature like 'doy%' or contains(feature,'day_of_year') then 'day_of_year' when contains(feature,'lat') or contains(feature,'lon') or feature like 'sphere%' then 'location' else 'other' end as feature_group from m, b)"""
+
+
+@query("agg15_permuted_groups", f"""with {PERMUTED_SQL} select 't_true' as target, feature_group, {r("sum(dl)")} as sum_delta_mae, {r("avg(dl)")} as mean_delta_mae from g group by feature_group""")
+def permuted_groups(spark, d):
+    """Importance by group from the permutation importance of every weather feature under a linear score."""
+    named = ft.weather_features("lat", "lon", "altitude_m", F.dayofyear("valid_time"), s.utc_hour("valid_time"))
+    o = v.obs(spark, d).select("obs_id", *[rounded(named[n], 9).alias(n) for n in WEATHER_NAMES], (288.15 - F.col("altitude_m") * 0.0065).alias("t_true"))
+
+    def score(df):
+        return df.withColumn("pred_t_true", sum((F.col(n) * (1 / (i + 2)) for i, n in enumerate(WEATHER_NAMES)), F.lit(250.0)))
+
+    return tidy(mt.importance_by_group(mt.permutation_importance(o, "obs_id", WEATHER_NAMES, ["t_true"], score, 21)), [])
+
+
 _UV = ["u_true", "u_pred", "v_true", "v_pred"]
 
 
