@@ -1,5 +1,6 @@
 """Aggregates in one pass: the number of scans in the plan, and the same values as branch by branch."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -96,3 +97,33 @@ def test_classes_are_counted_where_the_rows_lie(errors):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # The rows meet the edges in a broadcast join; the only join after a shuffle would be one of counts.
     assert "SortMergeJoin" not in plan.split("Final Plan")[-1].split("Initial Plan")[0]
+
+
+def test_permuted_values_meet_their_row_in_blocks(spark):
+    """Against places by hash worked out in plain Python; ids in clusters, some absent, few copies a block."""
+    rng = random.Random(4)
+    ids = [i if i % 3 else 10**9 + 7 * i for i in range(400)]
+    rows = [(i, rng.uniform(0, 9), float(k % 5), rng.uniform(0, 9)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows + [(None, 50.0 + i, 60.0 + i, 1.0) for i in range(30)], "i bigint, a double, b double, y double").repartition(7)
+    out = mt.permutation_importance(df, "i", ["a", "b"], ["y"], lambda d: d.withColumn("pred_y", F.col("a") * 2 - F.col("b")), 5, block_copies=60)
+    hashes = {(s, i): int(hashlib.md5(f"{s}|{i}".encode()).hexdigest()[:15], 16) for s in (5, 6) for i in ids}
+    by_id, lone = sorted(rows), [abs(2 * (50.0 + i) - (60.0 + i) - 1.0) for i in range(30)]
+    want = {"": [abs(2 * a - b - y) for _, a, b, y in by_id]}
+    for s, f in ((5, "a"), (6, "b")):
+        moved = sorted(rows, key=lambda r: (hashes[s, r[0]], r[0]))
+        want[f] = [abs(2 * (m[1] if f == "a" else a) - (m[2] if f == "b" else b) - y) for (_, a, b, y), m in zip(by_id, moved)]
+    mean = {f: np.mean(e + lone) for f, e in want.items()}
+    got = {r["feature"]: r for r in out.collect()}
+    assert set(got) == {"a", "b"}
+    for f, r in got.items():
+        assert np.isclose(r["permuted_mae"], mean[f], rtol=1e-12) and np.isclose(r["baseline_mae"], mean[""], rtol=1e-12)
+
+
+def test_permuted_values_are_shuffled_alone(spark):
+    """One shuffle of rows: a value and its hash travel, not a copy of the row a feature."""
+    df = spark.range(2000).select(F.col("id").alias("i"), *[F.rand(k).alias(f"f{k}") for k in range(6)], F.rand(9).alias("y"))
+    out = mt.permutation_importance(df, "i", [f"f{k}" for k in range(6)], ["y"], lambda d: d.withColumn("pred_y", F.col("f0") + F.col("f5")), 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and out.count() == 6
+    wide = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert not wide
