@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridweather import session
 from gridweather.functions.scalars import G0, c, clip, fold_lon_360, is_finite
 
 AXIS_LIMIT = 100_000
@@ -442,26 +443,49 @@ def table_lookup(queries: DataFrame, table: DataFrame, a: Axis, b: Axis, x: str,
     """
     placed = b.table_bracket(a.table_bracket(queries, x, "_p"), y, "_q")
     p, q = F.col("_p"), F.col("_q")
+    places = [(i, j) for i in (0, 1) for j in (0, 1)]
+    weights = [(p["frac"] if i else 1.0 - p["frac"]) * (q["frac"] if j else 1.0 - q["frac"]) for i, j in places]
+    if planes:
+        return _plane_lookup(placed, table, places, weights, values, id_col, planes)
     corners = F.array(
-        *[
-            F.struct(
-                (p["hi"] if i else p["lo"]).alias("a_i"), (q["hi"] if j else q["lo"]).alias("b_i"),
-                ((p["frac"] if i else 1.0 - p["frac"]) * (q["frac"] if j else 1.0 - q["frac"])).alias("w"),
-            )
-            for i in (0, 1) for j in (0, 1)
-        ]
-    )
+        *[F.struct((p["hi"] if i else p["lo"]).alias("a_i"), (q["hi"] if j else q["lo"]).alias("b_i"), w.alias("w")) for (i, j), w in zip(places, weights)]
+    )
     keyed = placed.select(id_col, F.explode(corners).alias("_c")).select(id_col, "_c.*")
-    if planes:
-        # The planes of one cell travel as one row, and part only after the join.
-        cells = table.groupBy("a_i", "b_i").agg(F.collect_list(F.struct(*planes, *values)).alias("_cell"))
-        met = keyed.join(cells, ["a_i", "b_i"]).select(id_col, "w", F.explode("_cell").alias("_v")).select(id_col, "w", "_v.*")
-        whole = F.count(F.lit(1)) == 4
-        return met.groupBy(id_col, *planes).agg(*[F.when(whole, F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan"))))).otherwise(float("nan")).alias(n) for n in values])
     joined = keyed.join(table.select("a_i", "b_i", *values), ["a_i", "b_i"], "left")
     return joined.groupBy(id_col).agg(*[F.sum(F.col("w") * F.coalesce(F.col(n), F.lit(float("nan")))).alias(n) for n in values])
 
 
+def _plane_lookup(placed, table, places, weights, values, id_col, planes):
+    """Queries meet the four corners of their place, plane by plane, in one row; corners of a query are never shuffled.
+
+    The corner tiles and the ids that come more than once are written, so Spark sees their size and sends them to the queries while
+    they are small. Only rows of a repeated id are added up by id.
+    """
+    spark, folder = placed.sparkSession, session.new_folder(placed.sparkSession, "planes")
+    # The upper index of a table bracket is always the lower one plus one.
+    corner = F.array(*[F.struct((F.col("a_i") - i).alias("_a"), (F.col("b_i") - j).alias("_b"), F.lit(k).alias("_k")) for k, (i, j) in enumerate(places)])
+    nan, found = F.lit(float("nan")), F.col("_k")
+    sums = [F.coalesce(F.sum(F.when(found == k, F.coalesce(F.col(n).cast("double"), nan))), F.lit(0.0)).alias(f"_{n}_{k}") for n in values for k in range(4)]
+    tiles = table.select(*planes, *values, F.explode(corner).alias("_c")).select(*planes, *values, "_c.*")
+    tiles.groupBy("_a", "_b", *planes).agg(F.count(F.lit(1)).alias("_corners"), *sums).write.parquet(f"{folder}/tiles")
+    placed.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id").write.parquet(f"{folder}/repeated")
+    tiles, repeated = spark.read.parquet(f"{folder}/tiles"), spark.read.parquet(f"{folder}/repeated")
+
+    keyed = placed.select(F.col(id_col), F.col("_p.lo").alias("_a"), F.col("_q.lo").alias("_b"), *[w.alias(f"_w_{k}") for k, w in enumerate(weights)])
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    part = [sum((F.col(f"_w_{k}") * F.col(f"_{n}_{k}") for k in range(1, 4)), F.col("_w_0") * F.col(f"_{n}_0")).alias(n) for n in values]
+
+    def met(rows):
+        return rows.join(tiles, ["_a", "_b"]).select(id_col, *planes, "_corners", *part)
+
+    def whole(corners, value, name):
+        return F.when(corners == 4, value).otherwise(nan).alias(name)
+
+    once = met(keyed.join(repeated, same, "left_anti")).select(id_col, *planes, *[whole(F.col("_corners"), F.col(n), n) for n in values])
+    more = met(keyed.join(repeated, same, "left_semi")).groupBy(id_col, *planes).agg(*[whole(F.sum("_corners"), F.sum(n), n) for n in values])
+    return once.unionByName(more)
+
+
 def exact_or_model(requests: DataFrame, exact: DataFrame, model: DataFrame, days: DataFrame, *, id_col: str, day: str, mode: str) -> DataFrame:
     """Answer each request by its mode: the exact value, the model value, or the exact one where its day exists.
 

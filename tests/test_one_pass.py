@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridweather.operators import metrics as mt, neighbours as nn, series
+from gridweather.operators import lookup as lk, metrics as mt, neighbours as nn, series
 
 
 def scans(df):
@@ -127,3 +127,17 @@ def test_permuted_values_are_shuffled_alone(spark):
     assert plan.count("RepartitionByExpression") == 1 and out.count() == 6
     wide = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
     assert not wide
+
+
+def test_plane_lookup_adds_up_repeated_ids_only(spark):
+    axis = lk.Axis((0.0, 1.0, 2.0))
+    cells = spark.createDataFrame([(a, b, k, float(10 * k + a + b)) for k in (1, 2) for a in range(3) for b in range(3) if (a, b, k) != (2, 2, 2)], "a_i int, b_i int, k int, x double")
+    q = spark.createDataFrame([(1, 0.5, 0.25), (2, 1.5, 1.5), (3, 0.5, 0.5), (3, 0.5, 0.5), (None, 2.0, 0.0), (5, None, 1.0)], "i int, a double, b double")
+    out = lk.table_lookup(q, cells, axis, axis, "a", "b", ["x"], "i", planes=["k"])
+    got = {(r["i"], r["k"]): r["x"] for r in out.collect()}
+    assert len(got) == out.count() == 10  # a missing coordinate is held at the axis, as everywhere
+    assert got[1, 1] == 10.75 and got[1, 2] == 20.75 and got[2, 1] == 13.0 and got[None, 1] == 12.0 and got[None, 2] == 22.0
+    assert all(np.isnan(got[k]) for k in ((2, 2), (3, 1), (3, 2)))
+    # Corners are not exploded from the queries: the queries meet tiles, and only repeated ids are dealt out by id.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
