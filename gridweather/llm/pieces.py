@@ -97,6 +97,7 @@ class Transducer:
         inside = "".join(re.escape(c) for c in sorted(self.known - {MARK}))
         self.cut = re.compile(f"{MARK}+[{inside}]*|[{inside}]+|[^{inside}{MARK}]+")
         self.solved: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         if self.kind == MERGES:  # a piece that merging its own characters does not give can never come out
@@ -242,6 +243,8 @@ class Transducer:
         if text.startswith(MARK * 2):
             # Pieces of marks alone share one score; the order of their merges is by place, which no pair shows.
             return [self.ids[p] for p in self.merged(text)]
+        if text in self.score:  # the longest arc of the first state reaches the end
+            return [self.ids[text]]
         return self.only_path(text)
 
     def solve(self, text: str) -> tuple[int, ...]:
@@ -258,14 +261,17 @@ class Transducer:
                 sub = part[at:end]
                 found = self.solved.get(sub)
                 if found is None:
-                    found = tuple(self.shortest(sub))
+                    found = self.older.get(sub)
+                    if found is None:
+                        found = tuple(self.shortest(sub))
                     self.keep(sub, found)
                 out += found
         return tuple(out)
 
     def keep(self, text: str, ids: tuple[int, ...]) -> None:
-        if len(self.solved) >= KEEP:
-            self.solved.clear()
+        """The older half goes when the newer is full; what was met again since stays, so rare words do not push out common ones."""
+        if len(self.solved) >= KEEP // 2:
+            self.older, self.solved = self.solved, {}
         if len(text) <= 64:
             self.solved[text] = ids
 
@@ -276,13 +282,18 @@ class Transducer:
         if not self.prefix or "" in words:  # runs of blanks, or none before the text
             return list(self.solve((MARK if self.prefix else "") + text.replace(" ", MARK)))
         out: list[int] = []
-        get = self.solved.get
         for word in words:
-            found = get(MARK + word)
+            marked = MARK + word
+            found = self.solved.get(marked)
             if found is None:
-                found = self.solve(MARK + word)
-                if "\n" not in word:  # what stands around a line break is kept by its parts
-                    self.keep(MARK + word, found)
+                found = self.older.get(marked)
+                if found is None:
+                    found = self.solve(marked)
+                    # What stands around a line break, and a word that is one part, is kept by its parts.
+                    if "\n" not in word and marked not in self.solved:
+                        self.keep(marked, found)
+                else:
+                    self.keep(marked, found)
             out += found
         return out
 

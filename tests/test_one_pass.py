@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridweather.llm import pieces
 from gridweather.operators import lookup as lk, metrics as mt, neighbours as nn, series
 
 
@@ -141,3 +142,14 @@ def test_plane_lookup_adds_up_repeated_ids_only(spark):
     # Corners are not exploded from the queries: the queries meet tiles, and only repeated ids are dealt out by id.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+def test_rare_words_do_not_push_out_common_ones(monkeypatch):
+    monkeypatch.setattr(pieces, "KEEP", 40)
+    model = pieces.Transducer(pieces.default_model())
+    text = " ".join(f"xq{i}zv zqxjkvva" for i in range(200))
+    solved, solve = [], model.solve
+    monkeypatch.setattr(model, "solve", lambda word: solved.append(word) or solve(word))
+    ids = model.encode(text)
+    assert solved.count("▁zqxjkvva") == 1 and model.decode(ids) == text
+    assert max(len(model.solved), len(model.older)) <= 20
