@@ -1,9 +1,12 @@
 """Exact k nearest neighbours without comparing every pair.
 
-Training rows are sorted into regions: the nearest of a few pivots, cut into rings by distance from it. Per region only the
-row count and the ring's radii are kept. A query takes the radius that is sure to hold k rows, by the triangle inequality
-skips every region that lies wholly beyond it, and meets the rest block by block. Blocks have bounded rows on both sides, so a
-crowded region or a popular place becomes more blocks, not a larger one. Only k rows per query and block leave a task.
+Training rows are sorted into regions. Vectors of few numbers go to the boxes of a tree, cut at the medians of a sample, so a
+box has some thousands of rows however many there are: a query looks into its own box first and then into those that its k-th
+distance reaches, found by walking down the tree. Longer vectors go to the nearest of a few pivots, cut into rings by distance
+from it; a query takes the radius that is sure to hold k rows and by the triangle inequality skips every region that lies
+wholly beyond it. Queries meet regions block by block. Blocks have bounded rows on both sides, so a crowded region or a popular
+place becomes more blocks, not a larger one. Only k rows per query and block leave a task. A vector with a null or NaN has no
+distance: it is nobody's neighbour and has none.
 """
 
 from __future__ import annotations
@@ -24,6 +27,14 @@ BLOCK_ROWS = 20_000
 MOST_PIVOTS = 256
 MOST_RINGS = 64
 LOOK_CELLS = 1_000_000
+#: Up to so many numbers a vector goes to a box; of longer ones, a ball reaches into nearly every box.
+BOX_DIMS = 12
+BOX_ROWS = 4_096
+#: Sample that cuts the boxes: so many rows a box, and at most so many in all, which come to the driver.
+SAMPLE_A_BOX = 16
+MOST_SAMPLE = 400_000
+#: Pairs of rows that a task of the meeting is to compare.
+TASK_PAIRS = 200_000_000
 
 
 def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -66,6 +77,38 @@ def _regions(assigned: DataFrame, block_rows: int):
     return ringed, stats
 
 
+def _rings(train: DataFrame, path: str, rows: int, dims: int, k: int, block_rows: int, seed: int):
+    count = min(MOST_PIVOTS, max(1, int(sqrt(rows) / 2)))
+    chosen = train.select("train_id", "vec").orderBy(h(seed, F.col("train_id")), "train_id").limit(count).collect()
+    pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
+    _assign(train, "vec", pivots).write.parquet(path)
+    ringed, stats = _regions(train.sparkSession.read.parquet(path), block_rows)
+    return ringed.drop("_cell", "_r"), _RegionFacts(pivots, stats, k)
+
+
+def _boxes(train: DataFrame, path: str, rows: int, dims: int, k: int, block_rows: int, seed: int):
+    """Every row in its box. A sample by the hash of the id places the cuts; counts and bounds of the boxes are of all rows."""
+    boxes = ceil(rows / min(BOX_ROWS, block_rows))
+    some = F.lit(True)
+    if (wanted := min(MOST_SAMPLE, boxes * SAMPLE_A_BOX)) < rows:
+        some = h(seed, F.col("train_id")) % 1_000_000 < ceil(1_000_000 * wanted / rows)
+    sample = train.where(some).select(F.col("vec").cast("array<double>").alias("vec")).limit(2 * MOST_SAMPLE) if boxes > 1 else None
+    drawn = np.empty((0, dims)) if sample is None else np.array(sample.toArrow()["vec"].combine_chunks().flatten()).reshape(-1, dims)
+    tree = _BoxFacts(drawn, boxes, k)
+    schema = T.StructType([*train.schema.fields, T.StructField("_region", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield part.assign(_region=tree.box(_stack(part["vec"])).astype("int32"))
+
+    train.mapInPandas(run, schema).write.parquet(path)
+    placed = train.sparkSession.read.parquet(path)
+    ends = [f(F.col("vec")[i].cast("double")) for f in (F.min, F.max) for i in range(dims)]
+    tree.measure(placed.groupBy("_region").agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("ends")).collect(), dims)
+    return placed, tree
+
+
 def nearest_neighbours(
     train: DataFrame,
     queries: DataFrame,
@@ -81,22 +124,21 @@ def nearest_neighbours(
     """Rows (query_id, train_id, sq_distance, rank, *carry): the k nearest training rows of each query, ties by id."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    spark = train.sparkSession
+    whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
     train = train.select(F.col(train_id).alias("train_id"), F.col(vec).alias("vec"), *carry)
-    queries = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec"))
-    rows = train.count()
+    queries = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec")).where(whole)
+    rows, dims = train.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if k > rows:
         raise ValueError(f"k={k} exceeds the training set size ({rows})")
-    count = min(MOST_PIVOTS, max(1, int(sqrt(rows) / 2)))
-    chosen = train.select("train_id", "vec").orderBy(h(seed, F.col("train_id")), "train_id").limit(count).collect()
-    pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
-    folder = session.new_folder(train.sparkSession, "neighbours")
+    train = train.where(whole)
+    folder = session.new_folder(spark, "neighbours")
     # The assignment is the index of the search; it is written once and scanned by every later step.
-    _assign(train, "vec", pivots).write.parquet(f"{folder}/train")
-    ringed, stats = _regions(train.sparkSession.read.parquet(f"{folder}/train"), block_rows)
-    facts = _RegionFacts(pivots, stats, k)
+    index = _boxes if dims <= BOX_DIMS else _rings
+    ringed, facts = index(train, f"{folder}/train", rows, dims, k, block_rows, seed)
     qtype, vtype = (queries.schema[c].dataType.simpleString() for c in ("query_id", "vec"))
     visit_schema = f"query_id {qtype}, vec {vtype}, reach double, _regions array<int>"
-    meeting = _Meeting(train, ringed.drop("_cell", "_r"), facts, k, list(carry), qtype, block_rows, seed)
+    meeting = _Meeting(train, ringed, facts, k, list(carry), qtype, block_rows, seed)
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -107,7 +149,7 @@ def nearest_neighbours(
     # First the regions around the query: their k-th distance is a far better bound than the regions' radii.
     near = meeting.run(queries.mapInPandas(home, visit_schema))
     near.write.parquet(f"{folder}/near")
-    near = train.sparkSession.read.parquet(f"{folder}/near")
+    near = spark.read.parquet(f"{folder}/near")
     bound = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("sq_distance")).alias("_kth"))
     bounded = queries.join(bound, "query_id").select("query_id", "vec", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth"))
 
@@ -163,6 +205,101 @@ class _RegionFacts:
         return reach + slack, first, [self.region[w].tolist() for w in wanted]
 
 
+class _BoxFacts:
+    """A tree of cuts; its leaves are boxes numbered from left to right, so the boxes below a node are a run of numbers."""
+
+    def __init__(self, sample: np.ndarray, boxes: int, k: int):
+        self.k = k
+        axis, cut, left, right, low, high = ([] for _ in range(6))
+
+        def grow(rows: np.ndarray, boxes: int) -> int:
+            node = len(axis)
+            for column in (axis, cut, left, right, low, high):
+                column.append(0)
+            spread = rows.max(0) - rows.min(0) if len(rows) > 1 and boxes > 1 else np.zeros(1)
+            if spread.max() <= 0:
+                axis[node], low[node], self.boxes = -1, self.boxes, self.boxes + 1
+                high[node] = self.boxes
+                return node
+            at = int(spread.argmax())
+            values = np.sort(rows[:, at])
+            # The middle value, or the next lower one where all values above the middle are the same.
+            edge = values[(len(values) - 1) // 2]
+            edge = edge if edge < values[-1] else values[np.searchsorted(values, edge) - 1]
+            below = rows[:, at] <= edge
+            axis[node], cut[node] = at, float(edge)
+            share = min(boxes - 1, max(1, round(boxes * below.mean())))
+            left[node] = grow(rows[below], share)
+            right[node] = grow(rows[~below], boxes - share)
+            low[node], high[node] = low[left[node]], high[right[node]]
+            return node
+
+        self.boxes = 0
+        grow(sample, boxes)
+        self.axis, self.left, self.right, self.low, self.high = (np.array(x) for x in (axis, left, right, low, high))
+        self.cut = np.array(cut, dtype=np.float64)
+
+    def measure(self, stats: list, dims: int) -> None:
+        """Rows and bounds of every node, from those of the boxes; an empty one has none and is never reached."""
+        size, bounds = np.zeros(self.boxes, np.int64), np.full((2, self.boxes, dims), np.inf)
+        bounds[1] = -np.inf
+        for row in stats:
+            size[row["_region"]] = row["n"]
+            bounds[:, row["_region"]] = np.reshape(row["ends"], (2, dims))
+        self.region, self.size = np.arange(self.boxes), size
+        self.rows = np.concatenate([[0], np.cumsum(size)])[self.high] - np.concatenate([[0], np.cumsum(size)])[self.low]
+        self.least, self.most = np.empty((len(self.axis), dims)), np.empty((len(self.axis), dims))
+        for node in range(len(self.axis) - 1, -1, -1):  # children come after their node
+            if self.axis[node] < 0:
+                self.least[node], self.most[node] = bounds[:, self.low[node]]
+            else:
+                both = [self.left[node], self.right[node]]
+                self.least[node], self.most[node] = self.least[both].min(0), self.most[both].max(0)
+        self.scale = float(max(np.abs(bounds[np.isfinite(bounds)]).max(initial=0.0), 0.0))
+
+    def _descend(self, vectors: np.ndarray, least: int) -> np.ndarray:
+        """The lowest node of at least so many rows on the way to each vector's box."""
+        node = np.zeros(len(vectors), np.int64)
+        moving = np.flatnonzero(self.axis[node] >= 0)
+        while len(moving):
+            at = node[moving]
+            below = np.where(vectors[moving, self.axis[at]] <= self.cut[at], self.left[at], self.right[at])
+            fits = np.ones(len(below), bool) if least == 0 else self.rows[below] >= least
+            moving, below = moving[fits], below[fits]
+            node[moving] = below
+            moving = moving[self.axis[below] >= 0]
+        return node
+
+    def box(self, vectors: np.ndarray) -> np.ndarray:
+        return self.low[self._descend(vectors, 0)]
+
+    def look(self, vectors: np.ndarray, kth: np.ndarray | None = None):
+        """Distance that bounds the search, the boxes of the nearest node with k rows, and the other boxes within that distance."""
+        home = self._descend(vectors, self.k)
+        low, high = self.low[home], self.high[home]
+        if kth is None:
+            return np.full(len(vectors), np.inf), [self._filled(a, b) for a, b in zip(low, high)], [[] for _ in home]
+        kth = np.where(np.isnan(kth), np.inf, kth)
+        reach = kth + 1e-7 * (1.0 + self.scale + np.abs(vectors).max(1))
+        who, node, asked, found = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), [], []
+        while len(who):
+            away = np.maximum(np.maximum(self.least[node] - vectors[who], vectors[who] - self.most[node]), 0.0)
+            # What lies wholly at home has been searched.
+            wanted = (self.rows[node] > 0) & ~((self.low[node] >= low[who]) & (self.high[node] <= high[who]))
+            wanted &= np.sqrt((away**2).sum(1)) <= reach[who]
+            who, node = who[wanted], node[wanted]
+            leaf = self.axis[node] < 0
+            asked.append(who[leaf]), found.append(self.low[node[leaf]])
+            who, node = np.repeat(who[~leaf], 2), np.stack([self.left[node[~leaf]], self.right[node[~leaf]]], 1).ravel()
+        asked, found = np.concatenate(asked), np.concatenate(found)
+        order = np.argsort(asked, kind="stable")
+        ends = np.searchsorted(asked[order], np.arange(1, len(vectors)))
+        return reach, [], [x.tolist() for x in np.split(found[order], ends)]
+
+    def _filled(self, low: int, high: int) -> list[int]:
+        return (low + np.flatnonzero(self.size[low:high])).tolist()
+
+
 class _Meeting:
     """Compares queries with the rows of the regions they visit, in blocks of bounded size on both sides."""
 
@@ -179,24 +316,24 @@ class _Meeting:
         visits = spark.read.schema(visits.schema).parquet(path)
         visiting = visits.withColumn("_region", F.explode("_regions")).drop("_regions")
         callers = {row["_region"]: row["n"] for row in visiting.groupBy("_region").agg(F.count(F.lit(1)).alias("n")).collect()}
-        sizes = zip(self.facts.region.tolist(), self.facts.size.tolist())
-        slices = [(g, ceil(n / self.block_rows), ceil(callers[g] / self.block_rows)) for g, n in sizes if g in callers]
+        sizes = dict(zip(self.facts.region.tolist(), self.facts.size.tolist()))
+        slices = [(g, ceil(sizes[g] / self.block_rows), ceil(n / self.block_rows)) for g, n in callers.items()]
         if not slices:
-            return spark.createDataFrame([], self.schema)
-        t_parts = F.create_map(*[F.lit(x) for g, a, _ in slices for x in (g, a)])
-        q_parts = F.create_map(*[F.lit(x) for g, _, b in slices for x in (g, b)])
+            return _first_k(spark.createDataFrame([], self.schema), self.k)
+        # One row per region, so it is small beside the rows it meets.
+        parts = spark.createDataFrame(slices, "_region int, _t_parts int, _q_parts int")
         keys = ["_region", "_ts", "_qs"]
         # A fixed number of partitions: the blocks are small in bytes but not in work, so they must not be merged.
-        tasks = min(20_000, sum(a * b for _, a, b in slices))
-        left = self._sliced(visiting, "query_id", "_qs", "_ts", q_parts, t_parts).repartition(tasks, *keys)
-        right = self._sliced(self.ringed, "train_id", "_ts", "_qs", t_parts, q_parts).repartition(tasks, *keys)
+        blocks, pairs = sum(a * b for _, a, b in slices), sum(sizes[g] * n for g, n in callers.items())
+        tasks = min(20_000, blocks, max(4 * spark.sparkContext.defaultParallelism, ceil(pairs / TASK_PAIRS)))
+        left = self._sliced(visiting, parts, "query_id", "_qs", "_ts", "_q_parts", "_t_parts").repartition(tasks, *keys)
+        right = self._sliced(self.ringed, parts, "train_id", "_ts", "_qs", "_t_parts", "_q_parts").repartition(tasks, *keys)
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(self.k, self.carry), self.schema)
         return _first_k(met, self.k)
 
-    def _sliced(self, df: DataFrame, ident: str, own: str, other: str, own_parts, other_parts) -> DataFrame:
-        wide = df.withColumns({"_mine": F.element_at(own_parts, F.col("_region")), "_theirs": F.element_at(other_parts, F.col("_region"))})
-        wide = wide.where("_mine is not null").withColumn(own, (h(self.seed, F.col(ident)) % F.col("_mine")).cast("int"))
-        return wide.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_mine", "_theirs")
+    def _sliced(self, df: DataFrame, parts: DataFrame, ident: str, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
+        wide = df.join(F.broadcast(parts), "_region").withColumn(own, (h(self.seed, F.col(ident)) % F.col(own_parts)).cast("int"))
+        return wide.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1))).drop("_t_parts", "_q_parts")
 
 
 def _meet(k: int, carry: list[str]):
@@ -218,7 +355,8 @@ def _meet(k: int, carry: list[str]):
             margin = 1e-9 * (1.0 + norms.max() + own)
             edge = reach[start : start + step] ** 2
             if len(points) > k:
-                edge = np.minimum(edge, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                crowded = (rough <= edge[:, None]).sum(1) > 2 * k
+                edge[crowded] = np.minimum(edge[crowded], np.partition(rough[crowded], k - 1, axis=1)[:, k - 1])
             i, j = np.nonzero(rough <= (edge + margin)[:, None])
             diff = points[j] - q[i]
             exact = np.einsum("ij,ij->i", diff, diff)

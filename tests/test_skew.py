@@ -159,6 +159,44 @@ def test_neighbours_equal_brute_force(spark, block_rows):
         assert all(found[i][k + 1][1] == float(found[i][k + 1][0]) for k in range(7))
 
 
+def test_neighbours_of_long_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    train, asked = rng.normal(size=(300, nn.BOX_DIMS + 4)), rng.normal(size=(20, nn.BOX_DIMS + 4))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(train)], "train_id int, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, vec array<double>")
+    got = {(r["query_id"], r["rank"]): r["train_id"] for r in nn.nearest_neighbours(t, q, 4, block_rows=30).collect()}
+    want = {(i, k + 1): int(j) for i, point in enumerate(asked) for k, j in enumerate(((train - point) ** 2).sum(1).argsort()[:4])}
+    assert got == want
+
+
+def test_neighbours_meet_no_more_rows_as_the_table_grows(spark, monkeypatch):
+    """Eight times the rows, the same rows compared per query; caps on pivots, reached, do not matter for short vectors."""
+    monkeypatch.setattr(nn, "MOST_PIVOTS", 4), monkeypatch.setattr(nn, "MOST_RINGS", 4)
+    met, run = [], nn._Meeting.run
+
+    def counted(self, visits):
+        sizes = dict(zip(self.facts.region.tolist(), self.facts.size.tolist()))
+        met[-1] += sum(sizes[g] for r in visits.select("_regions").collect() for g in r[0])
+        return run(self, visits)
+
+    monkeypatch.setattr(nn._Meeting, "run", counted)
+    rng = np.random.default_rng(4)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(size=(100, 3)))], "query_id int, vec array<double>")
+    for n in (2_000, 16_000):
+        met.append(0)
+        t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(size=(n, 3)))], "train_id int, vec array<double>")
+        assert nn.nearest_neighbours(t, q, 4, block_rows=50).count() == 400
+    assert met[1] < 2 * met[0]
+
+
+def test_vectors_with_nulls_are_nobodys_neighbours(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(40)] + [(100, [None, 0.0]), (101, [float("nan"), 1.0]), (102, None)]
+    t = spark.createDataFrame(rows, "train_id int, vec array<double>")
+    q = spark.createDataFrame([(1, [7.2, 0.0]), (2, [None, 1.0])], "query_id int, vec array<double>")
+    got = {(r["query_id"], r["rank"]): r["train_id"] for r in nn.nearest_neighbours(t, q, 3, block_rows=5).collect()}
+    assert got == {(1, 1): 7, (1, 2): 8, (1, 3): 6}
+
+
 def test_neighbour_arguments(spark):
     t = spark.createDataFrame([(1, [0.0])], "train_id int, vec array<double>")
     q = spark.createDataFrame([(1, [0.0])], "query_id int, vec array<double>")
