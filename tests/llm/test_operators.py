@@ -453,6 +453,28 @@ def test_pieces_of_long_runs(spark):
     assert got["exact"] and got["ids"] == library.encode("a" + " " * 200_000 + "b")
 
 
+def test_new_words_are_composed_together(monkeypatch):
+    """Words never met before take the library's ids without a search each, whatever the slices; a very long one is searched."""
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    model = pieces.compiled(pieces.default_model())
+    pick = random.Random(6)
+    letters = "etaoinshrdlu" * 4 + "bcfgjkmpqvwxyz" + "ETAÉéöß.,-#%0123456789日\n\t\x00😀"
+    texts = ["", " "] + [" ".join("".join(pick.choice(letters) for _ in range(pick.randint(1, 14))) for _ in range(400)) for _ in range(20)]
+    searched, one = [], model.only_path
+    monkeypatch.setattr(model, "only_path", lambda text: searched.append(text) or one(text))
+    for size in (1_000_000, 700, 1):
+        monkeypatch.setattr(pieces, "SLICE", size)
+        ids, ends = model.encode_all(texts)
+        assert [list(ids[a:b]) for a, b in zip(ends, ends[1:])] == library.encode(texts)
+    assert not searched
+    long = "".join(pick.choice(letters[:62]) for _ in range(5_000))
+    assert model.encode(long) == library.encode(long) and len(searched)
+
+
 def test_pieces_odd(odd_docs, no_docs):
     out = pieces.encode(odd_docs)
     assert out.where("ids is null").count() == 2 and out.where("not exact").count() == 1 and pieces.encode(no_docs).count() == 0
