@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import pyarrow as pa
@@ -43,7 +44,20 @@ def nothing_held() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        handed_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def handed_back() -> None:
+    """Give the memory that a batch or task has freed back to the system: Arrow's, and the C library's where it can.
+
+    A worker is kept for later tasks, and while it waits what it has freed still counts as its executor's.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows, nothing_held, written
+from gridweather.llm.common import doc_rows, handed_back, nothing_held, written
 
 # Multipliers of the mixing steps; any odd numbers with well spread bits do.
 SPREAD, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0x85EBCA6B, 0xC2B2AE35
@@ -126,6 +126,8 @@ def signatures(rows: DataFrame, how: Similarity) -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n", "digest", "bands"],
             )
+        known.clear()
+        handed_back()
 
     return rows.mapInArrow(work, "doc_id bigint, n bigint, digest binary, bands array<bigint>")
 
@@ -144,6 +146,8 @@ def full_sets(rows: DataFrame, how: Similarity) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "n", "shingles"])
+        known.clear()
+        handed_back()
 
     return rows.mapInArrow(work, "doc_id bigint, n bigint, shingles array<bigint>")
 

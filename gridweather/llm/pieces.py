@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows, held
+from gridweather.llm.common import doc_rows, handed_back, held
 
 # Fixed values of the format.
 MARK = "▁"
@@ -38,6 +38,8 @@ UNIGRAM, MERGES = 1, 2
 KEEP = 100_000
 KEEP_BITS = 19
 SLICE = 300_000
+#: Rows of a batch whose texts and ids are worked on together; what is kept of a portion are Arrow's flat arrays.
+ROWS = 1_000
 #: Longer stretches are composed by themselves.
 LONG = 256
 NEVER = float("inf")
@@ -530,8 +532,15 @@ def encoded(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf(SCHEMA)
     def of(texts: pa.Array) -> pa.Array:
-        model = compiled(path)
-        rows = texts.to_pylist()
+        return in_portions(compiled(path), texts)
+
+    return of(text)
+
+
+def in_portions(model: Transducer, texts: pa.Array) -> pa.Array:
+    """``SCHEMA`` of every text, a portion of the rows at a time, however many rows the session puts into a batch."""
+
+    def portion(rows: list[str | None]) -> pa.Array:
         values, ends = model.encode_all([t or "" for t in rows])
         exact = model.gives_back(values, ends, rows)
         upto = np.concatenate([[0], np.cumsum(model.is_byte[values])])[ends]
@@ -539,7 +548,11 @@ def encoded(text: Column, path: str | None = None) -> Column:
         null = pa.array([x is None for x in exact], pa.bool_())
         return pa.StructArray.from_arrays([lists, pa.array(np.diff(upto), pa.int64()), pa.array(exact, pa.bool_())], ["ids", "n_bytes", "exact"], mask=null)
 
-    return of(text)
+    parts = [portion(texts[at : at + ROWS].to_pylist()) for at in range(0, max(1, len(texts)), ROWS)]
+    whole = pa.concat_arrays(parts)
+    parts.clear()
+    handed_back()
+    return whole
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:

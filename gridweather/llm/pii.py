@@ -20,7 +20,7 @@ from hashlib import blake2b, sha256
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridweather.llm.common import doc_rows, free_name, nothing_held, written
+from gridweather.llm.common import doc_rows, free_name, handed_back, nothing_held, once, written
 
 # Kinds and character sets of the base rules, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -187,7 +187,10 @@ def in_portions(batch: pa.Array, make: Callable[[list[str]], pa.Array], *more: p
     """``make`` over a batch of texts, a few rows at a time, so that the objects of a few rows exist together."""
     nothing_held()
     parts = [make([t.as_py() for t in batch[at : at + ROWS]], *[m[at : at + ROWS] for m in more]) for at in range(0, max(1, len(batch)), ROWS)]
-    return pa.concat_arrays(parts)
+    whole = pa.concat_arrays(parts)
+    parts.clear()
+    handed_back()
+    return whole
 
 
 def found(text: Column, near: int) -> Column:
@@ -324,10 +327,18 @@ def spots(text: Column, hits: Column | None, sent: dict[str, bool]) -> Column:
     return each(text, hits)
 
 
+def holders(rows: DataFrame, near: int) -> DataFrame:
+    """doc_id, near, entities (as ``found`` has them) of the rows that hold an entity.
+
+    Searched once: else the filter would search the texts again, by a second Python worker beside the first of each task.
+    """
+    return once(rows, "doc_id", f=found(F.col("text"), near)).select("doc_id", "f.near", "f.entities").where(F.size("entities") > 0)
+
+
 def disclosing(docs: DataFrame, how: Disclosure) -> dict[str, bool] | DataFrame:
     """The disclosing words of a corpus and whether each is removed: as a dictionary, or as a table where they are many."""
     spark, rows = docs.sparkSession, doc_rows(docs)
-    table = written(spark, rows.select("doc_id", found(F.col("text"), how.near).alias("f")).select("doc_id", "f.near", "f.entities").where(F.size("entities") > 0), "pii-found")
+    table = written(spark, holders(rows, how.near), "pii-found")
     if table.isEmpty():
         return {}
     terms = revealing(rows, table, how).groupBy("term").agg((F.max("share") >= how.remove).alias("remove"))

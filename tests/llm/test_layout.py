@@ -4,15 +4,17 @@ import hashlib
 import itertools
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gridweather.llm import common, filter_audit, hilbert, licences, main_text, merkle, pii, secret_scan
+from gridweather.llm import common, filter_audit, hilbert, licences, main_text, merkle, pieces, pii, secret_scan
 from gridweather.llm.common import table
 from gridweather.llm.queries import QUERIES
 
@@ -288,6 +290,51 @@ def test_a_worker_holds_one_operator():
     assert not common._held
 
 
+def anonymous_mb():
+    """Memory of this process beside mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_a_worker_hands_freed_memory_back():
+    """What lies below a block that stays is not left with the worker."""
+    blocks = common.held("blocks", list)
+    blocks += [np.ones(12_000) for _ in range(1_000)]
+    stays = np.ones(12_000)
+    del blocks
+    before = anonymous_mb()
+    common.nothing_held()
+    assert stays.all() and before - anonymous_mb() > 50
+
+
+def test_pieces_of_a_large_batch_are_worked_out_in_portions(monkeypatch):
+    """Python holds the texts, ids and counts of a portion, however many rows a batch has; rows stay as they are by themselves."""
+    model = pieces.Transducer(pieces.default_model())
+    texts = [None if i % 150 == 49 else "" if i % 150 == 50 else f"row {i} of prose, " * 300 for i in range(400)]
+
+    def peak(rows, many):
+        monkeypatch.setattr(pieces, "ROWS", rows)
+        tracemalloc.start()
+        out = pieces.in_portions(model, pa.array(texts[:many], pa.string()))
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held, out
+
+    pieces.in_portions(model, pa.array(texts[:1]))
+    (one, _), (all_of, out), (whole, same) = peak(50, 50), peak(50, 400), peak(400, 400)
+    assert out.equals(same) and out.is_null().to_pylist() == [t is None for t in texts]
+    assert out.field("ids").to_pylist()[48:53] == [model.encode(texts[48]), [], [], model.encode(texts[51]), model.encode(texts[52])]
+    assert all_of < 2 * whole / 3 and one > all_of / 2
+
+
+def test_personal_data_is_searched_once_a_row(spark):
+    """The filter on what is found does not search again, so a task needs one Python worker."""
+    docs = spark.createDataFrame([(1, "mail a@b.de now"), (1, "mail a@b.de now"), (2, "none"), (3, None), (None, "from 1.2.3.4")], "doc_id bigint, text string")
+    found = pii.holders(docs, 60)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"] or 0, [e["name"] for e in r["entities"]]) for r in found.collect()) == [(0, ["1.2.3.4"]), (1, ["a@b.de"]), (1, ["a@b.de"])]
+
+
 def test_article_pages_are_chosen_by_id(spark):
     """The first ids by order are learned from, whole; repeated pages of an id all count."""
     page = "<html><body><nav>menu</nav><article><p>{}</p></article></body></html>"
